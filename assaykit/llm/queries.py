@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import simhash, suffix_dedup
+from assaykit.llm import language_id, simhash, suffix_dedup
 from assaykit.llm.common import table
 
 
@@ -21,8 +21,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.col("lid_held_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op8_simhash": op8_simhash}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
