@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import language_id, simhash, suffix_dedup
+from assaykit.llm import decontaminate, language_id, line_dedup, mixing, simhash, suffix_dedup
 from assaykit.llm.common import table
 
 
@@ -16,6 +16,48 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed_lines").alias("n_removed_lines"), F.col("__n_runs").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+with l as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+w as (
+  select doc_id, i - 1 as pos, {line_dedup.WINDOW} as size, ls[i:i + {line_dedup.WINDOW} - 1] as part
+  from l, unnest(range(1, len(ls) - {line_dedup.WINDOW} + 2)) u(i)
+  where trim(array_to_string(ls[i:i + {line_dedup.WINDOW} - 1], ''), ' ') <> ''
+  union all
+  select doc_id, i - 1, 1, ls[i:i] from l, unnest(range(1, len(ls) + 1)) u(i)
+  where len(regexp_extract_all(ls[i], '[^ \t-\r]+')) >= {line_dedup.LONG_WORDS}
+),
+later as (
+  select doc_id, pos, size from w
+  qualify row_number() over (partition by size, part order by doc_id, pos) > 1
+),
+dead as (select distinct doc_id, pos + j as line from later, unnest(range(0, size)) u(j)),
+d as (select doc_id, list(line) as dead from dead group by doc_id),
+r as (
+  select doc_id, count(*) as n_runs from (
+    select doc_id, line, lag(line) over (partition by doc_id order by line) as prev from dead
+  ) where prev is null or prev < line - 1 group by doc_id
+)
+select l.doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(dead), 0) as n_removed_lines,
+  coalesce(n_runs, 0) as n_runs,
+  sha256(case when dead is null then text else array_to_string(list_filter(ls, lambda x, i: not list_contains(dead, i - 1)), chr(10)) end) as kept_sha256
+from l left join d using (doc_id) left join r using (doc_id)
+"""
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, mixing.quality_labels(table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,8 +69,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_line_dedup": op2_line_dedup, "op4_decontaminate": op4_decontaminate, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
