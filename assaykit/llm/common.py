@@ -7,7 +7,10 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def binary_column(batch, name: str):
     """The bytes of a string column of an Arrow record batch, null as empty."""
     import pyarrow as pa

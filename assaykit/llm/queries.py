@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontaminate, language_id, line_dedup, mixing, simhash, suffix_dedup
+from assaykit.llm import decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, url_filter
 from assaykit.llm.common import table
 
 
@@ -49,10 +49,27 @@ from l left join d using (doc_id) left join r using (doc_id)
 """
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = secrets.fit(secrets.labelled_samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), weights)
+    base = F.col("base")
+    counts = [secrets.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score", "words")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mixing.mix(docs, mixing.quality_labels(table(spark, sf_dir, "labels")))
@@ -63,13 +80,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", F.col("lid_held_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_line_dedup": op2_line_dedup, "op4_decontaminate": op4_decontaminate, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
+    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
