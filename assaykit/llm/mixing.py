@@ -4,9 +4,9 @@ A naive Bayes classifier of words, fitted on labelled documents, gives every doc
 over domains. Document d has n_d tokens and rate r_d >= 0, the expected number of times that it is
 taken; its expected tokens of domain k are r_d * n_d * p_dk. The rates are the nonnegative least
 squares solution for the target token totals, found by projected gradient from equal rates. Each
-step is one distributed sum of as many numbers as there are domains; the step is scaled by the
-inverse Gram matrix of the domains, with which the problem's curvature is 1, so the unprojected
-problem is solved by one step and the projected one by a few.
+step is one distributed sum of a few numbers; it is scaled by the inverse Gram matrix of the
+domains, with which the problem's curvature is 1, so the unprojected problem is solved by one step
+and the projected one by a few.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.llm.common import scratch
 
@@ -29,7 +30,9 @@ SOFT_WORDS = 64
 #: The tokens to take in all, as a part of all tokens.
 SHARE = 0.5
 MAX_STEPS = 40
-TOLERANCE = 1e-6
+#: Where the steps end: a residual of this part of the total, or eight steps that gain less than this
+#: part of the loss.
+TOLERANCE, SETTLED = 1e-3, 0.1
 
 
 def quality_labels(labels: DataFrame) -> DataFrame:
@@ -108,8 +111,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def memberships(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs with __tokens and __p, the posteriors in order of the domains."""
-    from pyspark.sql import types as T
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(docs.columns if keep is None else keep)
     index = docs.columns.index(text)
@@ -130,36 +131,66 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", keep: li
     return rows.mapInArrow(run, schema)
 
 
-def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS):
-    """(rows, Column of the rate, residual after each step) for rows with __tokens and __p.
+class Rates:
+    """Rates as the steps that lead to them: a row's rate needs only its tokens and posteriors."""
+
+    def __init__(self, start: float):
+        self.start, self.steps, self.history = start, [], []
+
+    def of(self, tokens, p):
+        import numpy as np
+
+        rate = ahead = np.full(len(tokens), self.start)
+        for move, push, anew in self.steps:
+            new = np.maximum(0.0, (rate if anew else ahead) - tokens * (p @ move))
+            ahead, rate = (1 + push) * new - push * rate, new
+        return rate
+
+
+def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -> Rates:
+    """Rates of rows with __tokens and __p whose expected domain tokens come closest to targets.
 
-    The rate starts equal for all rows and each step subtracts what the residuals' multipliers say,
-    cut at 0. Only the multipliers come to the driver, so no row state is kept between steps.
+    The rate starts equal for all rows; each step moves against the gradient, scaled by the inverse
+    Gram matrix, from a point ahead of the last two rates (Nesterov), and is cut at 0. The momentum
+    starts anew when the loss grows. Only sums come to the driver. Ends at ``steps``, when the
+    residual is under TOLERANCE of the total, or when eight steps gain less than SETTLED.
     """
     import numpy as np
 
     k = len(targets)
+    rows = rows.select("__tokens", "__p")
     a = [F.col("__tokens") * F.get("__p", F.lit(i)) for i in range(k)]
-    first = rows.agg(*(F.sum(x * y).alias(f"g{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a)), F.sum("__tokens").alias("n")).first()
-    total = float(first[-1] or 0)
-    if not total:
-        return rows, F.lit(0.0), []
-    gram = np.array([float(x or 0) for x in first[:-1]]).reshape(k, k)
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
+    grams = [F.sum(x * y).alias(f"g{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a)]
+    first = [float(v or 0) for v in rows.agg(F.sum("__tokens").alias("n"), *grams).first()]
     goal = np.array(targets, float)
-    rate = F.lit(float(goal.sum()) / total)
-    history: list[float] = []
+    out = Rates(float(goal.sum()) / first[0] if first[0] else 0.0)
+    if not first[0]:
+        return out
+    inverse = np.linalg.pinv(np.array(first[1:]).reshape(k, k), rcond=1e-9)
+    rate = ahead = F.lit(out.start)
+    pace, loss = 1.0, []
     for step in range(steps + 1):
-        now = np.array([float(x or 0) for x in rows.agg(*(F.sum(rate * x).alias(f"s{i}") for i, x in enumerate(a))).first()])
-        history.append(float(np.abs(now - goal).sum() / max(goal.sum(), 1e-9)))
-        if step == steps or history[-1] < TOLERANCE or (len(history) > 3 and history[-1] > 0.999 * history[-4]):
+        sums = [F.sum(rate * x) for x in a] + [F.sum(ahead * x) for x in a]
+        got = np.array([float(v or 0) for v in rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first()])
+        now, next_ = got[:k] - goal, got[k:] - goal
+        out.history.append(float(np.abs(now).sum() / max(goal.sum(), 1e-9)))
+        loss.append(float(now @ inverse @ now))
+        settled = step > 8 and loss[-9] - loss[-1] < SETTLED * loss[-9]
+        if step == steps or out.history[-1] < TOLERANCE or settled:
             break
-        move = inverse @ (now - goal)
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(m)) * x for m, x in zip(move, a)), F.lit(0.0)))
-        if step % 8 == 7:  # a long chain of steps goes into a column
-            rows = scratch(rows.withColumn(f"__rate{step}", rate), "rates")
-            rate = F.col(f"__rate{step}")
-    return rows, rate, history
+        anew = step > 0 and loss[-1] > loss[-2]  # overshot
+        if anew:
+            pace, ahead, next_ = 1.0, rate, now
+        if step % 6 == 5:  # a long chain of steps goes into columns
+            rows = scratch(rows.select("__tokens", "__p", rate.alias("__rate"), ahead.alias("__ahead")), "rates")
+            rate, ahead = F.col("__rate"), F.col("__ahead")
+        move = inverse @ next_
+        new = F.greatest(F.lit(0.0), ahead - sum((F.lit(float(m)) * x for m, x in zip(move, a)), F.lit(0.0)))
+        pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+        push = (old - 1) / pace
+        out.steps.append((move, push, anew))
+        rate, ahead = new, (1 + push) * new - push * rate
+    return out
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain", weights: dict[str, float] | None = None, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
@@ -176,7 +207,18 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = scratch(memberships(docs, model, text, keep), "memberships")
     total = float(rows.agg(F.sum("__tokens")).first()[0] or 0)
     scale = total * share / (math.fsum(weights.values()) or 1.0)
-    solved = solve_rates(rows, [w * scale for w in weights.values()])
-    rows, rate = solved[0], solved[1]
+    rates = solve_rates(rows, [w * scale for w in weights.values()])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__rate", T.DoubleType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens = batch.column(batch.schema.get_field_index("__tokens")).to_numpy(zero_copy_only=False)
+            p = batch.column(batch.schema.get_field_index("__p")).flatten().to_numpy(zero_copy_only=False)
+            rate = rates.of(tokens.astype(float), np.reshape(p, (len(tokens), -1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
+
     posteriors = [F.get("__p", F.lit(i)).alias(f"posterior_{name}") for i, name in enumerate(weights)]
-    return rows.select(*keep, F.col("__tokens").alias("n_tokens"), *posteriors, rate.alias("rate"))
+    return rows.mapInArrow(run, schema).select(*keep, F.col("__tokens").alias("n_tokens"), *posteriors, F.col("__rate").alias("rate"))
