@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import scratch
+from assaykit.llm.common import let, scratch
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -23,11 +23,14 @@ LONG_WORDS = 50
 _SALT = 0x5EED
 
 
-def _windows(lines, window: int, long_words: int):
+def _windows(text, window: int, long_words: int):
+    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _of_lines(lines, hashes, window, long_words)))
+
+
+def _of_lines(lines, hashes, window: int, long_words: int):
     """Array of (at, size, fp, pos, k1, k2) over the lines of a text, whole-blank windows left out."""
     n = F.size(lines)
     words = lambda x: F.regexp_count(x, F.lit("[^ \\t-\\r]+"))
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
 
     def several(i):
         part, own = F.slice(lines, i + 1, window), F.slice(hashes, i + 1, window)
@@ -48,7 +51,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """(d1, d2, dead): by document key, the sorted line numbers (from 0) of later repeated runs."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(_SALT), "doc_id", "text")})
-    found = keyed.select("doc_id", "d1", "d2", F.explode(_windows(F.split("text", "\n", -1), window, long_words)).alias("w"))
+    found = keyed.select("doc_id", "d1", "d2", F.explode(_windows(F.col("text"), window, long_words)).alias("w"))
     found = scratch(found.select("doc_id", "d1", "d2", "w.at", "w.size", "w.fp", F.xxhash64("d1", "d2", "w.pos").alias("pos"), "w.k1", "w.k2"), "windows")
     shared = found.groupBy("fp", "size").agg(F.min("pos").alias("a"), F.max("pos").alias("z")).where("a <> z").select("fp", "size")
     rest = scratch(found.join(shared, ["fp", "size"], "left_semi").drop("fp", "pos"), "candidates")
