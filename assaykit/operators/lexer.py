@@ -1,0 +1,109 @@
+"""Source text: comments and strings blanked, imports, branches. A scanner keeps state from character
+to character, so it runs as an Arrow function over whole batches; all else is columns."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: By language, line comments, block comments and string quotes.
+SYNTAX = {
+    "python": (("#",), (), ('"""', "'''", '"', "'")),
+    "js-ts": (("//",), (("/*", "*/"),), ("`", '"', "'")),
+    "java": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
+    "kotlin": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
+    "go": (("//",), (("/*", "*/"),), ("`", '"', "'")),
+    "rust": (("//",), (("/*", "*/"),), ('"',)),
+    "csharp": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
+    "ruby": (("#",), (("=begin", "=end"),), ('"', "'")),
+    "php": (("//", "#"), (("/*", "*/"),), ('"', "'")),
+}
+#: Suffixes by language.
+SUFFIXES = {".py": "python", ".js": "js-ts", ".ts": "js-ts", ".jsx": "js-ts", ".tsx": "js-ts", ".java": "java", ".kt": "kotlin", ".go": "go", ".rs": "rust", ".cs": "csharp", ".rb": "ruby", ".php": "php"}
+BRANCHES = r"\b(?:if|elif|for|while|case|catch|except|and|or)\b|&&|\|\||\?(?=[^.:])"
+FUNCTION = r"^\s*(?:(?:export|public|private|protected|static|async|final|override|pub|inline)\s+)*(?:def|function|func|fn|fun)\b"
+IMPORT = r"^\s*(?:import|from|require|use|using|include)\b.*$"
+LONG_LINE = 500
+
+
+def blank(text: str, language: str, keep_strings: bool = False) -> str:
+    """The text with comments, and strings unless kept, as blanks of the same length; line ends stay."""
+    lines, blocks, quotes = SYNTAX[language]
+    marks = sorted([(m, "\n", True) for m in lines] + [(a, b, True) for a, b in blocks] + [(q, q, False) for q in quotes], key=lambda m: -len(m[0]))
+    opener = re.compile("|".join(re.escape(m[0]) for m in marks))
+    by_mark = {m[0]: m for m in marks}
+    out, at = [], 0
+    while (m := opener.search(text, at)) is not None:
+        mark, end, comment = by_mark[m[0]]
+        stop = m.end()
+        if comment:
+            found = text.find(end, stop)
+            stop = len(text) if found < 0 else found + (0 if end == "\n" else len(end))
+        else:
+            single = len(mark) == 1 and mark != "`"
+            while stop < len(text):
+                if text[stop] == "\\":
+                    stop += 2
+                elif text.startswith(end, stop):
+                    stop += len(end)
+                    break
+                elif single and text[stop] == "\n":
+                    break
+                else:
+                    stop += 1
+            stop = min(stop, len(text))
+        out.append(text[at : m.start()])
+        piece = text[m.start() : stop]
+        out.append(piece if keep_strings and not comment else re.sub(r"[^\n]", " ", piece))
+        at = stop
+    return "".join(out) + text[at:]
+
+
+def with_code(files: DataFrame, path: str = "path", text: str = "text", name: str = "code") -> DataFrame:
+    """files with ``code``, the blanked text, null for files of no known language."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def strip(texts, languages):
+        return texts.combine(languages, lambda t, k: blank(t, k) if t is not None and k in SYNTAX else None)
+
+    return files.withColumn("language", language(F.col(path))).withColumn(name, strip(text, "language"))
+
+
+def language(path: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
+    return table[F.regexp_extract(path, r"(\.[^./]*)$", 1)]
+
+
+def complexity(lines: DataFrame, key: str = "path") -> DataFrame:
+    """(key, start, stop, ccn): functions of blanked lines (key, line_no, line).
+
+    A function runs from its line to before the next line that is not blank, not deeper indented and
+    no lone closer; a line belongs to the innermost function over it; ccn is one more than the
+    branches on its lines. Lines over 500 characters do not count.
+    """
+    w = Window.partitionBy(key).orderBy("line_no")
+    text = lines.where(F.trim("line") != "").withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
+    text = text.withColumn("starts", F.col("line").rlike(FUNCTION) & ~F.rtrim("line").endswith(";"))
+    heads = text.where("starts").select(key, F.col("line_no").alias("start"), F.col("indent").alias("depth"))
+    ends = text.where(~F.col("line").rlike(r"^\s*[)\]}]")).select(F.col(key).alias("k"), F.col("line_no").alias("n"), "indent")
+    stops = heads.join(ends, (F.col(key) == F.col("k")) & (F.col("n") > F.col("start")) & (F.col("indent") <= F.col("depth")), "left").groupBy(key, "start").agg(F.min("n").alias("next"))
+    last = text.groupBy(key).agg(F.max("line_no").alias("last"))
+    spans = stops.join(last, key).select(key, "start", F.coalesce(F.col("next") - 1, F.col("last")).alias("stop"))
+    counted = text.where(F.length("line") <= LONG_LINE).withColumn("branches", F.regexp_count("line", F.lit(BRANCHES)))
+    owned = counted.select(F.col(key).alias("k"), "line_no", "branches").join(spans, (F.col("k") == F.col(key)) & F.col("line_no").between(F.col("start"), F.col("stop")))
+    inner = owned.withColumn("own", F.max("start").over(Window.partitionBy(key, "line_no"))).where("own = start")
+    del w
+    return inner.groupBy(key, "start", "stop").agg((F.sum("branches") + 1).cast("int").alias("ccn"))
+
+
+def imports(lines: DataFrame, key: str = "path") -> DataFrame:
+    """(key, line_no, statement, name): import lines and the last part of each name they give."""
+    found = lines.where(F.col("line").rlike(IMPORT))
+    quoted = F.regexp_extract_all("line", F.lit(r"""["']([^"']+)["']"""), F.lit(1))
+    dotted = F.regexp_extract_all("line", F.lit(r"\b(?:import|from|use|using)\s+([\w.:\\]+)"), F.lit(1))
+    names = F.when(F.size(quoted) > 0, quoted).otherwise(dotted)
+    last = F.transform(names, lambda n: F.regexp_extract(F.regexp_replace(n, r"/+$|\.(?:js|ts|jsx|tsx|py|rb|php)$", ""), r"([^./:\\]+)$", 1))
+    return found.select(key, "line_no", F.trim("line").alias("statement"), F.explode(last).alias("name")).where("name <> ''")
