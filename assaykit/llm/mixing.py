@@ -138,13 +138,41 @@ class Rates:
         self.start, self.steps, self.history = start, [], []
 
     def of(self, tokens, p):
+        """(rates, points from which the next step is taken) of rows."""
         import numpy as np
 
         rate = ahead = np.full(len(tokens), self.start)
         for move, push, anew in self.steps:
             new = np.maximum(0.0, (rate if anew else ahead) - tokens * (p @ move))
             ahead, rate = (1 + push) * new - push * rate, new
-        return rate
+        return rate, ahead
+
+
+def _arrays(batch):
+    """(tokens, posteriors) of a batch with __tokens and __p."""
+    import numpy as np
+
+    tokens = batch.column(batch.schema.get_field_index("__tokens")).to_numpy(zero_copy_only=False).astype(float)
+    p = batch.column(batch.schema.get_field_index("__p")).flatten().to_numpy(zero_copy_only=False)
+    return tokens, np.reshape(p, (len(tokens), -1))
+
+
+def _sums(rows: DataFrame, of, n: int) -> list[float]:
+    """Sums over all rows of the n numbers that ``of`` gives for a batch's tokens and posteriors. The
+    plan is the same whatever the numbers in ``of``, so nothing is compiled anew from step to step."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(n)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(*_arrays(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{i}" for i in range(n)])
+
+    parts = rows.mapInArrow(run, ", ".join(f"s{i} double" for i in range(n)))
+    return [float(x or 0) for x in parts.agg(*(F.sum(f"s{i}") for i in range(n))).first()]
 
 
 def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -> Rates:
@@ -152,26 +180,34 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
 
     The rate starts equal for all rows; each step moves against the gradient, scaled by the inverse
     Gram matrix, from a point ahead of the last two rates (Nesterov), and is cut at 0. The momentum
-    starts anew when the loss grows. Only sums come to the driver. Ends at ``steps``, when the
-    residual is under TOLERANCE of the total, or when eight steps gain less than SETTLED.
+    starts anew when the loss grows. A task works out its rows' rates from the steps so far, and only
+    sums come to the driver. Ends at ``steps``, when the residual is under TOLERANCE of the total, or
+    when eight steps gain less than SETTLED.
     """
     import numpy as np
 
     k = len(targets)
     rows = rows.select("__tokens", "__p")
-    a = [F.col("__tokens") * F.get("__p", F.lit(i)) for i in range(k)]
-    grams = [F.sum(x * y).alias(f"g{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a)]
-    first = [float(v or 0) for v in rows.agg(F.sum("__tokens").alias("n"), *grams).first()]
+
+    def grams(tokens, p):
+        a = p * tokens[:, None]
+        return np.concatenate(([tokens.sum()], (a.T @ a).ravel()))
+
+    first = _sums(rows, grams, 1 + k * k)
     goal = np.array(targets, float)
     out = Rates(float(goal.sum()) / first[0] if first[0] else 0.0)
     if not first[0]:
         return out
     inverse = np.linalg.pinv(np.array(first[1:]).reshape(k, k), rcond=1e-9)
-    rate = ahead = F.lit(out.start)
     pace, loss = 1.0, []
+
+    def expected(tokens, p):
+        rate, ahead = out.of(tokens, p)
+        a = p * tokens[:, None]
+        return np.concatenate((rate @ a, ahead @ a))
+
     for step in range(steps + 1):
-        sums = [F.sum(rate * x) for x in a] + [F.sum(ahead * x) for x in a]
-        got = np.array([float(v or 0) for v in rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first()])
+        got = np.array(_sums(rows, expected, 2 * k))
         now, next_ = got[:k] - goal, got[k:] - goal
         out.history.append(float(np.abs(now).sum() / max(goal.sum(), 1e-9)))
         loss.append(float(now @ inverse @ now))
@@ -180,16 +216,9 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
             break
         anew = step > 0 and loss[-1] > loss[-2]  # overshot
         if anew:
-            pace, ahead, next_ = 1.0, rate, now
-        if step % 6 == 5:  # a long chain of steps goes into columns
-            rows = scratch(rows.select("__tokens", "__p", rate.alias("__rate"), ahead.alias("__ahead")), "rates")
-            rate, ahead = F.col("__rate"), F.col("__ahead")
-        move = inverse @ next_
-        new = F.greatest(F.lit(0.0), ahead - sum((F.lit(float(m)) * x for m, x in zip(move, a)), F.lit(0.0)))
+            pace, next_ = 1.0, now
         pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
-        push = (old - 1) / pace
-        out.steps.append((move, push, anew))
-        rate, ahead = new, (1 + push) * new - push * rate
+        out.steps.append((inverse @ next_, (old - 1) / pace, anew))
     return out
 
 
@@ -211,13 +240,10 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     schema = T.StructType([*rows.schema.fields, T.StructField("__rate", T.DoubleType())])
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            tokens = batch.column(batch.schema.get_field_index("__tokens")).to_numpy(zero_copy_only=False)
-            p = batch.column(batch.schema.get_field_index("__p")).flatten().to_numpy(zero_copy_only=False)
-            rate = rates.of(tokens.astype(float), np.reshape(p, (len(tokens), -1)))
+            rate = rates.of(*_arrays(batch))[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
 
     posteriors = [F.get("__p", F.lit(i)).alias(f"posterior_{name}") for i, name in enumerate(weights)]

@@ -150,7 +150,7 @@ def test_rates_meet_targets_and_match_a_direct_solver(spark):
     a = (p * n[:, None]).T
     for goal in ([20000.0, 5000.0, 1000.0], [30000.0, 0.0, 0.0]):
         rates = mixing.solve_rates(df, goal)
-        r = rates.of(n.astype(float), p)
+        r = rates.of(n.astype(float), p)[0]
         assert (r >= 0).all() and np.abs(a @ r - goal).sum() / sum(goal) == pytest.approx(rates.history[-1], abs=1e-6)
         w = np.full(300, sum(goal) / n.sum())
         inverse = np.linalg.inv(a @ a.T)
