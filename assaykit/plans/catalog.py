@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import facts, graph, joins, metrics, ranking, rating, sets
+from assaykit.operators import code, domain, facts, graph, joins, metrics, ranking, rating, sets
 from assaykit.sources.corpus import documents_as_files
+from assaykit.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,6 +512,86 @@ def registry_overlay(spark, sf_dir):
     return sets.overlay(base, local, ["k"])
 
 
+# ---- code, changes, windows -----------------------------------------------------------------------
+
+CODE_PATH = "concat(source, '/', case lang when 'en' then 'tests' when 'fr' then 'src' else 'etc' end, '/', case doc_id % 4 when 0 then 'x.spec.ts' when 1 then 'test_x.py' when 2 then 'x.py' else 'x.md' end)"
+
+
+@query(f"""
+select doc_id, case when path like '%.md' then null when path like '%.spec.ts' then 'test' when path like '%/tests/%' then 'test' when path like '%/src/%' then 'source' when path like '%/test\\_x.py' escape '\\' then 'test' else 'source' end as kind
+from (select doc_id, {CODE_PATH} as path from documents)
+""")
+def code_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", code.code_kind(F.expr(CODE_PATH)).alias("kind"))
+
+
+MESSAGE = "case substr(o_orderpriority, 1, 1) when '1' then 'fix: a' when '2' then 'feat(x): b' when '3' then 'refactor: c' when '4' then 'closes #7' else 'tidy' end"
+
+
+@query(f"""
+with c as (select o_custkey as scope, {MESSAGE} as message, o_orderstatus = 'P' as other from orders),
+k as (select scope, max(case when message in ('fix: a', 'closes #7') then 1 else 0 end) as bugfix, max(case when message = 'feat(x): b' then 1 else 0 end) as feature, max(case when message = 'refactor: c' then 1 else 0 end) as refactor, min(case when other then 1 else 0 end) as chore from c group by scope)
+select scope, case when bugfix = 1 then 'bugfix' when feature = 1 then 'feature' when refactor = 1 then 'refactor' when chore = 1 then 'chore' else 'feature' end as kind from k
+""")
+def change_kinds(spark, sf_dir):
+    commits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.lit(None).cast("string").alias("branch"), F.expr(MESSAGE).alias("message"), (F.col("o_orderstatus") == "P").alias("only_other_files"))
+    return domain.change_kind(commits).select("scope", "kind")
+
+
+@query("""
+with t as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) as token from benchmark),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents),
+w as (select distinct doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z]+')) as token from l)
+select doc_id, line_no, token from w join t using (token)
+""")
+def reference_lines(spark, sf_dir):
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), F.lit(0))).alias("token")).distinct().withColumn("owner", F.lit("benchmark"))
+    lines = facts.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+    return joins.token_lines(lines, tokens, "[A-Za-z]+").select(F.col("path").cast("bigint").alias("doc_id"), "line_no", "token")
+
+
+@query("""
+with f as (select distinct concat(source, '/', case when doc_id % 3 = 0 then 'src' else 'pkg' end, '/', lang, '/f') as path from documents),
+m as (select distinct concat(source, '/pkg') as dir from documents where source < 'src2')
+select f.path, case when f.path like '%/src/%' then string_split(f.path, '/')[1] when m.dir is not null then m.dir else '' end as project
+from f left join m on f.path like concat(m.dir, '/%')
+""")
+def project_boundaries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", F.when(F.col("doc_id") % 3 == 0, "src").otherwise("pkg"), "lang", F.lit("f")).alias("path")).distinct()
+    manifests = docs.where("source < 'src2'").select(F.concat("source", F.lit("/pkg/setup.cfg")).alias("path")).distinct()
+    return joins.project_boundary(files, manifests, ["src"]).select("path", "project")
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
+def tumbling_windows(spark, sf_dir):
+    rows = windows.tumbling(table(spark, sf_dir, "events"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("""
+with e as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e)
+select user_id, min(ts) as session_start, count(*) as n from s group by user_id, session
+""")
+def event_sessions(spark, sf_dir):
+    rows = windows.sessions(table(spark, sf_dir, "events"))
+    return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("select dimension, sum(weight) as weight, count(*) as rules from (values " + ", ".join(f"('{r[0]}', {r[2]})" for r in rating.RULES) + ") r(dimension, weight) group by dimension")
+def rule_weights(spark, sf_dir):
+    return rating.rule_table(spark).groupBy("dimension").agg(F.sum("weight").alias("weight"), F.count("*").alias("rules"))
+
+
+@query("select distinct a.l_partkey as source, b.l_partkey as test, min(a.l_orderkey) as commit_key from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_quantity = 1 and b.l_quantity = 2 group by all")
+def changed_together(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    a = line.where("l_quantity = 1").select("l_orderkey", F.col("l_partkey").alias("source"))
+    b = line.where("l_quantity = 2").select("l_orderkey", F.col("l_partkey").alias("test"))
+    return a.join(b, "l_orderkey").where("source < test").groupBy("source", "test").agg(F.min("l_orderkey").alias("commit_key"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts to metrics to ratings, in one plan."""
     return doc_ratings(spark, sf_dir)
