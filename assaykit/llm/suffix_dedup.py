@@ -235,11 +235,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     keyed = base.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "doc_id", "text")})
     pointers = scratch(_pointers(keyed, length, k), "spans")
-    shared = pointers.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1").select("mh")
+    # written, so that both sides of the join are dealt for it and a hot key's rows can be split
+    shared = scratch(pointers.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1").select("mh"), "minimizers")
     some = scratch(pointers.join(shared, "mh"), "shared")
     strings = some.groupBy("mh", "c1", "c2", "n", "anchor").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start")).alias("at"))
     strings = scratch(strings, "strings")
-    several = strings.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1").select("mh")
+    several = scratch(strings.groupBy("mh").agg(F.count("*").alias("m")).where("m > 1").select("mh"), "several")
     fetch = strings.join(several, "mh").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("mh", "c1", "c2", F.col("at.start").alias("start"), "n", "anchor")).alias("wanted"))
     held = some.select("k1", "k2").distinct().join(fetch, ["k1", "k2"], "left")
     joined = keyed.join(held.withColumn("held", F.lit(True)), ["k1", "k2"], "left")
