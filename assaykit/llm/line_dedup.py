@@ -53,9 +53,11 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     keyed = keyed.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(_SALT), "doc_id", "text")})
     found = keyed.select("doc_id", "d1", "d2", F.explode(_windows(F.col("text"), window, long_words)).alias("w"))
     found = scratch(found.select("doc_id", "d1", "d2", "w.at", "w.size", "w.fp", F.xxhash64("d1", "d2", "w.pos").alias("pos"), "w.k1", "w.k2"), "windows")
-    shared = found.groupBy("fp", "size").agg(F.min("pos").alias("a"), F.max("pos").alias("z")).where("a <> z").select("fp", "size")
+    # written, so that both sides of the joins are dealt for them and a hot key's rows can be split
+    shared = scratch(found.groupBy("fp", "size").agg(F.min("pos").alias("a"), F.max("pos").alias("z")).where("a <> z").select("fp", "size"), "fingerprints")
     rest = scratch(found.join(shared, ["fp", "size"], "left_semi").drop("fp", "pos"), "candidates")
     first = rest.groupBy("k1", "k2", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d1", "d2", "at")).alias("first")).where("n > 1")
+    first = scratch(first, "first")
     later = rest.join(first, ["k1", "k2", "size"]).where("first.d1 <> d1 or first.d2 <> d2 or first.at <> at")
     lines = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))))
     return later.groupBy("d1", "d2").agg(lines.alias("dead"))
