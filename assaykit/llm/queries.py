@@ -90,10 +90,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lid_held_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
 
 
+# What SQL can say of op3, op5 and op9: their patterns, rules and counts, by the operators' own functions.
+
+
+def llm_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    base = secrets.base_spans(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", base.alias("base")).select("doc_id", *(secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")))
+
+
+SECRET_SQL = f"""
+select doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '{secrets.ASSIGN.replace("'", "''")}', 2), lambda x: length(x) >= {secrets.MIN_ASSIGN})) as n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '{secrets.ACCESS}'), lambda x: length(x) >= {secrets.MIN_ACCESS})) as n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
+from documents
+"""
+
+
+def llm_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+QUALITY_SQL = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') as ls from d),
+g as (select doc_id, i, ws[i:i + 2] as gram from w, unnest(range(1, len(ws) - 1)) u(i)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1),
+c as (select doc_id, count(distinct i + j) as n from r, (values (0), (1), (2)) o(j) group by doc_id)
+select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+from w left join c using (doc_id)
+"""
+
+
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    return pages.select("*", url_filter.rule_of(F.col("host"), F.col("path"))[0].alias("rule"))
+
+
+URL_SQL = f"""
+with p as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') as raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+h as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from p),
+rules(h, p) as (values {", ".join(f"('{h}', '{p}')" for _, h, p in url_filter.RULES)})
+select page_id, host, path, (select r.h || r.p from rules r where (host = r.h or ends_with(host, '.' || r.h)) and starts_with(path, r.p) order by length(r.h || r.p) desc limit 1) as rule from h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id)
+    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, llm_secret_counts, llm_quality_counts, llm_url_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "llm_secret_counts": SECRET_SQL, "llm_quality_counts": QUALITY_SQL, "llm_url_rules": URL_SQL}
