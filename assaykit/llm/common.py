@@ -65,13 +65,12 @@ def letter_tables():
     """(is letter, is letter or digit, simple lower case) by code point, built once per worker."""
     import numpy as np
 
-    chars = [chr(i) for i in range(sys.maxunicode + 1)]
-    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    alnum = np.fromiter((c.isalnum() for c in chars), bool, len(chars))
-    lower = np.arange(len(chars), dtype=np.uint32)
+    n = sys.maxunicode + 1
+    letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+    alnum = np.fromiter((chr(i).isalnum() for i in range(n)), bool, n)
+    lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(letter):
-        low = chars[i].lower()
-        if len(low) == 1:
+        if len(low := chr(i).lower()) == 1:
             lower[i] = ord(low)
     return letter, alnum, lower
 

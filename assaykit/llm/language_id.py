@@ -229,7 +229,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", part=N
                     grams = _ngrams(_symbols(own[start:stop])[0])
                     held.setdefault(name, []).append(np.unique(grams[grams != 0], return_counts=True))
                     start = stop
-                if name in held and sum(len(x) for x, _ in held[name]) > 1 << 20:
+                if name in held and sum(len(x) for x, _ in held[name]) > 1 << 19:
                     fold_in(name)
         for name in held:
             fold_in(name)
