@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import ship
+
 #: By language, line comments, block comments and string quotes.
 SYNTAX = {
     "python": (("#",), (), ('"""', "'''", '"', "'")),
@@ -69,6 +71,7 @@ def with_code(files: DataFrame, path: str = "path", text: str = "text", name: st
     def strip(texts, languages):
         return texts.combine(languages, lambda t, k: blank(t, k) if t is not None and k in SYNTAX else None)
 
+    ship(files.sparkSession)
     return files.withColumn("language", language(F.col(path))).withColumn(name, strip(text, "language"))
 
 

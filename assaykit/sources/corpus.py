@@ -8,6 +8,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import map_batches
+
 #: Directories and file names that are never read.
 EXCLUDED_DIRS = (".git", "node_modules", "vendor", "__pycache__", ".venv", "dist", "build", "target")
 SECRET_NAMES = ("**/.env", "**/*.pem", "**/*.key", "**/id_rsa*", "**/*.p12", "**/*.pfx", "**/.npmrc", "**/.netrc")
@@ -52,7 +54,7 @@ def files(spark: SparkSession, root: str, max_bytes: int = 1_000_000, per_task:
                 status.append(why)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(1), pa.array(status, pa.string())], names=["path", "text", "size", "read_status"])
 
-    return rows.withColumn("why", refused).mapInArrow(read, "path string, text string, size bigint, read_status string")
+    return map_batches(rows.withColumn("why", refused), read, "path string, text string, size bigint, read_status string")
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
