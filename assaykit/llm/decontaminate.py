@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import map_batches
+
 Q = 10
 RATE = 0.08
 #: Items are searched in blocks of so many characters, each broadcast by itself.
@@ -206,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     cols = [batch.column(0).take(pa.array(t)), ids.take(pa.array(i)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = rows.mapInArrow(run, schema)
+        part = map_batches(rows, run, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -231,5 +233,5 @@ def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                         clean[a + t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

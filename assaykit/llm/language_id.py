@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.functions.ship import map_batches
 from assaykit.llm.common import cut
 
 ORDER = 4
@@ -237,7 +238,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", part=N
             yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(keys), pa.string()), pa.array([name[1]] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "part", "gram", "n"])
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(0) if part is None else part).cast("bigint").alias("part"))
-    return known.mapInArrow(run, "lang string, part bigint, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(known, run, "lang string, part bigint, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(counts: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Model:
@@ -293,7 +294,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
             extra = [pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0)), pa.array(count)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def calibrate(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:

@@ -17,6 +17,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import map_batches
+
 #: Notices by licence.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -148,4 +150,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "license", "coverage", "first_word", "last_word"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, license string, coverage double, first_word bigint, last_word bigint")
+    return map_batches(rows, run, f"doc_id {kind}, license string, coverage double, first_word bigint, last_word bigint")

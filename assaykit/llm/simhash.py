@@ -16,6 +16,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import map_batches
 from assaykit.llm.common import cut, scratch
 
 BUDGET = 4
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 out[i] = np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp bigint")
 
 
 def bit_orders(budget: int, blocks: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -223,7 +224,7 @@ def link_stars(fps: DataFrame, n: int, budget: int = BUDGET, blocks: int | None
             for k in np.unique(hc):
                 yield links(int(k), hf[hc == k])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.ship import map_batches
 from assaykit.llm.common import scratch
 
 LENGTH = 400
@@ -89,7 +90,7 @@ def _pointers(docs: DataFrame, length: int, k: int) -> DataFrame:
                 cols = [ids[0][r], ids[1][r], np.concatenate(hashes), c[:, 0], c[:, 1], np.concatenate(starts), np.concatenate(ns).astype(np.int32), np.concatenate(anchors).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=names)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, mh bigint, c1 bigint, c2 bigint, start bigint, n int, anchor int")
+    return map_batches(docs.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, mh bigint, c1 bigint, c2 bigint, start bigint, n int, anchor int")
 
 
 def column_sort(group, offset, size, data, length: int):
@@ -220,7 +221,7 @@ def _repeats_in_groups(rows: DataFrame, length: int) -> DataFrame:
             yield out
 
     dealt = rows.select("mh", "c1", "c2", "anchor", "data").repartition("mh").sortWithinPartitions("mh")
-    return dealt.mapInArrow(run, "mh bigint, c1 bigint, c2 bigint, `from` bigint, `to` bigint")
+    return map_batches(dealt, run, "mh bigint, c1 bigint, c2 bigint, `from` bigint, `to` bigint")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
@@ -289,5 +290,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    changed = touched.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    changed = map_batches(touched, run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
     return changed.unionAll(plain.select("doc_id", "n_bytes", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("binary"), "sha256"))
