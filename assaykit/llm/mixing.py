@@ -17,14 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.functions.ship import map_batches
 from assaykit.llm.common import scratch
 
 DOMAINS = ("good", "plain", "toxic")
-WEIGHTS = {"good": 0.88, "plain": 0.12, "toxic": 0.0}
+WEIGHTS = {"good": 0.86, "plain": 0.12, "toxic": 0.02}
 #: Labelled rows that the classifier is fitted on at most, taken in order of a hash of their id.
 MAX_LABELLED = 20_000
 #: Words of the classifier at most, by how far they tell domains apart.
 MAX_WORDS = 50_000
+#: A word of the classifier is seen so often, and its G statistic over the domains is at least this:
+#: rarer or weaker words would tell domains apart by chance.
+MIN_COUNT, MIN_G = 10, 25.0
 #: A posterior counts so many words of a text at most, so that long texts stay soft.
 SOFT_WORDS = 64
 #: The tokens to take in all, as a part of all tokens.
@@ -94,17 +98,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             k, w, n = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["k", "w", "n"])
 
-    counts = texts.mapInArrow(run, "k int, w binary, n bigint").groupBy("w").agg(*(F.sum(F.when(F.col("k") == i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(domains))))
+    counts = map_batches(texts, run, "k int, w binary, n bigint").groupBy("w").agg(*(F.sum(F.when(F.col("k") == i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(domains))))
     counts = scratch(counts, "words")
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains))]
     totals = np.array([x or 0 for x in counts.where("w is not null").agg(*sums).first()], float)
     seen = np.array([x or 0 for x in counts.where("w is null").agg(*sums).first()], float)
-    # a word's weight: how much its share differs between domains, times how often it is seen
-    shares = [(F.col(f"n{i}") + 0.5) / F.lit(float(totals[i]) + 1.0) for i in range(len(domains))]
-    apart = F.log(F.greatest(*shares) / F.least(*shares)) * F.sqrt(sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0)))
-    some = counts.where("w is not null and " + " + ".join(f"n{i}" for i in range(len(domains))) + " > 1").orderBy(F.desc(apart), "w").limit(max_words).collect()
+    # a word counts if its domains differ by more than chance: the G statistic of its row
+    n = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
+    parts = [F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") / n * F.lit(float(totals.sum()) / max(float(totals[i]), 1.0)))).otherwise(0.0) for i in range(len(domains))]
+    some = counts.where(F.col("w").isNotNull() & (n >= MIN_COUNT)).withColumn("g", 2 * sum(parts, F.lit(0.0))).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "w").limit(max_words).drop("g").collect()
     table = np.array([r[1:] for r in some], float).reshape(len(some), len(domains))
-    weights = np.log((table + 0.5) / (totals + 0.5 * (len(some) + 1)))
+    weights = np.log((table + 1.0) / (totals + 1.0 * (len(some) + 1)))
     weights = np.vstack((weights - weights.mean(1, keepdims=True), np.zeros((1, len(domains)))))
     return Classifier(domains, list((seen + 1) / (seen + 1).sum()), {bytes(r.w): i for i, r in enumerate(some)}, weights)
 
@@ -128,7 +132,7 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", keep: li
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens), lists], names=[*batch.schema.names[:-1], "__tokens", "__p"])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 class Rates:
@@ -143,7 +147,7 @@ class Rates:
 
         rate = ahead = np.full(len(tokens), self.start)
         for move, push, anew in self.steps:
-            new = np.maximum(0.0, (rate if anew else ahead) - tokens * (p @ move))
+            new = np.maximum(0.0, (rate if anew else ahead) - p @ move)
             ahead, rate = (1 + push) * new - push * rate, new
         return rate, ahead
 
@@ -171,15 +175,16 @@ def _sums(rows: DataFrame, of, n: int) -> list[float]:
                 total += of(*_arrays(batch))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{i}" for i in range(n)])
 
-    parts = rows.mapInArrow(run, ", ".join(f"s{i} double" for i in range(n)))
+    parts = map_batches(rows, run, ", ".join(f"s{i} double" for i in range(n)))
     return [float(x or 0) for x in parts.agg(*(F.sum(f"s{i}") for i in range(n))).first()]
 
 
 def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -> Rates:
     """Rates of rows with __tokens and __p whose expected domain tokens come closest to targets.
 
-    The rate starts equal for all rows; each step moves against the gradient, scaled by the inverse
-    Gram matrix, from a point ahead of the last two rates (Nesterov), and is cut at 0. The momentum
+    The rate starts equal for all rows; each step moves against the gradient, divided by a row's tokens
+    and scaled by the inverse Gram matrix in that metric (so that a rate depends on what a text is, not
+    on its length), from a point ahead of the last two rates (Nesterov), and is cut at 0. The momentum
     starts anew when the loss grows. A task works out its rows' rates from the steps so far, and only
     sums come to the driver. Ends at ``steps``, when the residual is under TOLERANCE of the total, or
     when eight steps gain less than SETTLED.
@@ -190,8 +195,7 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
     rows = rows.select("__tokens", "__p")
 
     def grams(tokens, p):
-        a = p * tokens[:, None]
-        return np.concatenate(([tokens.sum()], (a.T @ a).ravel()))
+        return np.concatenate(([tokens.sum()], ((p * tokens[:, None]).T @ p).ravel()))
 
     first = _sums(rows, grams, 1 + k * k)
     goal = np.array(targets, float)
@@ -247,4 +251,4 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
 
     posteriors = [F.get("__p", F.lit(i)).alias(f"posterior_{name}") for i, name in enumerate(weights)]
-    return rows.mapInArrow(run, schema).select(*keep, F.col("__tokens").alias("n_tokens"), *posteriors, F.col("__rate").alias("rate"))
+    return map_batches(rows, run, schema).select(*keep, F.col("__tokens").alias("n_tokens"), *posteriors, F.col("__rate").alias("rate"))

@@ -153,9 +153,9 @@ def test_rates_meet_targets_and_match_a_direct_solver(spark):
         r = rates.of(n.astype(float), p)[0]
         assert (r >= 0).all() and np.abs(a @ r - goal).sum() / sum(goal) == pytest.approx(rates.history[-1], abs=1e-6)
         w = np.full(300, sum(goal) / n.sum())
-        inverse = np.linalg.inv(a @ a.T)
+        inverse = np.linalg.inv(a @ p)
         for _ in range(2000):
-            w = np.maximum(0, w - a.T @ (inverse @ (a @ w - goal)))
+            w = np.maximum(0, w - p @ (inverse @ (a @ w - goal)))
         assert rates.history[-1] <= np.abs(a @ w - goal).sum() / sum(goal) + 0.05
 
 
