@@ -6,7 +6,8 @@ sure to share one. Fingerprints that stand at one position only can't start a ma
 further. At the others the match is extended both ways, a window at a time: windows of equal lines
 around equal fingerprints have one key, and of each key the first position in (doc_id, line)
 order stays. Windows that repeat an earlier one are joined to maximal runs and deleted. A line of
-``long_words`` words or more is a window by itself, so a long passage on one line counts as a run.
+``long_words`` words or more is a window by itself, so a long passage on one line counts as a run;
+with ``pairs``, so are two neighbouring lines of as many words together (three are a run anyway).
 No pairs of positions are made: a key that stands at n positions costs n rows.
 """
 
@@ -23,11 +24,11 @@ LONG_WORDS = 50
 _SALT = 0x5EED
 
 
-def _windows(text, window: int, long_words: int):
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _of_lines(lines, hashes, window, long_words)))
+def _windows(text, window: int, long_words: int, pairs: bool):
+    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _of_lines(lines, hashes, window, long_words, pairs)))
 
 
-def _of_lines(lines, hashes, window: int, long_words: int):
+def _of_lines(lines, hashes, window: int, long_words: int, pairs: bool):
     """Array of (at, size, fp, pos, k1, k2) over the lines of a text, whole-blank windows left out."""
     n = F.size(lines)
     words = lambda x: F.regexp_count(x, F.lit("[^ \\t-\\r]+"))
@@ -41,17 +42,27 @@ def _of_lines(lines, hashes, window: int, long_words: int):
         part = F.array(x)
         return F.struct(i.alias("at"), F.lit(1).alias("size"), F.xxhash64(x).alias("fp"), i.alias("pos"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(_SALT), part).alias("k2"), F.when(words(x) >= long_words, F.lit(1)).otherwise(F.lit(0)).alias("n"))
 
+    def double(i, counts):
+        part, own = F.slice(lines, i + 1, 2), F.slice(hashes, i + 1, 2)
+        low = F.array_min(own)
+        both = F.get(counts, i) + F.get(counts, i + 1)
+        return F.struct(i.alias("at"), F.lit(2).alias("size"), low.alias("fp"), (i + F.array_position(own, low).cast("int") - 1).alias("pos"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(_SALT), part).alias("k2"), F.when(both >= long_words, F.lit(1)).otherwise(F.lit(0)).alias("n"))
+
     runs = F.when(n >= window, F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), several))
     whole = F.transform(lines, single)
     none = F.array().cast("array<struct<at:int,size:int,fp:bigint,pos:int,k1:bigint,k2:bigint,n:int>>")
-    return F.filter(F.concat(F.coalesce(runs, none), whole), lambda w: w.n > 0)
+    parts = [F.coalesce(runs, none), whole]
+    if pairs:
+        twos = let(F.transform(lines, words), lambda counts: F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: double(i, counts)))
+        parts.append(F.coalesce(F.when(n >= 2, twos), none))
+    return F.filter(F.concat(*parts), lambda w: w.n > 0)
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, pairs: bool = False) -> DataFrame:
     """(d1, d2, dead): by document key, the sorted line numbers (from 0) of later repeated runs."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(_SALT), "doc_id", "text")})
-    found = keyed.select("doc_id", "d1", "d2", F.explode(_windows(F.col("text"), window, long_words)).alias("w"))
+    found = keyed.select("doc_id", "d1", "d2", F.explode(_windows(F.col("text"), window, long_words, pairs)).alias("w"))
     found = scratch(found.select("doc_id", "d1", "d2", "w.at", "w.size", "w.fp", F.xxhash64("d1", "d2", "w.pos").alias("pos"), "w.k1", "w.k2"), "windows")
     # written, so that both sides of the joins are dealt for them and a hot key's rows can be split
     shared = scratch(found.groupBy("fp", "size").agg(F.min("pos").alias("a"), F.max("pos").alias("z")).where("a <> z").select("fp", "size"), "fingerprints")
@@ -63,16 +74,16 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return later.groupBy("d1", "d2").agg(lines.alias("dead"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, pairs: bool = False) -> DataFrame:
     """docs with ``text`` less its later repeated runs, and n_lines, n_removed_lines, n_runs (BIGINT)
     under the names ``__n_lines``, ``__n_removed_lines``, ``__n_runs``.
 
     The first occurrence in (doc_id, line) order stays, a null doc_id comes first, and rows that
     repeat a doc_id with the same text are one document: they keep and lose the same lines. A null
     text stays null with no lines; an empty one has one empty line. Lines are compared exactly;
-    windows of blank lines only are no runs.
+    windows of blank lines only are no runs. ``pairs`` is off for op2, whose SQL has no such windows.
     """
-    dead = repeated_runs(docs, doc_id, text, window, long_words)
+    dead = repeated_runs(docs, doc_id, text, window, long_words, pairs)
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumns({"__d1": F.xxhash64(F.col(doc_id), body), "__d2": F.xxhash64(F.lit(_SALT), F.col(doc_id), body)})
     dead = dead.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("dead").alias("__dead"))
