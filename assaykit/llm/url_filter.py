@@ -111,11 +111,21 @@ def labelled_urls() -> list[tuple[str, str, bool]]:
     return out + [x for x in out if not x[2]]
 
 
+def joined_of(run: str, known: set[str]) -> bool:
+    """Whether a run of letters is known words run together: however often it is seen, no word of its own."""
+    ends = {0}
+    for i in range(1, len(run) + 1):
+        if any(run[j:i] in known for j in ends):
+            ends.add(i)
+    return len(run) in ends
+
+
 def word_counts(pages: DataFrame, host: str = "host", path: str = "path", max_words: int = MAX_WORDS) -> dict[str, int]:
     """Unigrams over all urls: runs of letters of hosts (without the last label) and paths, by count."""
     runs = F.concat(F.regexp_extract_all(F.regexp_replace(F.col(host), r"\.[^.]*$", ""), F.lit(r"\p{L}+"), F.lit(0)), F.regexp_extract_all(F.lower(F.col(path)), F.lit(r"\p{L}+"), F.lit(0)))
     top = pages.select(F.explode(runs).alias("w")).where(F.length("w") <= LONGEST_WORD).groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words)
-    counts = {r.w: r["count"] for r in top.collect()}
+    known = {*BLOCKED, *ALLOWED}
+    counts = {r.w: r["count"] for r in top.collect() if r.w in known or not joined_of(r.w, known)}
     for w in (*BLOCKED, *ALLOWED):
         counts[w] = counts.get(w, 0) + PSEUDO_COUNT
     return counts
