@@ -89,9 +89,10 @@ class Templates:
         self.vocabulary = {w for _, words in self.all for w in words}
 
     def places(self, words: list[bytes], known: list[int], k: int) -> list[tuple[int, int]]:
-        """Windows of words, merged where they overlap, in which template k can reach its coverage:
-        each stretch of twice the template's length with enough of its words. ``known`` are the
-        positions of words of any template."""
+        """Windows of words in which template k can reach its coverage: each stretch of twice the
+        template's length with enough of its words, merged where they overlap, and each least stretch
+        with enough of them and as many words around it as may be missing, so that a notice that is
+        there twice is aligned alone as well. ``known`` are the positions of words of any template."""
         need, counts, n = self.coverage * len(self.all[k][1]), self.counts[k], len(self.all[k][1])
         own = [i for i in known if words[i] in counts]
         out: list[list[int]] = []
@@ -110,27 +111,47 @@ class Templates:
                     out[-1][1] = i + 1
                 else:
                     out.append([own[left], i + 1])
-        return [(a, b) for a, b in out]
-
-    def best(self, raw: bytes):
-        """(licence, coverage, first word, last word + 1) of the template best covered, or None: more
-        aligned words win, then the template named first, then the place that comes first."""
+        merged = [(a, b) for a, b in out]
+        slack = n - int(need)
+        have, total, left = Counter(), 0, 0
+        least = set()
+        for i in own:
+            have[words[i]] += 1
+            total += have[words[i]] <= counts[words[i]]
+            while total >= need:
+                w, at = words[own[left]], own[left]
+                total -= have[w] <= counts[w]
+                have[w] -= 1
+                left += 1
+                if total < need and i - at < 2 * n:
+                    least.add((max(0, at - slack), min(len(words), i + 1 + slack)))
+        return merged + sorted(least - set(merged))
+
+    def notices(self, raw: bytes):
+        """(licence, coverage, first word, last word + 1) of the notices in a text that don't overlap,
+        the best first: more aligned words win, then the template named first, then the shorter
+        place, then the one that comes first."""
         words = words_of(raw)
         if self.vocabulary.isdisjoint(words):
-            return None
+            return []
         known = [i for i, w in enumerate(words) if w in self.vocabulary]
-        found = None
-        for k, (name, template) in enumerate(self.all):
+        found = set()
+        for k, (_, template) in enumerate(self.all):
             for a, b in self.places(words, known, k):
                 pairs = patience_align(words[a:b], template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and (found is None or len(pairs) > found[0]):
-                    found = (len(pairs), name, share, a + pairs[0][0], a + pairs[-1][0] + 1)
-        return found and found[1:]
+                if pairs and len(pairs) / len(template) >= self.coverage:
+                    first, last = a + pairs[0][0], a + pairs[-1][0] + 1
+                    found.add((-len(pairs), k, last - first, first, last))
+        out = []
+        for pairs, k, _, first, last in sorted(found):
+            if all(last <= a or first >= b for _, _, a, b in out):
+                out.append((self.all[k][0], -pairs / len(self.all[k][1]), first, last))
+        return out
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, first_word, last_word): the notice best covered in each whole text.
+    """(doc_id, license, coverage, first_word, last_word, notices): the notice best covered in each
+    whole text, and all that don't overlap as licence:first_word:last_word, in order of place.
 
     license is null, coverage 0 and the positions null where no template reaches ``coverage``, as in
     null and empty texts. Positions count words, last_word is inclusive. A row per row of docs.
@@ -144,10 +165,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         from assaykit.llm.common import binary_column
 
         for batch in batches:
-            hits = [known.best(raw) or (None, 0.0, None, None) for raw in binary_column(batch, "text").to_pylist()]
+            hits = [known.notices(raw) for raw in binary_column(batch, "text").to_pylist()]
+            every = [",".join(f"{name}:{a}:{b - 1}" for name, _, a, b in sorted(h, key=lambda x: x[2])) for h in hits]
+            hits = [h[0] if h else (None, 0.0, None, None) for h in hits]
             names, shares, first, last = zip(*hits) if hits else ((), (), (), ())
-            cols = [pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(first, pa.int64()), pa.array([x and x - 1 for x in last], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "license", "coverage", "first_word", "last_word"])
+            cols = [pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(first, pa.int64()), pa.array([x and x - 1 for x in last], pa.int64()), pa.array(every, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "license", "coverage", "first_word", "last_word", "notices"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, f"doc_id {kind}, license string, coverage double, first_word bigint, last_word bigint")
+    return map_batches(rows, run, f"doc_id {kind}, license string, coverage double, first_word bigint, last_word bigint, notices string")
