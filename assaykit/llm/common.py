@@ -18,13 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a folder of
+    our own is set in local mode; on a cluster that is an error, as each executor would write to its
+    own disk and later reads would miss those files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="assaykit-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -36,7 +41,27 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/assaykit-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._assaykit_at = at
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables of scratch() that no later read needs."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._assaykit_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores appended until none is that of a column, in either case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

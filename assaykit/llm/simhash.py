@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import cut, scratch
+from assaykit.llm.common import cut, discard, scratch
 
 BUDGET = 4
 SHINGLE = 4
@@ -230,21 +230,24 @@ def link_stars(fps: DataFrame, n: int, budget: int = BUDGET, blocks: int | None
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of undirected ``edges`` (a, b); root is the smallest node.
 
-    Alternates the large-star and small-star steps (Kiveris et al. 2014) with a checkpoint a
-    round until no edge changes. Nodes without an edge are not returned.
+    Alternates the large-star and small-star steps (Kiveris et al. 2014), writing the edges each
+    round, until no edge changes. Nodes without an edge are not returned.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    held = e
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(e.select("x.u", "x.v").where("u <> v").distinct())
+        e, old = scratch(e.select("x.u", "x.v").where("u <> v").distinct(), "edges"), held
+        discard(old)
+        held = e
         after = mark(e)
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
