@@ -12,25 +12,26 @@ and the projected one by a few.
 from __future__ import annotations
 
 import math
+import re
+import statistics
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import scratch
+from assaykit.llm.common import discard, scratch, spare
 
 DOMAINS = ("good", "plain", "toxic")
-WEIGHTS = {"good": 0.86, "plain": 0.12, "toxic": 0.02}
+WEIGHTS = {"good": 0.88, "plain": 0.12, "toxic": 0.0}
 #: Labelled rows that the classifier is fitted on at most, taken in order of a hash of their id.
 MAX_LABELLED = 20_000
-#: Words of the classifier at most, by how far they tell domains apart.
-MAX_WORDS = 50_000
-#: A word of the classifier is seen so often, and its G statistic over the domains is at least this:
-#: rarer or weaker words would tell domains apart by chance.
-MIN_COUNT, MIN_G = 10, 25.0
-#: A posterior counts so many words of a text at most, so that long texts stay soft.
-SOFT_WORDS = 64
+#: The classifier's features are whole words, the first so many code points of longer ones, and marks.
+PREFIX = 4
+#: The chance that a feature which says nothing is taken for one that tells domains apart.
+CHANCE = 1e-4
+#: Posteriors are rounded to this part of one; documents of equal rounded posteriors have one rate.
+GRID = 256
 #: The tokens to take in all, as a part of all tokens.
 SHARE = 0.5
 MAX_STEPS = 40
@@ -44,8 +45,19 @@ def quality_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain").alias("domain"))
 
 
+_MARKS = re.compile(r"[^\w\s.,;:'\"()?\u2019\u201c\u201d-]")
+
+
+def features(raw: bytes) -> list[bytes]:
+    """Lower-case words of a text; ^ with the first PREFIX code points of each longer one; and ~ for each
+    word with a mark that ordinary sentences lack."""
+    words = raw.decode("utf-8", "replace").lower().split()
+    marked = [b"~" for w in words if _MARKS.search(w)]
+    return [w.encode() for w in words] + [b"^" + w[:PREFIX].encode() for w in words if len(w) > PREFIX] + marked
+
+
 class Classifier:
-    """Multinomial naive Bayes on words, with its log-probabilities in one array."""
+    """Multinomial naive Bayes on features(), with its log-probabilities in one array."""
 
     def __init__(self, domains: list[str], prior: list[float], words: dict[bytes, int], weights):
         self.domains, self.prior, self.words, self.weights = domains, prior, words, weights
@@ -57,21 +69,29 @@ class Classifier:
         tokens, out = np.zeros(len(raws), np.int64), np.zeros((len(raws), len(self.domains)))
         find = self.words.get
         for i, raw in enumerate(raws):
-            words = raw.lower().split()
-            tokens[i] = len(words)
-            known = np.fromiter(map(find, words, [len(self.words)] * len(words)), np.int64, len(words))
-            score = self.weights[known].sum(0)
-            score = np.log(self.prior) + score * min(1.0, SOFT_WORDS / max(1, len(words)))
+            found = features(raw)
+            tokens[i] = len(raw.split())
+            known = [x for x in map(find, found) if x is not None]
+            score = np.log(self.prior) + self.weights[known].sum(0)
             score = np.exp(score - score.max())
             out[i] = score / score.sum()
         return tokens, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain", domains=DOMAINS, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> Classifier:
+def least_g(n_domains: int, chance: float = CHANCE) -> float:
+    """The G statistic that a feature which says nothing of the domains passes with probability
+    ``chance``: the chi-squared quantile by Wilson and Hilferty."""
+    d, z = n_domains - 1, statistics.NormalDist().inv_cdf(1 - chance)
+    return d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3 if d else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain", domains=DOMAINS, max_labelled: int = MAX_LABELLED) -> Classifier:
     """A classifier of labelled documents; unlabelled, unknown and null domains are left out.
 
-    A document with several labels counts for each. The labelled rows are bounded by
-    ``max_labelled``, and so is what is broadcast and collected here.
+    A document with several labels counts for each. A feature is used if the share of documents with it
+    differs between domains by more than chance (G test), so there is no least count and no most number
+    of them. The labelled rows are bounded by ``max_labelled``, and so is
+    what is broadcast and collected here.
     """
     import numpy as np
 
@@ -88,38 +108,48 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         from assaykit.llm.common import binary_column
 
         counts: dict[int, Counter] = {}
+        held: dict[int, Counter] = {}
         seen: Counter = Counter()
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), binary_column(batch, "text").to_pylist()):
-                counts.setdefault(k, Counter()).update(raw.lower().split())
+                own = Counter(features(raw))
+                counts.setdefault(k, Counter()).update(own)
+                held.setdefault(k, Counter()).update(own.keys())
                 seen[k] += 1
-        rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()] + [(k, None, n) for k, n in seen.items()]
+        rows = [(k, w, n, held[k][w]) for k, c in counts.items() for w, n in c.items()] + [(k, None, 0, n) for k, n in seen.items()]
         if rows:
-            k, w, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["k", "w", "n"])
-
-    counts = map_batches(texts, run, "k int, w binary, n bigint").groupBy("w").agg(*(F.sum(F.when(F.col("k") == i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(domains))))
-    counts = scratch(counts, "words")
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains))]
-    totals = np.array([x or 0 for x in counts.where("w is not null").agg(*sums).first()], float)
-    seen = np.array([x or 0 for x in counts.where("w is null").agg(*sums).first()], float)
-    # a word counts if its domains differ by more than chance: the G statistic of its row
-    n = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
-    parts = [F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") / n * F.lit(float(totals.sum()) / max(float(totals[i]), 1.0)))).otherwise(0.0) for i in range(len(domains))]
-    some = counts.where(F.col("w").isNotNull() & (n >= MIN_COUNT)).withColumn("g", 2 * sum(parts, F.lit(0.0))).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "w").limit(max_words).drop("g").collect()
+            k, w, n, d = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["k", "w", "n", "d"])
+
+    several = range(len(domains))
+    of = lambda c: [F.sum(F.when(F.col("k") == i + 1, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i in several]
+    counts = scratch(map_batches(texts, run, "k int, w binary, n bigint, d bigint").groupBy("w").agg(*of("n"), *of("d")), "words")
+    sums = counts.where("w is not null").agg(*(F.sum(f"n{i}") for i in several)).first()
+    seen = np.array([x or 0 for x in counts.where("w is null").agg(*(F.sum(f"d{i}") for i in several)).first()], float)
+    totals, all_ = np.array([x or 0 for x in sums], float), float(seen.sum())
+    d = sum((F.col(f"d{i}") for i in several), F.lit(0))
+
+    def part(x, whole, share):
+        return F.when((x > 0) & (whole > 0), x * F.log(x / (whole * share))).otherwise(0.0)
+
+    g = F.lit(0.0)
+    for i in several:
+        if seen[i]:
+            share = F.lit(float(seen[i]) / all_)
+            g = g + part(F.col(f"d{i}"), d, share) + part(F.lit(float(seen[i])) - F.col(f"d{i}"), F.lit(all_) - d, share)
+    some = counts.where("w is not null").where(2 * g >= least_g(len(domains))).select("w", *(f"n{i}" for i in several)).orderBy("w").collect()
+    discard(counts)
     table = np.array([r[1:] for r in some], float).reshape(len(some), len(domains))
-    weights = np.log((table + 1.0) / (totals + 1.0 * (len(some) + 1)))
-    weights = np.vstack((weights - weights.mean(1, keepdims=True), np.zeros((1, len(domains)))))
+    weights = np.log((table + 0.5) / (totals + 0.5))
+    weights -= weights.mean(1, keepdims=True)
     return Classifier(domains, list((seen + 1) / (seen + 1).sum()), {bytes(r.w): i for i, r in enumerate(some)}, weights)
 
 
-def memberships(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs with __tokens and __p, the posteriors in order of the domains."""
+def memberships(docs: DataFrame, model: Classifier, text: str, tokens: str, posterior: str) -> DataFrame:
+    """docs with two more columns: the number of tokens and the posteriors in order of the domains."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = list(docs.columns if keep is None else keep)
     index = docs.columns.index(text)
-    rows = docs.select(*keep, docs[docs.columns[index]].alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in keep]).add("__tokens", T.LongType()).add("__p", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*docs.schema, T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import numpy as np
@@ -128,11 +158,20 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", keep: li
         from assaykit.llm.common import binary_column
 
         for batch in batches:
-            tokens, p = shared.value.posteriors(binary_column(batch, "__text").to_pylist())
+            n, p = shared.value.posteriors(binary_column(batch, batch.schema.names[index]).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens), lists], names=[*batch.schema.names[:-1], "__tokens", "__p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), lists], names=[*batch.schema.names, tokens, posterior])
+
+    return map_batches(docs, run, schema)
 
-    return map_batches(rows, run, schema)
+
+def cells(rows: DataFrame, n: int, grid: int = GRID) -> DataFrame:
+    """(cell, __tokens, __p) of rows (__tokens, __p): rows of equal rounded posteriors, their tokens and
+    their mean posteriors by tokens, so that sums over cells are those over rows."""
+    cell = F.transform("__p", lambda x: F.round(x * grid).cast("int"))
+    tokens = F.sum("__tokens").cast("double")
+    mean = F.array(*(F.sum(F.col("__tokens") * F.get("__p", F.lit(i))) / F.greatest(F.sum("__tokens"), F.lit(1)) for i in range(n)))
+    return rows.groupBy(cell.alias("cell")).agg(tokens.alias("__tokens"), mean.alias("__p"))
 
 
 class Rates:
@@ -227,28 +266,50 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "domain", weights: dict[str, float] | None = None, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id if None) of docs, n_tokens, posterior_<domain> and rate.
+    """The columns ``keep`` (doc_id if None) of docs, n_tokens, posterior_<domain>, rate and residual.
 
     The rates' expected domain tokens match ``share`` of all tokens, dealt by ``weights``, as
-    closely as nonnegative rates can. A null or empty text has no tokens, the prior as posterior
-    and the starting rate's share of nothing. Without labels the posteriors are equal. Repeated
-    rows are rows like others.
+    closely as nonnegative rates can. A domain of weight 0 is unwanted: documents of no likelier domain
+    have rate 0, and its target is what the others bring of it at equal rates, so that soft memberships of
+    clean documents cost them nothing. residual is what is left, as a part of the target, equal in all
+    rows. Documents of one rounded posterior have one rate, and the steps run over these cells, of
+    which there are no more than GRID allows, so documents are scanned once for all steps.
+
+    A null or empty text has no tokens, the prior as posterior and that cell's rate. Without labels the
+    posteriors are equal. Repeated rows are rows like others and have equal rates; ties can't occur. An
+    empty table gives an empty result. A column of ``keep`` with the name of one that is added (rate,
+    say) keeps its name and its values; the added one has underscores appended.
     """
     weights = weights or WEIGHTS
-    keep = [doc_id] if keep is None else keep
+    keep = [doc_id] if keep is None else list(keep)
     model = fit(docs, labels, doc_id, text, domain, list(weights))
-    rows = scratch(memberships(docs, model, text, keep), "memberships")
-    total = float(rows.agg(F.sum("__tokens")).first()[0] or 0)
-    scale = total * share / (math.fsum(weights.values()) or 1.0)
-    rates = solve_rates(rows, [w * scale for w in weights.values()])
-    schema = T.StructType([*rows.schema.fields, T.StructField("__rate", T.DoubleType())])
+    tokens, posterior, cell, body = spare(keep, "__tokens", "__p", "__cell", "__text")
+    named = docs.select(*(F.col(c) for c in keep), F.col(text).alias(body))
+    rows = scratch(memberships(named, model, body, tokens, posterior).drop(body), "memberships")
+    table = scratch(cells(rows.select(F.col(tokens).alias("__tokens"), F.col(posterior).alias("__p")), len(weights)), "cells")
+    total = float(table.agg(F.sum("__tokens")).first()[0] or 0)
+    brought, wanted = [0.0] * len(weights), F.lit(True)
+    if unwanted := [i for i, w in enumerate(weights.values()) if not w]:
+        own = [F.get("__p", F.lit(i)) for i in unwanted]
+        for x in own:
+            wanted &= x < F.array_max("__p")
+        got = table.where(wanted).agg(*(F.sum(F.col("__tokens") * x) for x in own)).first()
+        for i, x in zip(unwanted, got):
+            brought[i] = share * float(x or 0)
+    scale = (total * share - math.fsum(brought)) / (math.fsum(weights.values()) or 1.0)
+    rates = solve_rates(table.where(wanted), [w * scale if w else b for w, b in zip(weights.values(), brought)])
+    residual = rates.history[-1] if rates.history else 0.0
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rate = rates.of(*_arrays(batch))[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
-
-    posteriors = [F.get("__p", F.lit(i)).alias(f"posterior_{name}") for i, name in enumerate(weights)]
-    return map_batches(rows, run, schema).select(*keep, F.col("__tokens").alias("n_tokens"), *posteriors, F.col("__rate").alias("rate"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates.of(*_arrays(batch))[0])], names=["cell", "rate"])
+
+    found = scratch(map_batches(table.where(wanted), run, "cell array<int>, rate double"), "rates")
+    (rate,) = spare([*keep, tokens, posterior], "__rate")
+    found = found.select(F.col("cell").alias(cell), F.col("rate").alias(rate))
+    rows = rows.withColumn(cell, F.transform(posterior, lambda x: F.round(x * GRID).cast("int"))).join(found, cell, "left")
+    added = spare(keep, "n_tokens", *(f"posterior_{name}" for name in weights), "rate", "residual")
+    values = [F.col(tokens), *(F.get(posterior, F.lit(i)) for i in range(len(weights))), F.coalesce(rate, F.lit(0.0)), F.lit(residual)]
+    return rows.select(*keep, *(v.alias(a) for v, a in zip(values, added)))
