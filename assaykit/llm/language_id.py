@@ -333,5 +333,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that are not rejected, with the columns of docs."""
-    return identify(docs, doc_id, text, lang, "__lid_").where("not __lid_rejected").select(*docs.columns)
+    """The rows of docs that are not rejected, with the columns of docs, whatever their names."""
+    prefix = "__lid_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return identify(docs, doc_id, text, lang, prefix).where(~F.col(prefix + "rejected")).select(*docs.columns)
