@@ -2,7 +2,9 @@
 
 Each language has one n-gram model. Counts cover all training texts and are summed in Spark; the
 model is a set of arrays sorted by hash, shared by all languages, so one lookup of a symbol's
-n-gram gives its log-probability in every language. The language with the lowest cross-entropy a
+n-gram gives its log-probability in every language. No n-gram is left out, however rare. A model of
+more than ``MAX_CELLS`` values is cut into shards by the last symbol but one, which an n-gram shares
+with all that its probability is interpolated from; one shard at a time is collected and broadcast. The language with the lowest cross-entropy a
 symbol wins. How far above its language's mean a cross-entropy may lie, for a text of its length,
 is calibrated on a fifth of the documents with a model of the rest; a text beyond that, or without a letter, is rejected.
 """
@@ -14,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import cut
+from assaykit.llm.common import cut, scratch, spare
 
 ORDER = 4
-#: Most n-grams that a language keeps, by count. It bounds the model that is broadcast, at 8 bytes
-#: and 4 a language for each entry.
-MAX_NGRAMS = 2_000_000
+#: Most values (n-grams times languages) that are collected and broadcast at once, at about 50 bytes a
+#: value on the driver while a shard is built and 12 in a worker. One symbol's n-grams aren't cut.
+MAX_CELLS = 8_000_000
 FOLDS = 5
 #: A text is rejected beyond this many times the calibrated spread.
 MARGIN = 2.0
@@ -120,18 +122,25 @@ class HashArray:
 class Model:
     """Interpolated Kneser-Ney probabilities of all languages, as hash arrays by order."""
 
-    def __init__(self, langs: list[str], grams, lang_of, counts):
-        """grams, lang_of, counts: n-grams of the top order, the language's number and the count."""
+    def __init__(self, langs: list[str], grams, lang_of, counts, whole=None, symbols=None, others=None):
+        """grams, lang_of, counts: n-grams of the top order, the language's number and the count.
+
+        Of a shard, ``symbols`` are the last symbols but one of its n-grams, or ``others`` those of all other
+        shards, so that one shard has the n-grams of symbols that were never seen; ``whole`` is what it
+        needs of all n-grams: by order the numbers of n-grams that occur once and twice, by language, and
+        the keys and counts of single symbols."""
         import numpy as np
 
-        self.langs = langs
+        self.langs, self.symbols, self.others = langs, symbols, others
         n_langs = len(langs)
         keys, inverse = np.unique(grams, return_inverse=True)
         table = np.zeros((len(keys), n_langs))
         np.add.at(table, (inverse, lang_of), counts)
         levels = []
         for order in range(ORDER, 0, -1):
-            once, twice = (table == 1).sum(0), (table == 2).sum(0)
+            if whole and order == 1:
+                keys, table = whole[1]
+            once, twice = whole[0][order] if whole else ((table == 1).sum(0), (table == 2).sum(0))
             discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
             context, of = np.unique(keys >> np.uint64(16), return_inverse=True)
             total, kinds = np.zeros((len(context), n_langs)), np.zeros((len(context), n_langs))
@@ -172,8 +181,9 @@ class Model:
             out[miss] = share * self._prob(order - 1, k & np.uint64((1 << 16 * (order - 1)) - 1))
         return out
 
-    def entropies(self, raws: list[bytes]):
-        """(bits a symbol by text and language, symbols, letters) of texts."""
+    def sums(self, raws: list[bytes]):
+        """(bits by text and language, symbols, letters) of texts; the bits are those of the n-grams of
+        the shard, if the model is one."""
         import numpy as np
 
         n, n_langs = len(raws), len(self.langs)
@@ -188,6 +198,11 @@ class Model:
             grams = _ngrams(symbols)
             real = grams != 0
             grams, doc = grams[real], doc[real]
+            count[start:stop] = np.bincount(doc, minlength=stop - start)
+            if self.symbols is not None or self.others is not None:
+                last = grams >> np.uint64(16) & np.uint64(0xFFFF)
+                own = np.isin(last, self.symbols) if self.others is None else ~np.isin(last, self.others)
+                grams, doc = grams[own], doc[own]
             at = self.top.find(grams)
             logs = self.top.values[at]
             miss = np.flatnonzero(at < 0)
@@ -195,8 +210,14 @@ class Model:
                 logs[miss] = np.log2(self._prob(ORDER, grams[miss]))
             for k in range(n_langs):
                 bits[start:stop, k] = -np.bincount(doc, weights=logs[:, k], minlength=stop - start)
-            count[start:stop] = np.bincount(doc, minlength=stop - start)
             start = stop
+        return bits, count, letters
+
+    def entropies(self, raws: list[bytes]):
+        """(bits a symbol by text and language, symbols, letters) of texts."""
+        import numpy as np
+
+        bits, count, letters = self.sums(raws)
         return bits / np.maximum(count, 1)[:, None], count, letters
 
 
@@ -241,63 +262,166 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", part=N
     return map_batches(known, run, "lang string, part bigint, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """A model of every language in ngram_counts(). Beyond ``max_ngrams`` n-grams a language keeps
-    those of the highest counts, whole counts at a time."""
+class Trained:
+    """The languages and the shards of a model, each built when it is asked for."""
+
+    def __init__(self, langs: list[str], shards: list):
+        self.langs, self.shards = langs, shards
+
+
+def train(counts: DataFrame, max_cells: int = MAX_CELLS) -> Trained:
+    """A model of every language in ngram_counts(), in shards of at most ``max_cells`` values each,
+    unless one symbol has more. The result is the same for any number of shards."""
     import numpy as np
 
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    floor: dict[str, int] = {}
-    kept: dict[str, int] = {}
-    for r in counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("m")).orderBy("lang", F.desc("n")).collect():
-        kept[r.lang] = kept.get(r.lang, 0) + r.m
-        if kept[r.lang] <= max_ngrams or r.lang not in floor:
-            floor[r.lang] = r.n
-    some = F.lit(False)
-    for name, least in floor.items():
-        some |= (F.col("lang") == name) & (F.col("n") >= least)
-    got = counts.where(some).toArrow()
-    langs = sorted(set(floor))
+    symbol = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    sizes = counts.groupBy("lang", symbol.alias("symbol")).agg(F.count("*").alias("m")).collect()
+    langs = sorted({r.lang for r in sizes})
+    if not langs:
+        return Trained([], [])
+    by_symbol: dict[int, int] = {}
+    for r in sizes:
+        by_symbol[r.symbol] = by_symbol.get(r.symbol, 0) + r.m * len(langs)
+    parts: list[list[int]] = [[]]
+    held = 0
+    for s in sorted(by_symbol):
+        if parts[-1] and held + by_symbol[s] > max_cells:
+            parts.append([])
+            held = 0
+        parts[-1].append(s)
+        held += by_symbol[s]
     number = {k: i for i, k in enumerate(langs)}
-    lang_of = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
-    return Model(langs, got["gram"].to_numpy().view(np.uint64), lang_of, got["n"].to_numpy())
+    several = len(parts) > 1
+    if several:
+        counts = scratch(counts, "ngrams")
+        whole = _whole(counts, number)
+
+    def shard(symbols: list[int]):
+        def build() -> Model:
+            got = (counts.where(symbol.isin(symbols)) if several else counts).toArrow()
+            lang_of = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
+            rest = {}
+            if several and symbols is parts[0]:
+                rest = {"whole": whole, "others": np.array([s for p in parts[1:] for s in p], np.uint64)}
+            elif several:
+                rest = {"whole": whole, "symbols": np.array(symbols, np.uint64)}
+            return Model(langs, got["gram"].to_numpy().view(np.uint64), lang_of, got["n"].to_numpy(), **rest)
+
+        return build
+
+    return Trained(langs, [shard(p) for p in parts])
+
+
+def _whole(counts: DataFrame, number: dict[str, int]):
+    """What a shard needs of all n-grams (lang, gram, n); single symbols and languages are few."""
+    import numpy as np
+
+    seen = {}
+    for order in range(ORDER, 0, -1):
+        seen[order] = np.zeros(len(number)), np.zeros(len(number))
+        for r in counts.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("int")), F.sum((F.col("n") == 2).cast("int"))).collect():
+            seen[order][0][number[r.lang]], seen[order][1][number[r.lang]] = r[1], r[2]
+        if order > 1:
+            mask = F.lit((1 << 16 * (order - 1)) - 1).cast("bigint")
+            counts = scratch(counts.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    rows = counts.collect()
+    keys = np.unique(np.array([r.gram for r in rows], np.uint64))
+    table = np.zeros((len(keys), len(number)))
+    for r in rows:
+        table[np.searchsorted(keys, np.uint64(r.gram)), number[r.lang]] = r.n
+    return seen, (keys, table)
+
+
+def _judged(langs: list[str], bits, count, letters):
+    """(predictions, scores, bits of the predicted language, symbols) as arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = np.array([*langs, UNKNOWN], dtype=object)
+    known = (letters > 0) & (len(langs) > 0)
+    if len(langs):
+        best = bits.argmin(1)
+        low = bits[np.arange(len(bits)), best]
+        weight = np.exp2((low[:, None] - bits) * np.minimum(count, SCORE_SYMBOLS)[:, None])
+        score = np.where(known, 1.0 / weight.sum(1), 0.0)
+    else:
+        best, low, score = np.zeros(len(count), np.int64), np.zeros(len(count)), np.zeros(len(count))
+    return [pa.array(names[np.where(known, best, -1)], pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0)), pa.array(count)]
 
 
-def annotate(docs: DataFrame, model: Model, text: str = "text", prefix: str = "lid_") -> DataFrame:
+def annotate(docs: DataFrame, model: Trained, text: str = "text", prefix: str = "lid_") -> DataFrame:
     """docs with four more columns: pred (a language, or UNKNOWN for a text without a letter), score
-    (0 to 1), bits (cross-entropy a symbol) and symbols; their names start with ``prefix``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    index = docs.columns.index(text)
+    (0 to 1), bits (cross-entropy a symbol) and symbols; their names start with ``prefix``. Of languages
+    of equal cross-entropy the first by name is predicted."""
     fields = [T.StructField(prefix + n, t) for n, t in (("pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType()), ("symbols", T.LongType()))]
+    schema = T.StructType([*docs.schema.fields, *fields])
+    if len(model.shards) > 1:
+        return _by_shards(docs, model, text, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model.shards[0]() if model.shards else Model([], *_none()))
+    index = docs.columns.index(text)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         from assaykit.llm.common import binary_column
 
         m = shared.value
-        names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            raws = binary_column(batch, batch.schema.names[index]).to_pylist()
-            bits, count, letters = m.entropies(raws)
-            known = (letters > 0) & (len(m.langs) > 0)
-            if len(m.langs):
-                best = bits.argmin(1)
-                low = bits[np.arange(len(bits)), best]
-                weight = np.exp2((low[:, None] - bits) * np.minimum(count, SCORE_SYMBOLS)[:, None])
-                score = np.where(known, 1.0 / weight.sum(1), 0.0)
-            else:
-                best, low, score = np.zeros(len(raws), np.int64), np.zeros(len(raws)), np.zeros(len(raws))
-            pred = names[np.where(known, best, -1)]
-            extra = [pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(known, low, 0.0)), pa.array(count)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(f.name for f in fields)])
-
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, *fields]))
-
-
-def calibrate(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
+            extra = _judged(m.langs, *m.entropies(binary_column(batch, batch.schema.names[index]).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
+
+    return map_batches(docs, run, schema)
+
+
+def _none():
+    import numpy as np
+
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _by_shards(docs: DataFrame, model: Trained, text: str, schema: T.StructType) -> DataFrame:
+    """annotate() with one shard broadcast at a time: each gives its bits of every row, which are added."""
+    row, own = spare(schema.names, "__row", "__bits")
+    rows = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    found = None
+    for build in model.shards:
+        shared = docs.sparkSession.sparkContext.broadcast(build())
+
+        def run(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            from assaykit.llm.common import binary_column
+
+            for batch in batches:
+                bits, count, letters = shared.value.sums(binary_column(batch, "text").to_pylist())
+                table = np.column_stack((bits, count, letters)).astype(float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * table.shape[1], pa.int32()), pa.array(table.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "bits"])
+
+        part = scratch(map_batches(texts, run, "row bigint, bits array<double>"), "bits")
+        shared.destroy()
+        found = part if found is None else found.unionAll(part)
+    langs, n = model.langs, len(model.langs)
+    sums = F.array(*(F.sum(F.get("bits", F.lit(i))) if i < n else F.max(F.get("bits", F.lit(i))) for i in range(n + 2)))
+    total = found.groupBy(F.col("row").alias(row)).agg(sums.alias(own))
+
+    def judge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            table = np.reshape(batch.columns[-1].flatten().to_numpy(zero_copy_only=False), (batch.num_rows, n + 2))
+            count, letters = table[:, n].astype(np.int64), table[:, n + 1].astype(np.int64)
+            extra = _judged(langs, table[:, :n] / np.maximum(count, 1)[:, None], count, letters)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=schema.names)
+
+    return map_batches(rows.join(total, row).select(*docs.columns, own), judge, schema)
+
+
+def calibrate(docs: DataFrame, model: Trained, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
     """(mean bits a symbol, spread) by language: the spread is the 99.9 % point of the excess over the
     mean times the root of the length, over the texts whose language is found."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -317,7 +441,7 @@ def rejected(limits: dict[str, tuple[float, float]], prefix: str = "lid_", margi
     return (F.col(prefix + "pred") == UNKNOWN) | far
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "lid_") -> DataFrame:
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "lid_", max_cells: int = MAX_CELLS) -> DataFrame:
     """docs with ``prefix`` + pred, score, bits, symbols, rejected and held_out.
 
     Learns from rows whose fold is not 0 and whose language is not null; the rejection is calibrated
@@ -325,9 +449,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """
     learn = docs.where(fold(doc_id) != 0)
     counts = cut(ngram_counts(learn, text, lang, fold(doc_id)))
-    model = train(counts)
-    spare = train(counts.where("part <> 1"))
-    limits = calibrate(docs.where(fold(doc_id) == 1), spare, text, lang) if spare.langs else {}
+    model = train(counts, max_cells)
+    rest = train(counts.where("part <> 1"), max_cells)
+    limits = calibrate(docs.where(fold(doc_id) == 1), rest, text, lang) if rest.langs else {}
     out = annotate(docs, model, text, prefix)
     return out.withColumns({prefix + "rejected": rejected(limits, prefix), prefix + "held_out": fold(doc_id) == 0})
 
