@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assaykit.functions.ship import map_batches
 
@@ -112,9 +113,11 @@ class Items:
         width = self.width[item]
         band = diagonal // width
         again = diagonal - band * width < self.edits[item]
-        key = (text[which] * len(self.ids) + item) << 32
+        # pairs are numbered, so that a number and a band fit 64 bits however many texts and items there are
+        pairs, number = np.unique(text[which] * len(self.ids) + item, return_inverse=True)
+        key = number.astype(np.int64) << 32
         bands, count = np.unique(np.concatenate((key + band + (1 << 30), (key + band - 1 + (1 << 30))[again])), return_counts=True)
-        pair, band = bands >> 32, (bands & 0xFFFFFFFF) - (1 << 30)
+        pair, band = pairs[bands >> 32], (bands & 0xFFFFFFFF) - (1 << 30)
         text, item = pair // len(self.ids), pair % len(self.ids)
         found: dict[tuple[int, int], list] = {}
         for t, i, b in zip(*(x[count >= self.needed[item]].tolist() for x in (text, item, band))):
@@ -189,6 +192,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, start bigint, end bigint, edits int"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = to_arrow_type(items.schema[item_id].dataType)
     out = None
     for block in item_blocks(items, item_id, item_text, q, rate, block_chars):
         shared = spark.sparkContext.broadcast(block)
@@ -199,7 +203,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             from assaykit.llm.common import binary_column
 
             known = shared.value
-            ids = pa.array(known.ids, pa.string() if known.ids and isinstance(known.ids[0], str) else pa.int64())
+            ids = pa.array(known.ids, kind)
             for batch in batches:
                 raws = binary_column(batch, "text").to_pylist()
                 hits = [(a + t, *rest) for a, b in _runs(raws) for t, *rest in known.occurrences(raws[a:b])]
