@@ -1,9 +1,13 @@
 """URL filters: rules first, then words of host and path under naive Bayes.
 
 A host's labels often run words together. Each run of letters is split into the words of the
-highest unigram probability (Viterbi), unigrams being counted over all urls together with the
-labelled sample's words. Multinomial naive Bayes on the words, fitted on a labelled sample of
-urls, judges the urls that no rule fits.
+highest unigram probability (Viterbi). The unigrams are counted over all urls: a run that stands
+between marks of a path or of a label counts as a word, unless it is other words run together; a label
+of one run says nothing by itself and counts by the words that it is split into (a round of hard
+expectation-maximisation). The labelled sample's words have half of all probability, whatever the
+number of urls. Runs and words are matched by joins, so the words are neither collected nor
+broadcast, and there is no most number and no greatest length of them. Multinomial naive Bayes on
+the words, fitted on a labelled sample of urls, judges the urls that no rule fits.
 """
 
 from __future__ import annotations
@@ -14,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import scratch
+from assaykit.llm.common import discard, scratch
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words of the unigram model at most, by count; it bounds what is broadcast.
-MAX_WORDS = 100_000
-LONGEST_WORD = 20
-PSEUDO_COUNT = 1000
+#: Log-probability of a word that is in neither the sample nor the urls, and of each of its letters.
+UNSEEN, LETTER = math.log(1e-6), -2.5
+#: Words that others may be made of have so many letters at least.
+SHORTEST_PART = 3
 #: The labelled sample: words of hosts and paths, joined into urls of both classes by fit().
 BLOCKED = "casino bet bets betting poker slots jackpot win winner lottery free prize spam farm adult xxx porn sex cam cams escort dating nude pills pharma viagra cheap loan loans payday crypto miner torrent warez crack keygen hack malware phish clickbait popup".split()
 ALLOWED = "news blog wiki docs help support about contact school university library museum science health history travel food recipe music book books art photo forum community open source code project data research journal article magazine weather map city state gov town park garden home house family kids shop store market bank office work job career team sport football tennis chess game games film theatre radio".split()
@@ -45,34 +49,48 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def best_split(run: str, known: list[tuple[int, int, float]], whole: bool = True) -> list[str]:
+    """The words of a run of letters: known are (start, length, log-probability) of words in it, anything
+    else costs UNSEEN and LETTER a letter. Equal scores keep the longer last word. ``whole``: whether the
+    run may be one word."""
+    n = len(run)
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for at, size, p in known:
+        if whole or size < n:
+            ends.setdefault(at + size, []).append((at, p))
+    best, back = [0.0], [0]
+    open_, since = 0.0, 0  # the best place where an unseen word begins
+    for i in range(1, n + 1):
+        score, j = open_ + UNSEEN + LETTER * i, since
+        for at, p in ends.get(i, ()):
+            if best[at] + p > score or best[at] + p == score and at < j:
+                score, j = best[at] + p, at
+        best.append(score)
+        back.append(j)
+        if score - LETTER * i > open_:
+            open_, since = score - LETTER * i, i
+    words, i = [], n
+    while i:
+        words.append(run[back[i] : i])
+        i = back[i]
+    return words[::-1]
+
+
 class Segmenter:
-    """Viterbi splits under a unigram model; unseen words cost more the longer they are."""
+    """Viterbi splits under a unigram model of given counts."""
 
     def __init__(self, counts: dict[str, int]):
-        self.total = float(sum(counts.values()) or 1)
-        self.log = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.seen: dict[str, tuple[str, ...]] = {}
+        total = float(sum(counts.values()) or 1)
+        self.log = {w: math.log(n / total) for w, n in counts.items()}
+        self.longest = max(map(len, counts), default=0)
 
     def cost(self, word: str) -> float:
         known = self.log.get(word)
-        return known if known is not None else math.log(10 / self.total) - 2.5 * len(word)
+        return known if known is not None else UNSEEN + LETTER * len(word)
 
     def split(self, run: str) -> tuple[str, ...]:
-        """The words of a run of letters; equal scores keep the longer last word."""
-        if (known := self.seen.get(run)) is not None:
-            return known
-        best, back = [0.0], [0]
-        for i in range(1, len(run) + 1):
-            score, j = max((best[j] + self.cost(run[j:i]), -j) for j in range(max(0, i - LONGEST_WORD), i))
-            best.append(score)
-            back.append(-j)
-        words, i = [], len(run)
-        while i:
-            words.append(run[back[i] : i])
-            i = back[i]
-        if len(self.seen) < 100_000:  # a memo only
-            self.seen[run] = tuple(reversed(words))
-        return tuple(reversed(words))
+        known = [(i, j - i, self.log[run[i:j]]) for i in range(len(run)) for j in range(i + 1, min(len(run), i + self.longest) + 1) if run[i:j] in self.log]
+        return tuple(best_split(run, known))
 
     def words(self, host: str, path: str) -> list[str]:
         import re
@@ -111,49 +129,97 @@ def labelled_urls() -> list[tuple[str, str, bool]]:
     return out + [x for x in out if not x[2]]
 
 
-def joined_of(run: str, known: set[str]) -> bool:
-    """Whether a run of letters is known words run together: however often it is seen, no word of its own."""
-    ends = {0}
-    for i in range(1, len(run) + 1):
-        if any(run[j:i] in known for j in ends):
-            ends.add(i)
-    return len(run) in ends
+def runs_of(host: Column, path: Column) -> Column:
+    """Array of (run, alone): the runs of letters of a host without its last label, and of a path; alone:
+    whether the run is a whole label of the host."""
+    labels = F.split(F.regexp_replace(host, r"\.[^.]*$", ""), r"\.")
+    letters = lambda x: F.regexp_extract_all(x, F.lit(r"\p{L}+"), F.lit(0))
+    of_host = F.flatten(F.transform(labels, lambda x: F.transform(letters(x), lambda r: F.struct(r.alias("run"), (r == x).alias("alone")))))
+    of_path = F.transform(letters(F.lower(path)), lambda r: F.struct(r.alias("run"), F.lit(False).alias("alone")))
+    return F.concat(of_host, of_path)
+
+
+def _matches(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, known): by run the (start, length, p) of the words (w, p) in it. Only parts of a length that
+    some word has are looked up."""
+    sizes = sorted(r[0] for r in words.select(F.length("w")).distinct().collect() if r[0])
+    fit = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("run"))
+    at = runs.select("run", F.explode(fit).alias("size"))
+    at = at.select("run", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("at"))
+    parts = at.withColumn("w", F.expr("substring(run, at, size)"))
+    known = F.collect_list(F.struct((F.col("at") - 1).alias("at"), "size", "p"))
+    return parts.join(words, "w").groupBy("run").agg(known.alias("known"))
 
 
-def word_counts(pages: DataFrame, host: str = "host", path: str = "path", max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Unigrams over all urls: runs of letters of hosts (without the last label) and paths, by count."""
-    runs = F.concat(F.regexp_extract_all(F.regexp_replace(F.col(host), r"\.[^.]*$", ""), F.lit(r"\p{L}+"), F.lit(0)), F.regexp_extract_all(F.lower(F.col(path)), F.lit(r"\p{L}+"), F.lit(0)))
-    top = pages.select(F.explode(runs).alias("w")).where(F.length("w") <= LONGEST_WORD).groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words)
-    known = {*BLOCKED, *ALLOWED}
-    counts = {r.w: r["count"] for r in top.collect() if r.w in known or not joined_of(r.w, known)}
-    for w in (*BLOCKED, *ALLOWED):
-        counts[w] = counts.get(w, 0) + PSEUDO_COUNT
-    return counts
+def _split_runs(runs: DataFrame, words: DataFrame, whole: bool = True) -> DataFrame:
+    """(run, words): the best split of each run under the words (w, p)."""
+    rows = runs.join(_matches(runs, words), "run", "left").select("run", "known")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [best_split(r, [(k["at"], k["size"], k["p"]) for k in known or ()], whole) for r, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
+
+    return map_batches(rows, run, "run string, words array<string>")
+
+
+def unigrams(counted: DataFrame) -> DataFrame:
+    """(w, p): log-probabilities of words by the counts (w, n) and the labelled sample, half each."""
+    total = float(counted.agg(F.sum("n")).first()[0] or 0)
+    known = [*BLOCKED, *ALLOWED]
+    of_sample = counted.sparkSession.createDataFrame([(w,) for w in sorted(set(known))], "w string").withColumn("s", F.lit(1.0 / len(set(known))))
+    both = counted.select("w", "n", F.lit(None).cast("double").alias("s")).unionAll(of_sample.select("w", F.lit(0).cast("bigint"), "s"))
+    share = F.lit(0.5) * F.coalesce(F.sum("n"), F.lit(0)) / F.lit(total or 1.0) + F.lit(0.5) * F.coalesce(F.sum("s"), F.lit(0.0))
+    return both.groupBy("w").agg(F.log(share).alias("p"))
+
+
+def segment(rows: DataFrame) -> DataFrame:
+    """(run, words) of every run in ``runs``, an array (run, alone) of rows, by unigrams over all rows."""
+    seen = rows.select(F.explode("runs").alias("r")).groupBy("r.run", "r.alone").agg(F.count("*").alias("n"))
+    seen = scratch(seen, "runs")
+    runs = scratch(seen.select("run").distinct(), "distinct")
+    apart = seen.where(~F.col("alone")).select(F.col("run").alias("w"), "n")
+    words = scratch(unigrams(apart), "words")
+    # a run that is other words run together is no word, however often it is seen
+    parts = words.where(F.length("w") >= SHORTEST_PART)
+    sample = F.col("run").isin([*BLOCKED, *ALLOWED])
+    made = _split_runs(apart.select(F.col("w").alias("run")).where(~sample), parts, whole=False)
+    pieces = scratch(made.select("run", F.explode("words").alias("w")).join(words, "w", "left").groupBy("run").agg(F.max(F.col("p").isNull()).alias("new"), F.count("*").alias("m")), "made")
+    made = pieces.where("m > 1 and not new").select(F.col("run").alias("w"))
+    own = scratch(unigrams(apart.join(made, "w", "left_anti")), "own")
+    first = scratch(_split_runs(runs, own), "splits")
+    counted = seen.join(first, "run").select(F.explode("words").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    # what is counted anew are words, pieces that are no words included: they split no further
+    last = scratch(unigrams(counted.join(made, "w", "left_anti")), "last")
+    out = scratch(_split_runs(runs, last), "segments")
+    discard(words, pieces, own, first, last, seen, runs)
+    return out
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, words): one row per row of pages.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is judged by the
-    prior. score is the blocked class's posterior, words the segmented words.
+    prior. score is the blocked class's posterior, words the segmented words. Equal urls have equal
+    results, a null page_id keeps its row, and an empty table gives an empty result; no other column of
+    pages is read. Of rules of equal length the last named wins.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = scratch(rows, "urls")
-    cutter = Segmenter(word_counts(rows))
+    rows = rows.withColumn("runs", runs_of(F.col("host"), F.col("path")))
+    rows = scratch(rows.withColumn("key", F.array_join(F.transform("runs", lambda r: r.run), " ")), "urls")
+    split = segment(rows)
+    cutter = Segmenter(dict.fromkeys([*BLOCKED, *ALLOWED], 1))
     bayes = Bayes([(cutter.words(h, p), bad) for h, p, bad in labelled_urls()])
-    shared = rows.sparkSession.sparkContext.broadcast((cutter, bayes))
-    kind = pages.schema[page_id].dataType.simpleString()
-
-    def run(batches):
-        import pyarrow as pa
-
-        cut_, bayes_ = shared.value
-        for batch in batches:
-            words = [cut_.words(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            scores = [bayes_.score(w) for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([" ".join(w) for w in words], pa.string())], names=[*batch.schema.names, "score", "words"])
-
-    scored = map_batches(rows, run, f"page_id {kind}, host string, path string, score double, words string")
+    odds = F.create_map(*(F.lit(x) for w, o in sorted(bayes.odds.items()) for x in (w, o)))
+    told = split.withColumn("odds", F.aggregate("words", F.lit(0.0), lambda a, w: a + F.coalesce(odds[w], F.lit(0.0))))
+    # equal runs are looked up once, however many urls have them
+    keys = rows.select("key", "runs").dropDuplicates(["key"]).select("key", F.posexplode("runs").alias("at", "r")).select("key", "at", "r.run")
+    found = keys.join(told, "run").groupBy("key").agg(F.sum("odds").alias("odds"), F.array_sort(F.collect_list(F.struct("at", "words"))).alias("parts"))
+    found = scratch(found.select("key", "odds", F.array_join(F.flatten(F.transform("parts", lambda x: x.words)), " ").alias("words")), "found")
+    total = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(bayes.prior) + F.coalesce("odds", F.lit(0.0))))
+    scored = rows.join(found, "key", "left").select("page_id", "host", "path", (1 / (1 + F.exp(-total))).alias("score"), F.coalesce("words", F.lit("")).alias("words"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
