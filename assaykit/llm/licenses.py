@@ -19,13 +19,38 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
 
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+_MIT_REST = ', and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_REST = ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES'
+_CC = "This work is licensed under a Creative Commons {} International License."
 #: Notices by licence.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    "MIT": ("Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE, _APACHE + _APACHE_REST),
+    "MIT": ("Released under the MIT License.", _MIT, _MIT + _MIT_REST),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _GNU.format("General Public License", 3), (_GNU + _GNU_REST).format("General Public License", 3)),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", (_GNU + _GNU_REST).format("General Public License", 2)),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", (_GNU + _GNU_REST).format("Lesser General Public License", 3)),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", (_GNU + _GNU_REST).format("Lesser General Public License", 2.1)),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", (_GNU + _GNU_REST).format("Affero General Public License", 3)),
+    "MPL-2.0": ("Released under the Mozilla Public License 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "EPL-2.0": ("Released under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "BSD-3-Clause": (_BSD, _BSD + _BSD_TWO + _BSD_NAME, _BSD + _BSD_TWO + _BSD_NAME + _BSD_REST),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", _BSD + _BSD_TWO + _BSD_REST),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"),
+    "Unlicense": ("Released into the public domain under the Unlicense.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", _CC.format("Attribution-NonCommercial 4.0")),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", _CC.format("Attribution 4.0")),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", _CC.format("Attribution-ShareAlike 4.0")),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", _CC.format("Attribution-NoDerivatives 4.0")),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 }
 COVERAGE = 0.8
 _PUNCTUATION = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256))
@@ -129,21 +154,25 @@ class Templates:
 
     def notices(self, raw: bytes):
         """(licence, coverage, first word, last word + 1) of the notices in a text that don't overlap,
-        the best first: more aligned words win, then the template named first, then the shorter
-        place, then the one that comes first."""
+        the best first: more aligned words win, then the greater coverage, then the template named
+        first, then the shorter place, then the one that comes first."""
         words = words_of(raw)
-        if self.vocabulary.isdisjoint(words):
+        there = self.vocabulary.intersection(words)
+        # a template can reach its coverage only if enough of its words are in the text at all
+        able = [k for k, c in enumerate(self.counts) if sum(c[w] for w in c if w in there) >= self.coverage * len(self.all[k][1])]
+        if not able:
             return []
-        known = [i for i, w in enumerate(words) if w in self.vocabulary]
+        known = [i for i, w in enumerate(words) if w in there]
         found = set()
-        for k, (_, template) in enumerate(self.all):
+        for k in able:
+            template = self.all[k][1]
             for a, b in self.places(words, known, k):
                 pairs = patience_align(words[a:b], template)
                 if pairs and len(pairs) / len(template) >= self.coverage:
                     first, last = a + pairs[0][0], a + pairs[-1][0] + 1
-                    found.add((-len(pairs), k, last - first, first, last))
+                    found.add((-len(pairs), len(template), k, last - first, first, last))
         out = []
-        for pairs, k, _, first, last in sorted(found):
+        for pairs, _, k, _, first, last in sorted(found):
             if all(last <= a or first >= b for _, _, a, b in out):
                 out.append((self.all[k][0], -pairs / len(self.all[k][1]), first, last))
         return out
