@@ -29,15 +29,28 @@ SAMPLES = 4096
 PARTS = "get set make load save parse user name list map index count total value file path data table column row key query result error handler request response session config option default test spec main base model view item node tree graph edge list size width height color image text line word page title header footer button click event state action reducer service client server database connection pool thread task queue job worker cache buffer stream reader writer format string number integer boolean array object class method function variable constant module package import export interface implementation factory builder manager controller provider adapter wrapper utility helper common shared global local internal external public private abstract the and of tion ing ment able ness https www com html index".split()
 
 
+def running(steps: Column, block: int = 64) -> Column:
+    """Array of the sums of the first 0, 1, 2, ... numbers of an array. Sums of whole blocks are kept, so
+    that an array of n costs n times a block and not n times n."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
+
+    def sums(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(all_) / block).cast("int")), lambda b: add(F.slice(all_, b * block + 1, block)))
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda t, x: F.array_append(t, F.element_at(t, -1) + x))
+        place = lambda s, i: F.get(s, (i / block).cast("int")) + add(F.slice(all_, i - i % block + 1, i % block))
+        return let(before, lambda s: F.transform(F.sequence(F.lit(0), F.size(all_)), lambda i: place(s, i)))
+
+    return let(steps, sums)
+
+
 def spans_of(text: Column, pattern: str, kind: str, rank: int, least: int = 0, group: int = 0) -> Column:
     """Array of (start, rank, stop, kind, hit) of the leftmost matches of pattern; of those whose
     ``group`` has ``least`` characters, if given."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.array(F.lit(0))
 
     def placed(h: Column) -> Column:
         steps = F.zip_with(gaps, h, lambda g, x: F.length(g) + F.coalesce(F.length(x), F.lit(0)))
-        ends = F.aggregate(steps, zero, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))  # one entry before the first
+        ends = running(steps)
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else h
         make = lambda e, v: F.transform(h, lambda x, i: F.struct((F.get(e, i + 1) - F.length(x)).alias("start"), F.lit(rank).alias("rank"), F.get(e, i + 1).alias("stop"), F.lit(kind).alias("kind"), x.alias("hit"), F.length(F.get(v, i)).alias("n")))
         return let(ends, lambda e: let(value, lambda v: F.filter(make(e, v), lambda x: x.n >= least)))
