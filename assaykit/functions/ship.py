@@ -26,7 +26,16 @@ def ship(spark: SparkSession) -> None:
     sc._assaykit_shipped = True
 
 
+#: Bytes of a batch that goes to a Python worker, in place of Spark's own setting: both sides hold a
+#: batch more than once.
+BATCH_BYTES, _KEY, _OWN = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with the package at hand in the workers."""
-    ship(df.sparkSession)
+    """df.mapInArrow with the package at hand in the workers, in batches of BATCH_BYTES unless the session
+    has a size of its own."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_KEY, _OWN) == _OWN:
+        spark.conf.set(_KEY, BATCH_BYTES)
     return df.mapInArrow(run, schema)
