@@ -1,8 +1,8 @@
 """Mixing to target weights by soft membership.
 
-A naive Bayes classifier of words, fitted on labelled documents, gives every document a posterior
-over domains. Document d has n_d tokens and rate r_d >= 0, the expected number of times that it is
-taken; its expected tokens of domain k are r_d * n_d * p_dk. The rates are the nonnegative least
+A multinomial logistic regression on words, fitted on labelled documents, gives every document a
+posterior over domains. Document d has n_d tokens and rate r_d >= 0, the expected number of times that
+it is taken; its expected tokens of domain k are r_d * n_d * p_dk. The rates are the nonnegative least
 squares solution for the target token totals, found by projected gradient from equal rates. Each
 step is one distributed sum of a few numbers; it is scaled by the inverse Gram matrix of the
 domains, with which the problem's curvature is 1, so the unprojected problem is solved by one step
@@ -28,8 +28,12 @@ WEIGHTS = {"good": 0.88, "plain": 0.12, "toxic": 0.0}
 MAX_LABELLED = 20_000
 #: The classifier's features are whole words, the first so many code points of longer ones, and marks.
 PREFIX = 4
-#: The chance that a feature which says nothing is taken for one that tells domains apart.
-CHANCE = 1e-4
+#: The chance that a feature which says nothing is taken for one that tells domains apart, and how many
+#: times as often it is in documents of some domain as in the others: at any size of the sample, words
+#: whose shares differ a little stay out.
+CHANCE, LIFT = 1e-4, 4.0
+#: Ridge penalty of the regression, and its steps at most.
+RIDGE, FIT_STEPS = 0.1, 300
 #: Posteriors are rounded to this part of one; documents of equal rounded posteriors have one rate.
 GRID = 256
 #: The tokens to take in all, as a part of all tokens.
@@ -48,19 +52,27 @@ def quality_labels(labels: DataFrame) -> DataFrame:
 _MARKS = re.compile(r"[^\w\s.,;:'\"()?\u2019\u201c\u201d-]")
 
 
-def features(raw: bytes) -> list[bytes]:
-    """Lower-case words of a text; ^ with the first PREFIX code points of each longer one; and ~ for each
-    word with a mark that ordinary sentences lack."""
+def features(raw: bytes):
+    """(tokens, counts): lower-case words of a text; ^ with the first PREFIX code points of each longer
+    one; and ~ for words with a mark that ordinary sentences lack."""
+    from collections import Counter
+
     words = raw.decode("utf-8", "replace").lower().split()
-    marked = [b"~" for w in words if _MARKS.search(w)]
-    return [w.encode() for w in words] + [b"^" + w[:PREFIX].encode() for w in words if len(w) > PREFIX] + marked
+    out = Counter(words)
+    for w, n in list(out.items()):
+        if len(w) > PREFIX:
+            out["^" + w[:PREFIX]] += n
+        if _MARKS.search(w):
+            out["~"] += n
+    return len(words), out
 
 
 class Classifier:
-    """Multinomial naive Bayes on features(), with its log-probabilities in one array."""
+    """Logistic regression on the logarithms of one more than the counts of features()."""
 
-    def __init__(self, domains: list[str], prior: list[float], words: dict[bytes, int], weights):
-        self.domains, self.prior, self.words, self.weights = domains, prior, words, weights
+    def __init__(self, domains: list[str], words: dict[str, int], weights):
+        """weights: a row by feature and a last one for all texts, a column by domain."""
+        self.domains, self.words, self.weights = domains, words, weights
 
     def posteriors(self, raws: list[bytes]):
         """(tokens, posteriors) of texts."""
@@ -69,15 +81,50 @@ class Classifier:
         tokens, out = np.zeros(len(raws), np.int64), np.zeros((len(raws), len(self.domains)))
         find = self.words.get
         for i, raw in enumerate(raws):
-            found = features(raw)
-            tokens[i] = len(raw.split())
-            known = [x for x in map(find, found) if x is not None]
-            score = np.log(self.prior) + self.weights[known].sum(0)
+            tokens[i], found = features(raw)
+            known = [(j, n) for w, n in found.items() if (j := find(w)) is not None]
+            score = self.weights[-1].copy()
+            if known:
+                at, n = zip(*known)
+                score += np.log1p(n) @ self.weights[list(at)]
             score = np.exp(score - score.max())
             out[i] = score / score.sum()
         return tokens, out
 
 
+def regress(rows, columns, values, labels, n_features: int, n_domains: int):
+    """Weights of a multinomial logistic regression with a ridge penalty, by accelerated gradient steps
+    under a diagonal bound of the curvature. rows, columns, values: the nonzero inputs of the documents
+    that ``labels`` has the domains of. The last row of weights is that of all documents, without
+    penalty; it starts at the logarithms of the domains' shares."""
+    import numpy as np
+
+    n = len(labels)
+    weights = np.zeros((n_features + 1, n_domains))
+    seen = np.bincount(labels, minlength=n_domains)
+    weights[-1] = np.log((seen + 1) / (n + n_domains))
+    if not n:
+        return weights
+    rows, columns = np.concatenate((rows, np.arange(n))), np.concatenate((columns, np.full(n, n_features)))
+    values = np.concatenate((values, np.ones(n)))
+    target = np.eye(n_domains)[labels]
+    bound = 0.5 * np.bincount(columns, values * np.bincount(rows, values, n)[rows], n_features + 1)
+    ridge = np.append(np.full(n_features, RIDGE), 0.0)
+    ahead, pace = weights, 1.0
+    for _ in range(FIT_STEPS):
+        score = np.stack([np.bincount(rows, values * ahead[columns, k], n) for k in range(n_domains)], 1)
+        score = np.exp(score - score.max(1, keepdims=True))
+        left = score / score.sum(1, keepdims=True) - target
+        slope = np.stack([np.bincount(columns, values * left[rows, k], n_features + 1) for k in range(n_domains)], 1) + ridge[:, None] * ahead
+        new = ahead - slope / np.maximum(bound + ridge, 1e-9)[:, None]
+        pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+        ahead, moved = new + (old - 1) / pace * (new - weights), np.abs(new - weights).max()
+        weights = new
+        if moved < 1e-4:
+            break
+    return weights
+
+
 def least_g(n_domains: int, chance: float = CHANCE) -> float:
     """The G statistic that a feature which says nothing of the domains passes with probability
     ``chance``: the chi-squared quantile by Wilson and Hilferty."""
@@ -89,16 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A classifier of labelled documents; unlabelled, unknown and null domains are left out.
 
     A document with several labels counts for each. A feature is used if the share of documents with it
-    differs between domains by more than chance (G test), so there is no least count and no most number
-    of them. The labelled rows are bounded by ``max_labelled``, and so is
-    what is broadcast and collected here.
+    differs between domains by more than chance (G test), and is LIFT times as great in one as in the
+    others; there is no least count and no most number of them. The labelled rows are bounded by
+    ``max_labelled``, and so is what is broadcast and collected here.
     """
     import numpy as np
 
-    domains = list(domains)
+    domains, several = list(domains), range(len(domains))
     known = labels.where(F.col(domain).isin(domains) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.array_position(F.array(*map(F.lit, domains)), F.col(domain)).cast("int").alias("k"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "k").limit(max_labelled)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("k", "text")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    texts = scratch(texts.select((F.col("k") - 1).alias("k"), "text"), "labelled")
 
     def run(batches):
         from collections import Counter
@@ -107,42 +155,57 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
         from assaykit.llm.common import binary_column
 
-        counts: dict[int, Counter] = {}
         held: dict[int, Counter] = {}
         seen: Counter = Counter()
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), binary_column(batch, "text").to_pylist()):
-                own = Counter(features(raw))
-                counts.setdefault(k, Counter()).update(own)
-                held.setdefault(k, Counter()).update(own.keys())
+                held.setdefault(k, Counter()).update(features(raw)[1].keys())
                 seen[k] += 1
-        rows = [(k, w, n, held[k][w]) for k, c in counts.items() for w, n in c.items()] + [(k, None, 0, n) for k, n in seen.items()]
+        rows = [(k, w, n) for k, c in held.items() for w, n in c.items()] + [(k, None, n) for k, n in seen.items()]
         if rows:
-            k, w, n, d = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["k", "w", "n", "d"])
+            k, w, n = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["k", "w", "n"])
 
-    several = range(len(domains))
-    of = lambda c: [F.sum(F.when(F.col("k") == i + 1, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i in several]
-    counts = scratch(map_batches(texts, run, "k int, w binary, n bigint, d bigint").groupBy("w").agg(*of("n"), *of("d")), "words")
-    sums = counts.where("w is not null").agg(*(F.sum(f"n{i}") for i in several)).first()
+    sums = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"d{i}") for i in several]
+    counts = scratch(map_batches(texts, run, "k int, w string, n bigint").groupBy("w").agg(*sums), "words")
     seen = np.array([x or 0 for x in counts.where("w is null").agg(*(F.sum(f"d{i}") for i in several)).first()], float)
-    totals, all_ = np.array([x or 0 for x in sums], float), float(seen.sum())
+    all_ = float(seen.sum())
     d = sum((F.col(f"d{i}") for i in several), F.lit(0))
 
     def part(x, whole, share):
         return F.when((x > 0) & (whole > 0), x * F.log(x / (whole * share))).otherwise(0.0)
 
-    g = F.lit(0.0)
+    g, lift = F.lit(0.0), F.lit(0.0)
     for i in several:
+        own = F.col(f"d{i}")
         if seen[i]:
             share = F.lit(float(seen[i]) / all_)
-            g = g + part(F.col(f"d{i}"), d, share) + part(F.lit(float(seen[i])) - F.col(f"d{i}"), F.lit(all_) - d, share)
-    some = counts.where("w is not null").where(2 * g >= least_g(len(domains))).select("w", *(f"n{i}" for i in several)).orderBy("w").collect()
-    discard(counts)
-    table = np.array([r[1:] for r in some], float).reshape(len(some), len(domains))
-    weights = np.log((table + 0.5) / (totals + 0.5))
-    weights -= weights.mean(1, keepdims=True)
-    return Classifier(domains, list((seen + 1) / (seen + 1).sum()), {bytes(r.w): i for i, r in enumerate(some)}, weights)
+            g = g + part(own, d, share) + part(F.lit(float(seen[i])) - own, F.lit(all_) - d, share)
+            lift = F.greatest(lift, (own + 0.5) / F.lit(float(seen[i]) + 1) / ((d - own + 0.5) / F.lit(all_ - float(seen[i]) + 1)))
+    some = counts.where("w is not null").where((2 * g >= least_g(len(domains))) & (lift >= LIFT)).select("w").orderBy("w").collect()
+    place = {r.w: i for i, r in enumerate(some)}
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def inputs(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from assaykit.llm.common import binary_column
+
+        for batch in batches:
+            found = []
+            for raw in binary_column(batch, "text").to_pylist():
+                found.append([(j, n) for w, n in features(raw)[1].items() if (j := shared.value.get(w)) is not None])
+            at = [pa.array([[x[c] for x in f] for f in found], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *at], names=["k", "at", "n"])
+
+    got = map_batches(texts, inputs, "k int, at array<int>, n array<int>").toArrow()
+    discard(counts, texts)
+    y = got["k"].to_numpy().astype(np.int64)
+    sizes = np.array([len(x) for x in got["at"].to_pylist()], np.int64)
+    flat = [got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(y) else np.zeros(0, np.int64) for c in ("at", "n")]
+    weights = regress(np.repeat(np.arange(len(y)), sizes), flat[0].astype(np.int64), np.log1p(flat[1]), y, len(place), len(domains))
+    return Classifier(domains, place, weights)
 
 
 def memberships(docs: DataFrame, model: Classifier, text: str, tokens: str, posterior: str) -> DataFrame:
@@ -225,7 +288,7 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
     and scaled by the inverse Gram matrix in that metric (so that a rate depends on what a text is, not
     on its length), from a point ahead of the last two rates (Nesterov), and is cut at 0. The momentum
     starts anew when the loss grows. A task works out its rows' rates from the steps so far, and only
-    sums come to the driver. Ends at ``steps``, when the residual is under TOLERANCE of the total, or
+    sums come to the driver. The result is the step of the least residual, history[-1]. Ends at ``steps``, when the residual is under TOLERANCE of the total, or
     when eight steps gain less than SETTLED.
     """
     import numpy as np
@@ -262,6 +325,9 @@ def solve_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS) -
             pace, next_ = 1.0, now
         pace, old = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
         out.steps.append((inverse @ next_, (old - 1) / pace, anew))
+    # where no rates meet the targets, the scaled steps lead away from the nearest ones
+    best = out.history.index(min(out.history))
+    out.steps, out.history = out.steps[:best], out.history[: best + 1]
     return out
 
 
