@@ -18,6 +18,8 @@ from assaykit.llm.common import let, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"#*$%&|<>"
+#: A word without a letter or a digit.
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 THRESHOLD = 0.5
@@ -49,22 +51,26 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id and the counts that rules use, a row per row of docs; a null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, SPACE, -1), "")
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    n = lambda pattern: F.length(F.regexp_replace(body, pattern, "")).cast("bigint")
+    blanks = F.lit(" \t\n\x0b\f\r")
+    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, blanks)) > 0)
+    without = lambda x, marks: F.length(F.translate(x, marks, "")).cast("bigint")
+    size = F.length(body).cast("bigint")
     common = lambda w: F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS)))
     of_words = let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"), common(w).cast("bigint").alias("n_function_words")))
     ended = lambda x: F.rtrim(x).rlike(r"[.!?:;\"')\]]$")
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"), F.size(F.filter(x, ended)).cast("bigint").alias("n_ended_lines")))
+    letters = F.regexp_replace(body, r"[^\p{L}]+", "")
+    of_letters = let(letters, lambda x: F.struct(F.length(x).cast("bigint").alias("n_letters"), F.length(F.regexp_replace(x, r"[^\p{Lu}]+", "")).cast("bigint").alias("n_capitals")))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         of_words.alias("w"),
         of_lines.alias("l"),
-        n(SPACE).alias("word_chars"),
-        n(f"[^{SYMBOLS}]+").alias("n_symbols"),
-        n(r"[^\p{L}]+").alias("n_letters"),
-        n(r"[^\p{Lu}]+").alias("n_capitals"),
-        n(r"[^!]+").alias("n_shouts"),
-    ).select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_letters", "n_capitals", "n_shouts")
+        without(body, " \t\n\x0b\f\r").alias("word_chars"),
+        (size - without(body, SYMBOLS)).alias("n_symbols"),
+        of_letters.alias("c"),
+        (size - without(body, "!")).alias("n_shouts"),
+        F.regexp_count(body, F.lit(BARE)).cast("bigint").alias("n_bare_words"),
+    ).select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "c.*", "n_shouts", "n_bare_words")
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
@@ -77,6 +83,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "few_symbols": (part("n_symbols", "n_words") <= 0.02, part("n_symbols", "n_words") > 0.2),
         "mostly_letters": (part("n_letters", "word_chars") >= 0.9, part("n_letters", "word_chars") < 0.75),
         "calm_case": (part("n_capitals", "n_letters") <= 0.15, part("n_capitals", "n_letters") > 0.4),
+        "wordy": (F.lit(False), part("n_bare_words", "n_words") > 0.2),
         "calm_marks": (part("n_shouts", "n_words") <= 0.02, part("n_shouts", "n_words") > 0.2),
         "new_lines": (c("n_dup_lines") == 0, part("n_dup_lines", "n_lines") > 0.3),
         "new_phrases": (part("n_repeat_words", "n_words") <= 0.1, part("n_repeat_words", "n_words") > 0.3),
