@@ -9,27 +9,31 @@ from assaykit.functions import text as T
 from assaykit.operators import lexer
 from assaykit.operators.metrics import ratio
 from assaykit.sources import patterns as P
+from assaykit.sources import registry
 
 
 def by_language(language: Column, field: str, line: Column) -> Column:
-    """Whether a line has a token of the field in its language; null for other languages."""
+    """Whether a line has a token of the field in its language; null for languages without the field."""
     out = F.lit(None).cast("boolean")
-    for name, fields in P.TOKENS.items():
-        if fields[field]:
-            out = F.when(language == name, line.rlike(T.any_token(fields[field]))).otherwise(out)
+    for name, tokens in registry.tokens(field).items():
+        out = F.when(language == name, line.rlike(T.any_token(tokens))).otherwise(out)
     return out
 
 
 def count_by_language(language: Column, field: str, text: Column) -> Column:
     out = F.lit(0)
-    for name, fields in P.TOKENS.items():
-        if fields[field]:
-            out = F.when(language == name, F.regexp_count(text, F.lit(T.any_token(fields[field])))).otherwise(out)
+    for name, tokens in registry.tokens(field).items():
+        out = F.when(language == name, F.regexp_count(text, F.lit(T.any_token(tokens)))).otherwise(out)
     return out
 
 
+def knows(language: Column, field: str) -> Column:
+    """Whether the registry has tokens of the field for a language: without any nothing is examined."""
+    return F.coalesce(language.isin(*registry.tokens(field)), F.lit(False))
+
+
 def _name_matches(path: Column, field: str) -> Column:
-    globs = [g for f in P.TOKENS.values() for g in f[field]]
+    globs = [g for tokens in registry.tokens(field).values() for g in tokens]
     return T.base_name(path).rlike("|".join(map(T.glob_regex, globs)))
 
 
@@ -84,12 +88,17 @@ def iac_kinds(text: Column) -> Column:
 
 
 def sink_hits(lines: DataFrame) -> DataFrame:
-    """(path, line_no, cwe): distinct hits in blanked lines (path, language, line_no, line)."""
+    """(path, line_no, cwe): distinct hits in blanked lines (path, language, line_no, line): a sink's
+    token, or a call of one that joins strings whose arguments have a plus sign."""
     marks = []
-    for name, sinks in P.SINKS.items():
-        for cwe in sorted({c for c, _ in sinks}):
-            pattern = r"(?<![.>$\w])" + T.any_token([t for c, t in sinks if c == cwe])
-            marks.append(F.when((F.col("language") == name) & F.col("line").rlike(pattern), F.lit(cwe)))
+    for field, tail in (("sinks", ""), ("concat_sinks", r"[^()\n]*\+")):
+        for name, keyed in registry.tokens(field).items():
+            by_cwe: dict[str, list[str]] = {}
+            for cwe, _, token in (k.partition("=") for k in keyed):
+                by_cwe.setdefault(cwe, []).append(token)
+            for cwe, tokens in sorted(by_cwe.items()):
+                pattern = r"(?<![.>$\w])" + T.any_token(tokens) + tail if not tail else T.any_token(tokens) + tail
+                marks.append(F.when((F.col("language") == name) & F.col("line").rlike(pattern), F.lit(cwe)))
     return lines.select("path", "line_no", F.explode(F.array_distinct(F.array_compact(F.array(*marks)))).alias("cwe"))
 
 
@@ -156,3 +165,52 @@ def routes(lines: DataFrame) -> DataFrame:
     found = lines.withColumn("route", F.regexp_extract("line", call, 2)).withColumn("method", F.upper(F.regexp_extract("line", call, 1))).where("method <> ''")
     prefix = F.regexp_replace(F.regexp_extract("route", r"^/?((?:[^/:{<*]+(?:/|$))*)", 1), "/+$", "")
     return found.select("path", "line_no", F.when(F.col("method").isin("ROUTE", "ALL"), "ANY").otherwise(F.col("method")).alias("method"), "route", prefix.alias("prefix"))
+
+
+def swallowed_errors(files: DataFrame) -> DataFrame:
+    """(path, line_no): handlers that do nothing, in whole blanked texts (path, language, code), as a
+    handler may go over several lines. Texts are split at the hits, so a hit's line is exact wherever
+    the same handler stands again."""
+    rows = []
+    for name, tokens in registry.tokens("swallowed").items():
+        gaps = F.split("code", T.any_token(tokens), -1)
+        hits = F.regexp_extract_all("code", F.lit(T.any_token(tokens)), F.lit(0))
+        newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        before = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + newlines(x)) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda a, x: a + newlines(x)))  # noqa: B023
+        rows.append(F.when((F.col("language") == name) & (F.size(hits) > 0), F.transform(before, lambda n: n + 1)))
+    return files.select("path", F.explode(F.coalesce(*rows)).alias("line_no")) if rows else files.select("path", F.lit(0).alias("line_no")).limit(0)
+
+
+def retries_without_backoff(lines: DataFrame) -> DataFrame:
+    """(path, line_no): retry calls without a delay on their line or the four after it."""
+    lang = F.col("language")
+    yes = lambda field: F.coalesce(by_language(lang, field, F.col("line")), F.lit(False))
+    near = Window.partitionBy("path").orderBy("line_no").rowsBetween(0, 4)
+    marked = lines.withColumns({"__retry": yes("retries"), "__delay": F.max(yes("backoff").cast("int")).over(near)})
+    return marked.where("__retry and __delay = 0").select("path", "line_no")
+
+
+def test_network_calls(lines: DataFrame) -> DataFrame:
+    """(path, line_no): lines of unit tests that call out; tests below integration and the like are left
+    out."""
+    unit = ~F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*map(F.lit, P.NOT_UNIT_DIRS)))
+    return lines.where(unit & F.coalesce(by_language(F.col("language"), "network_calls", F.col("line")), F.lit(False))).select("path", "line_no").distinct()
+
+
+def type_escapes(lines: DataFrame) -> DataFrame:
+    """(escapes, lines, per_kloc) of source lines; stubs of types are left out."""
+    known = lines.where(knows(F.col("language"), "type_escapes") & ~F.col("path").rlike(r"\.d\.ts$|\.pyi$"))
+    return known.agg(F.sum(count_by_language(F.col("language"), "type_escapes", F.col("line"))).alias("escapes"), F.count("*").alias("lines")).select("escapes", "lines", ratio(F.col("escapes") * 1000, F.col("lines")).alias("per_kloc"))
+
+
+#: Declarations of public names whose tokens end in a class of characters.
+_DECLARES = {"python": r"^(?:async\s+def|def|class)\s+([A-Za-z]\w*)", "go": r"^(?:func(?:\s*\([^)]*\))?|type)\s+([A-Z]\w*)"}
+
+
+def public_symbols(lines: DataFrame) -> DataFrame:
+    """(path, symbol): names that lines (path, language, line) declare as public."""
+    name = F.lit(None).cast("string")
+    for language, tokens in registry.tokens("public").items():
+        plain = T.any_token([t for t in tokens if not set("(<") & set(t)])
+        name = F.when(F.col("language") == language, F.regexp_extract("line", _DECLARES.get(language, r"^\s*" + plain + r"\s+\*?([A-Za-z_$][\w$]*)"), 1)).otherwise(name)
+    return lines.select("path", name.alias("symbol")).where("symbol <> ''").distinct()

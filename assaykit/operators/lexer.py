@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import ship
@@ -80,26 +80,46 @@ def language(path: Column) -> Column:
     return table[F.regexp_extract(path, r"(\.[^./]*)$", 1)]
 
 
+def _functions(rows):
+    """(start, stop, ccn) of one file's lines, in one pass with the open functions on a stack."""
+    import pandas as pd
+
+    branch, head, closer = re.compile(BRANCHES), re.compile(FUNCTION), re.compile(r"\s*[)\]}]")
+    open_, out, last = [], [], 0
+    for n, line in rows:
+        if not line.strip(" "):
+            continue
+        last, indent = n, len(line) - len(line.lstrip(" "))
+        if not closer.match(line):
+            while open_ and indent <= open_[-1][1]:
+                start, _, found = open_.pop()
+                out.append((start, n - 1, found + 1))
+        if head.match(line) and not line.rstrip(" ").endswith(";"):
+            open_.append([n, indent, 0])
+        if open_ and len(line) <= LONG_LINE:
+            open_[-1][2] += len(branch.findall(line))
+    out += [(start, last, found + 1) for start, _, found in open_]
+    return pd.DataFrame(out, columns=["start", "stop", "ccn"])
+
+
 def complexity(lines: DataFrame, key: str = "path") -> DataFrame:
     """(key, start, stop, ccn): functions of blanked lines (key, line_no, line).
 
     A function runs from its line to before the next line that is not blank, not deeper indented and
     no lone closer; a line belongs to the innermost function over it; ccn is one more than the
-    branches on its lines. Lines over 500 characters do not count.
+    branches on its lines. Lines over 500 characters do not count. A file's lines go to one task.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
-    text = lines.where(F.trim("line") != "").withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
-    text = text.withColumn("starts", F.col("line").rlike(FUNCTION) & ~F.rtrim("line").endswith(";"))
-    heads = text.where("starts").select(key, F.col("line_no").alias("start"), F.col("indent").alias("depth"))
-    ends = text.where(~F.col("line").rlike(r"^\s*[)\]}]")).select(F.col(key).alias("k"), F.col("line_no").alias("n"), "indent")
-    stops = heads.join(ends, (F.col(key) == F.col("k")) & (F.col("n") > F.col("start")) & (F.col("indent") <= F.col("depth")), "left").groupBy(key, "start").agg(F.min("n").alias("next"))
-    last = text.groupBy(key).agg(F.max("line_no").alias("last"))
-    spans = stops.join(last, key).select(key, "start", F.coalesce(F.col("next") - 1, F.col("last")).alias("stop"))
-    counted = text.where(F.length("line") <= LONG_LINE).withColumn("branches", F.regexp_count("line", F.lit(BRANCHES)))
-    owned = counted.select(F.col(key).alias("k"), "line_no", "branches").join(spans, (F.col("k") == F.col(key)) & F.col("line_no").between(F.col("start"), F.col("stop")))
-    inner = owned.withColumn("own", F.max("start").over(Window.partitionBy(key, "line_no"))).where("own = start")
-    del w
-    return inner.groupBy(key, "start", "stop").agg((F.sum("branches") + 1).cast("int").alias("ccn"))
+
+    def of_file(names, frame):
+        frame = frame.sort_values("line_no")
+        out = _functions(zip(frame["line_no"].tolist(), frame["line"].tolist()))
+        out.insert(0, "key", names[0])
+        return out.astype({"start": "int32", "stop": "int32", "ccn": "int32"})
+
+    ship(lines.sparkSession)
+    kind = lines.schema[key].dataType.simpleString()
+    found = lines.select(F.col(key).alias("key"), "line_no", "line").groupBy("key").applyInPandas(of_file, f"key {kind}, start int, stop int, ccn int")
+    return found.withColumnRenamed("key", key)
 
 
 def imports(lines: DataFrame, key: str = "path") -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.functions.storage import checkpoints
+
 
 def in_order(df: DataFrame, order: list[Column], total: Column | None = None) -> DataFrame:
     """df with __rank (from 1) and, if ``total`` is given, __running, its running sum in ``order``."""
     value = F.lit(0).cast("bigint") if total is None else total
     spark = df.sparkSession
-    _checkpoints(spark)
+    checkpoints(spark)
     dealt = df.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sums = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.sum("__value").alias("__s"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -25,16 +27,12 @@ def in_order(df: DataFrame, order: list[Column], total: Column | None = None) ->
     return out.drop("__part", "__value", "__n0", "__s0", *([] if total is not None else ["__running"]))
 
 
-def _checkpoints(spark) -> None:
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="assaykit-"))
-
-
 def first_arrivals(rows: DataFrame, ref: str, order: list[Column]) -> DataFrame:
-    """The first row of each ref; the others are duplicates, not omissions."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(ref).orderBy(*order))).where("__k = 1").drop("__k")
+    """The first row of each ref; the others are duplicates, not omissions. Rows are dealt by a hash of
+    the ref and reduced before they are, so long refs and frequent ones aren't sorted."""
+    keys = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    picked = F.min_by(F.struct(*rows.columns), keys).alias("__row")
+    return rows.groupBy(F.xxhash64(ref), F.xxhash64(F.lit(1), ref)).agg(picked).select("__row.*")
 
 
 def byte_budget(rows: DataFrame, limit: int, tier: str = "tier", arrival: str = "arrival", size: str = "bytes", ref: str = "ref") -> DataFrame:
@@ -91,7 +89,9 @@ def depth(lines: DataFrame, key: str, pos: str, opens: Column, closes: Column, n
 
 
 def examples(rows: DataFrame, key: str, order: list[Column], top: int = 20) -> DataFrame:
-    """The first ``top`` rows of each key with __omitted, how many the key has beyond them."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumns({"__k": F.row_number().over(w.orderBy(*order)), "__omitted": F.greatest(F.count("*").over(w) - top, F.lit(0))})
-    return ranked.where(F.col("__k") <= top)
+    """The first ``top`` rows of each key with __omitted, how many the key has beyond them. Counts are
+    aggregated apart, so a window holds no more than each partition's first rows of a key."""
+    totals = rows.groupBy(key).agg(F.count("*").alias("__n")).select(F.col(key).alias("__key"), "__n")
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__k") <= top)
+    both = ranked.join(totals, ranked[key].eqNullSafe(totals["__key"]))
+    return both.withColumn("__omitted", F.greatest(F.col("__n") - top, F.lit(0))).drop("__key", "__n")

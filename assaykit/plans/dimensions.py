@@ -1,4 +1,4 @@
-"""Dimensions as plug-ins: declared data and one function from files to metrics, each by itself."""
+"""Dimensions as plug-ins: declared data, and metrics of the shared plan or of a function of one's own."""
 
 from __future__ import annotations
 
@@ -8,108 +8,45 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions import text as T
-from assaykit.operators import code, domain, facts, joins, lexer, metrics, rating
+from assaykit.operators import rating
+from assaykit.plans import measures
 from assaykit.plans import score as plan
+from assaykit.sources.roles import SOUGHT
 
 Collect = Callable[[SparkSession, DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Dimension:
+    """collect gives (dimension, metric, value) of files; without it the dimension's rows are those of
+    the shared plan, which is run once for all such dimensions."""
+
     name: str
     purpose: str
     sought: tuple[str, ...]
-    collect: Collect
-
-
-def _values(dimension: str, **columns):
-    """One row of columns as (dimension, metric, value)."""
-
-    def turn(df: DataFrame) -> DataFrame:
-        rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in columns))
-        return df.agg(*(c.alias(m) for m, c in columns.items())).select(F.lit(dimension).alias("dimension"), F.explode(rows).alias("m")).select("dimension", "m.*")
-
-    return turn
-
-
-def _code_lines(files: DataFrame) -> DataFrame:
-    known = lexer.with_code(files.where("text is not null")).where("language is not null")
-    return facts.lines_of(known, "path", "code").join(known.select("path", "language"), "path")
-
-
-def _roles(dimension: str) -> Collect:
-    def collect(spark: SparkSession, files: DataFrame) -> DataFrame:
-        found = joins.resolve_roles(files, {r: plan.ROLES[r] for (d, _), r in plan.ABSENCES.items() if d == dimension})
-        return plan.role_metrics(spark, found).where(F.col("dimension") == dimension)
-
-    return collect
-
-
-def _security(spark: SparkSession, files: DataFrame) -> DataFrame:
-    lines = _code_lines(files)
-    tests = code.code_kind(F.col("path")) == "test"
-    sinks = code.sink_hits(lines).where(~F.coalesce(tests, F.lit(False)))
-    cookies = code.cookie_statements(lines)
-    hits = facts.redaction_hits(files.where("text is not null"))
-    out = _values("security", sink_hits_observed=F.count("*"))(sinks)
-    out = out.unionByName(_values("security", redaction_hits_observed=F.count("*"))(hits))
-    out = out.unionByName(_values("security", cookie_flags_missing_observed=F.when(F.count("*") > 0, F.count_if(F.size("missing") > 0)))(cookies))
-    return out.unionByName(_roles("security")(spark, files))
-
-
-def _reliability(spark: SparkSession, files: DataFrame) -> DataFrame:
-    found = code.reliability(_code_lines(files))
-    n = lambda kind: F.count_if(F.col("finding") == kind)
-    return _values("reliability", outbound_calls_without_timeout_observed=n("outbound_without_timeout"), queries_in_loops_observed=n("query_in_loop"))(found)
-
-
-def _test_strategy(spark: SparkSession, files: DataFrame) -> DataFrame:
-    tests = _code_lines(files).where(code.code_kind(F.col("path")) == "test")
-    names = ("assertion_density_per_test", "tests_without_assertions_share", "skipped_test_share")
-    return _values("test-strategy", **{m: F.first(m) for m in names})(code.test_strength(tests))
-
-
-def _data(spark: SparkSession, files: DataFrame) -> DataFrame:
-    lines = facts.lines_of(files.where("text is not null").select("path", "text"))
-    migrations = files.where(F.array_contains(F.split(F.lower("path"), "/"), "migrations"))
-    out = _values("data", migrations_missing=F.when(F.count("*") > 0, 0).otherwise(1))(migrations)
-    return out.unionByName(_values("data", destructive_migration_ops_observed=F.count("*"))(code.destructive_ops(lines)))
-
-
-def _finance(spark: SparkSession, files: DataFrame) -> DataFrame:
-    return _values("finance", float_money_observed=F.count("*"))(domain.float_money(facts.lines_of(files.where("text is not null").select("path", "text"))))
-
-
-def _healthcare(spark: SparkSession, files: DataFrame) -> DataFrame:
-    data = files.where("text is not null").where(F.col("path").rlike(r"(?:^|/)(?:fixtures|testdata|seeds|samples)/|(?:^|/)tests?/.*\.(?:json|csv|sql|ya?ml)$"))
-    return _values("healthcare", phi_values_in_test_data_observed=F.when(F.count("*") > 0, F.sum(F.size(facts.phi_spans(F.col("text"))))))(data)
-
-
-def _a11y(spark: SparkSession, files: DataFrame) -> DataFrame:
-    pages = files.where("text is not null").where(T.suffix(F.col("path")).isin(".html", ".htm", ".jsx", ".tsx", ".vue"))
-    images = pages.select(facts.images_without_alt(F.col("text")).alias("n"), F.size(domain.hidden_focusable(F.col("text"))).alias("h"))
-    states = domain.controls(pages, "path", "text")
-    out = _values("frontend-a11y", images_without_alt_observed=F.sum("n"), aria_hidden_focusable_observed=F.sum("h"))(images)
-    known = F.sum(F.when(F.col("state") != "unknown", F.when(F.col("state") == "hit", F.col("n")).otherwise(0)))
-    return out.unionByName(_values("frontend-a11y", form_controls_without_label_observed=known)(states))
+    collect: Collect | None = None
 
 
 DIMENSIONS = {
-    d.name: d
-    for d in (
-        Dimension("architecture", "documents that say how the system is built and why", plan.SOUGHT["architecture"], _roles("architecture")),
-        Dimension("requirement-fidelity", "documents that say what is asked for", plan.SOUGHT["requirement-fidelity"], _roles("requirement-fidelity")),
-        Dimension("code-quality", "lint and format settings", plan.SOUGHT["code-quality"], _roles("code-quality")),
-        Dimension("security", "sinks, secrets, cookies and lockfiles", plan.SOUGHT["security"], _security),
-        Dimension("test-strategy", "what the tests assert and skip", plan.SOUGHT["test-strategy"], _test_strategy),
-        Dimension("reliability", "calls without limits, queries in loops", ("readme",), _reliability),
-        Dimension("supply-chain", "lockfiles and licences", plan.SOUGHT["supply-chain"], _roles("supply-chain")),
-        Dimension("operations", "owners, pins and environments", plan.SOUGHT["operations"], _roles("operations")),
-        Dimension("data", "migrations and what they destroy", ("schema-file",), _data),
-        Dimension("finance", "money in floating types", (), _finance),
-        Dimension("healthcare", "personal values in test data", (), _healthcare),
-        Dimension("frontend-a11y", "images, controls and hidden focus", (), _a11y),
+    name: Dimension(name, purpose, SOUGHT.get(name, ()))
+    for name, purpose in (
+        ("architecture", "documents that say how the system is built and why, cycles and layers"),
+        ("solution-fit", "what was asked for beside what was built; rated from outside only"),
+        ("requirement-fidelity", "requirements, routes and criteria traced to code and tests"),
+        ("code-quality", "complexity, debt, escapes from types, lint and format settings"),
+        ("security", "sinks, secrets, cookies and lockfiles"),
+        ("test-strategy", "what the tests cover, assert and skip"),
+        ("blast-radius", "what a change reaches and what it removes"),
+        ("reliability", "calls without limits, errors that vanish, queries in loops"),
+        ("supply-chain", "lockfiles, pinned references, provenance and licences"),
+        ("api", "specifications, versions, validation and what a change breaks"),
+        ("data", "migrations, what undoes them and what they destroy"),
+        ("operations", "logging, audit trails, owners, pins and environments"),
+        ("infrastructure", "grants, open ingress, encryption, state and databases"),
+        ("change-risk", "what a change of its kind must bring"),
+        ("finance", "money in floating types, ledgers without a trail"),
+        ("healthcare", "personal values in test data and logs"),
+        ("frontend-a11y", "images, controls, hidden focus, viewports"),
     )
 }
 
@@ -120,29 +57,23 @@ def discover(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dimension string, purpose string, sought array<string>, rules int, floor double")
 
 
-def combined(spark: SparkSession, files: DataFrame, names: list[str] | None = None, dimensions: dict[str, Dimension] | None = None) -> plan.Score:
-    """The score of some dimensions. One that fails is rated as failed and leaves the others alone; an
-    unknown name is an error."""
+def combined(spark: SparkSession, files: DataFrame, names: list[str] | None = None, dimensions: dict[str, Dimension] | None = None, inputs: measures.Inputs | None = None) -> plan.Score:
+    """The score of some dimensions. One that fails is rated as failed, with its error among the metrics,
+    and leaves the others alone; an unknown name is an error."""
     known = DIMENSIONS if dimensions is None else dimensions
     names = list(known) if names is None else names
     if unknown := sorted(set(names) - set(known)):
         raise ValueError(f"unknown dimensions: {', '.join(unknown)}")
-    table = spark.createDataFrame([], "dimension string, metric string, value double")
+    table = spark.createDataFrame([], measures.SCHEMA)
     failed = []
-    for name in names:
+    shared = [n for n in names if known[n].collect is None]
+    if shared:
+        table = measures.measure(spark, inputs or measures.Inputs(files)).where(F.col("dimension").isin(shared) | (F.col("metric") == "failed"))
+    for name in (n for n in names if known[n].collect is not None):
         try:
-            part = known[name].collect(spark, files).select("dimension", "metric", "value").cache()
-            part.count()
-        except Exception:  # noqa: BLE001  isolation is the point: the rating says dimension_failed
+            rows = [(r.dimension, r.metric, "evidence_local", r.value, None if r.value is not None else "no_denominator", None, []) for r in known[name].collect(spark, files).collect()]
+        except Exception as error:  # noqa: BLE001  isolation is the point: the rating says dimension_failed
             failed.append(name)
-        else:
-            table = table.unionByName(part)
-    table = table.withColumn("abstain_reason", F.when(F.col("value").isNull(), "no_denominator"))
-    rule_inputs = rating.inputs(table, rating.rule_table(spark, [r for r in rating.RULES if r[0] in names]))
-    roles = joins.resolve_roles(files, plan.ROLES).select("role").distinct().withColumn("there", F.lit(1))
-    sought = spark.createDataFrame([(n, r) for n in names for r in known[n].sought], "dimension string, role string")
-    cover = sought.join(roles, "role", "left").groupBy("dimension").agg(metrics.ratio(F.count("there"), F.count("*")).alias("coverage"))
-    base = spark.createDataFrame([(n, rating.FLOORS.get(n, 0.0), n in failed, not known[n].sought) for n in names], "dimension string, floor double, failed boolean, open boolean")
-    packs = base.join(cover, "dimension", "left").select("dimension", F.when(F.col("open"), 1.0).otherwise(F.col("coverage")).alias("coverage"), "floor", "failed", F.lit(False).alias("has_docs"))
-    ratings = rating.rate(rule_inputs, packs)
-    return plan.Score(table, rule_inputs, ratings, rating.overall(ratings), rating.plan(rule_inputs, ratings), rating.gates(rule_inputs, ratings))
+            rows = [(name, "failed", "evidence_local", None, f"error: {error!s:.500}", None, [])]
+        table = table.unionByName(spark.createDataFrame(rows, measures.SCHEMA))
+    return plan.from_metrics(spark, files, table, {n: known[n].sought for n in names}, failed)

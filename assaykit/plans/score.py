@@ -7,56 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions import text as T
-from assaykit.operators import facts, joins, lexer, metrics, rating
-
-#: The roles that files can fill, as globs.
-ROLES = {
-    "readme": ["README*", "Readme*", "readme*"],
-    "architecture-doc": ["ARCHITECTURE.md", "**/docs/architecture*", "**/docs/architecture/**"],
-    "decision-record": ["**/adr/**", "**/adrs/**", "**/ADR/**", "**/ddr/**"],
-    "requirements-doc": ["PRD*.md", "**/PRD*.md", "docs/requirements*/**"],
-    "contributing-guide": ["**/CONTRIBUTING*", "**/contributing*.md"],
-    "lint-config": [".pre-commit-config.yaml", ".pre-commit-config.yml", "**/.*lint*", "**/*lint*.toml"],
-    "format-config": ["**/.editorconfig", "**/.*format*", "**/.*fmt*", "**/*format*.toml"],
-    "package-manifest": ["**/mix.exs", "**/go.mod", "**/Gemfile", "**/*.gemspec", "**/pyproject.toml", "**/package.json", "**/pom.xml", "**/Cargo.toml", "**/composer.json"],
-    "lockfile": ["**/*.lock", "**/*-lock.*", "**/*.sum", "**/*.lockb"],
-    "container-config": ["**/Dockerfile", "**/Dockerfile.*", "**/*.Dockerfile"],
-    "ci-workflow": [".github/workflows/*.yml", ".github/workflows/*.yaml", ".gitlab-ci.yml", ".circleci/**"],
-    "schema-file": ["**/schema.sql", "**/*.schema.sql", "**/*.prisma"],
-    "licence-file": ["**/LICENSE*", "**/LICENCE*", "**/COPYING*"],
-    "codeowners": ["CODEOWNERS", ".github/CODEOWNERS", ".gitlab/CODEOWNERS", "docs/CODEOWNERS"],
-    "agent-config": ["**/AGENTS.md", ".github/copilot-instructions.md"],
-    "tool-version-pin": ["**/.tool-versions", "**/mise.toml", "**/.prototools"],
-    "dev-environment": [".devcontainer.json", ".devcontainer/devcontainer.json", "**/flake.nix"],
-    "test-file": ["**/test/**", "**/tests/**", "**/spec/**", "**/__tests__/**", "**/test_*.py", "**/*_test.go"],
-}
-#: Roles whose absence is a metric of a dimension: 0 where the role is filled, else 1.
-ABSENCES = {
-    ("architecture", "architecture_description_missing"): "architecture-doc",
-    ("architecture", "decision_records_missing"): "decision-record",
-    ("requirement-fidelity", "requirements_doc_missing"): "requirements-doc",
-    ("code-quality", "lint_config_missing"): "lint-config",
-    ("code-quality", "format_config_missing"): "format-config",
-    ("security", "lockfile_missing"): "lockfile",
-    ("supply-chain", "lockfile_missing"): "lockfile",
-    ("supply-chain", "licence_file_missing"): "licence-file",
-    ("operations", "codeowners_missing"): "codeowners",
-    ("operations", "tool_version_pin_missing"): "tool-version-pin",
-    ("operations", "dev_environment_missing"): "dev-environment",
-}
-#: The roles that a dimension seeks.
-SOUGHT = {
-    "architecture": ("architecture-doc", "decision-record", "readme"),
-    "requirement-fidelity": ("requirements-doc", "test-file"),
-    "code-quality": ("contributing-guide", "lint-config", "format-config"),
-    "security": ("package-manifest", "lockfile", "container-config", "ci-workflow"),
-    "test-strategy": ("test-file", "ci-workflow"),
-    "supply-chain": ("package-manifest", "lockfile", "ci-workflow", "licence-file"),
-    "operations": ("codeowners", "agent-config", "tool-version-pin", "dev-environment"),
-}
-TESTS = {".py": ["test_{stem}.{ext}", "{stem}_test.{ext}"], ".go": ["./{stem}_test.{ext}"], ".js": ["{stem}.test.{ext}", "{stem}.spec.{ext}"], ".ts": ["{stem}.test.{ext}", "{stem}.spec.{ext}"], ".java": ["{stem}Test.{ext}"]}
-LAYOUT = ("src", "lib", "test", "tests")
+from assaykit.operators import joins, metrics, rating
+from assaykit.plans import measures
+from assaykit.sources.roles import ROLES, SOUGHT
 
 
 @dataclass
@@ -69,53 +22,22 @@ class Score:
     gates: DataFrame
 
 
-def role_metrics(spark: SparkSession, role_files: DataFrame) -> DataFrame:
-    """(dimension, metric, value): absences of roles, from one pass over the roles that are filled."""
-    filled = role_files.groupBy("role").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame([(d, m, r) for (d, m), r in ABSENCES.items()], "dimension string, metric string, role string")
-    return table.join(filled, "role", "left").select("dimension", "metric", F.when(F.col("n") > 0, 0.0).otherwise(1.0).alias("value"))
-
-
-def code_metrics(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(dimension, metric, value): what lines, functions, tests and secrets give."""
-    is_test = F.col("path").rlike("|".join(map(T.glob_regex, ROLES["test-file"])))
-    known = lexer.with_code(files.where("text is not null")).where("language is not null").withColumn("is_test", is_test)
-    code = facts.lines_of(known.select("path", "code"), "path", "code")
-    functions = lexer.complexity(code)
-    raw = facts.lines_of(known.select("path", "text"))
-    one = lambda df, d, m, v: df.agg(v.cast("double").alias("value")).select(F.lit(d).alias("dimension"), F.lit(m).alias("metric"), "value")
-    debts = facts.debt_markers(raw)
-    sources = known.where("not is_test").select("path")
-    placed = joins.project_boundary(known.select("path", "is_test"), files.where(F.col("path").rlike("|".join(map(T.glob_regex, ROLES["package-manifest"])))), list(LAYOUT))
-    expected = joins.expected_tests(placed.where("not is_test"), TESTS).join(placed.select("path", "project"), "path")
-    pairs = joins.correspondence(expected, placed.where("is_test").select("path", "project"))
-    bare = joins.uncovered(sources, pairs)
-    share = sources.agg(F.count("*").alias("n")).crossJoin(bare.agg(F.count("*").alias("u")))  # one row each
-    hits = facts.redaction_hits(files.where("text is not null"))
-    parts = [
-        one(functions, "code-quality", "functions_over_ccn_10_share", metrics.share_of(F.col("ccn") > 10)),
-        one(functions, "code-quality", "max_function_ccn", F.max("ccn")),
-        one(debts, "code-quality", "todo_without_ticket_share", metrics.share_of(~F.col("ticket"))),
-        one(share, "test-strategy", "source_files_without_covering_test_share", metrics.ratio(F.first("u"), F.first("n"))),
-        one(hits, "security", "redaction_hits_observed", F.count("*")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def score(spark: SparkSession, files: DataFrame) -> Score:
-    """The score of files (path, text, size, read_status). Metrics that nothing computes abstain."""
-    role_files = joins.resolve_roles(files, ROLES)
-    values = role_metrics(spark, role_files).unionByName(code_metrics(spark, files))
-    table = values.withColumn("abstain_reason", F.when(F.col("value").isNull(), "no_denominator"))
-    rules = rating.rule_table(spark)
+def from_metrics(spark: SparkSession, files: DataFrame, table: DataFrame, sought: dict[str, tuple[str, ...]], failed: list[str] = ()) -> Score:
+    """Ratings and what follows from them of a table of metrics. A dimension that seeks no role is open:
+    its coverage is whole."""
+    rules = rating.rule_table(spark, [r for r in rating.RULES if r[0] in sought])
     rule_inputs = rating.inputs(table, rules)
-    sought = spark.createDataFrame([(d, r) for d, rs in SOUGHT.items() for r in rs], "dimension string, role string")
-    found = role_files.select("role").distinct().withColumn("there", F.lit(1))
-    packs = sought.join(found, "role", "left").groupBy("dimension").agg(metrics.ratio(F.count("there"), F.count("*")).alias("coverage"))
-    floors = spark.createDataFrame(list(rating.FLOORS.items()), "dimension string, floor double")
-    packs = floors.join(packs, "dimension", "left").withColumns({"failed": F.lit(False), "has_docs": F.lit(False)})
+    roles = joins.resolve_roles(files, {k: list(v) for k, v in ROLES.items()}).select("role").distinct().withColumn("there", F.lit(1))
+    wanted = spark.createDataFrame([(d, r) for d, rs in sought.items() for r in rs], "dimension string, role string")
+    cover = wanted.join(roles, "role", "left").groupBy("dimension").agg(metrics.ratio(F.count("there"), F.count("*")).alias("coverage"))
+    base = spark.createDataFrame([(d, rating.FLOORS.get(d, 0.0), d in failed, not rs) for d, rs in sought.items()], "dimension string, floor double, failed boolean, open boolean")
+    packs = base.join(cover, "dimension", "left").select("dimension", F.when(F.col("open"), 1.0).otherwise(F.col("coverage")).alias("coverage"), "floor", "failed", F.lit(False).alias("has_docs"))
     ratings = rating.rate(rule_inputs, packs)
     return Score(table, rule_inputs, ratings, rating.overall(ratings), rating.plan(rule_inputs, ratings), rating.gates(rule_inputs, ratings))
+
+
+def score(spark: SparkSession, files: DataFrame, inputs: measures.Inputs | None = None) -> Score:
+    """The score of files (path, text, size, read_status), with the history and the change of ``inputs``.
+    Metrics that nothing could be read for abstain."""
+    table = measures.measure(spark, inputs or measures.Inputs(files))
+    return from_metrics(spark, files, table, {d: SOUGHT.get(d, ()) for d in rating.FLOORS})

@@ -198,7 +198,7 @@ def test_a_directory_is_scored(spark, tmp_path):
     assert got["code-quality", "max_function_ccn"] == 2 and got["security", "redaction_hits_observed"] == 1
     assert got["test-strategy", "source_files_without_covering_test_share"] == 0.5 and got["security", "lockfile_missing"] == 0
     ratings = {r.dimension: r for r in result.ratings.collect()}
-    assert ratings["supply-chain"].reason_code == "insufficient_measured_weight" and ratings["solution-fit"].reason_code == "no_static_rule"
+    assert ratings["supply-chain"].value == 44 and ratings["supply-chain"].available == 80 and ratings["solution-fit"].reason_code == "no_static_rule"
     corpus.write_json(result.ratings, str(tmp_path / "out"))
     corpus.write_report("Score", {"ratings": result.ratings}, str(tmp_path / "r.html"))
     with pytest.raises(FileExistsError):
