@@ -90,15 +90,20 @@ def iac_kinds(text: Column) -> Column:
 def sink_hits(lines: DataFrame) -> DataFrame:
     """(path, line_no, cwe): distinct hits in blanked lines (path, language, line_no, line): a sink's
     token, or a call of one that joins strings whose arguments have a plus sign."""
+    def pattern(token: str, tail: str) -> str:
+        bare, opens = token.removesuffix(" ?"), token.endswith(" ?")
+        # a name that starts a token must not end another; a blank and ? at the end is any first argument
+        before = r"(?<![.>$\w])" if T.token_regex(bare).startswith(r"\b") else ""
+        return before + T.token_regex(bare) + (r"\s*\w" if opens else "") + tail
+
     marks = []
     for field, tail in (("sinks", ""), ("concat_sinks", r"[^()\n]*\+")):
         for name, keyed in registry.tokens(field).items():
             by_cwe: dict[str, list[str]] = {}
             for cwe, _, token in (k.partition("=") for k in keyed):
-                by_cwe.setdefault(cwe, []).append(token)
-            for cwe, tokens in sorted(by_cwe.items()):
-                pattern = r"(?<![.>$\w])" + T.any_token(tokens) + tail if not tail else T.any_token(tokens) + tail
-                marks.append(F.when((F.col("language") == name) & F.col("line").rlike(pattern), F.lit(cwe)))
+                by_cwe.setdefault(cwe, []).append(pattern(token, tail))
+            for cwe, patterns in sorted(by_cwe.items()):
+                marks.append(F.when((F.col("language") == name) & F.col("line").rlike("|".join(patterns)), F.lit(cwe)))
     return lines.select("path", "line_no", F.explode(F.array_distinct(F.array_compact(F.array(*marks)))).alias("cwe"))
 
 

@@ -150,9 +150,9 @@ def high_reach_ties(spark, sf_dir):
     return ranking.top_with_ties(fan_in(spark, sf_dir).where("fan_in >= 3"), "fan_in", size)
 
 
-@query("with w as (select distinct lang as owner, lower(unnest(string_split(left(text, 2000), ' '))) as name from documents) select name, min(owner) as owner from w group by name having count(*) = 1")
+@query("with w as (select distinct lang as owner, lower(unnest(string_split(text, ' '))) as name from documents) select name, min(owner) as owner from w group by name having count(*) = 1")
 def unique_owners(spark, sf_dir):
-    names = table(spark, sf_dir, "documents").select(F.col("lang").alias("owner"), F.explode(F.split(F.substring("text", 1, 2000), " ")).alias("name")).select("owner", F.lower("name").alias("name"))
+    names = table(spark, sf_dir, "documents").select(F.col("lang").alias("owner"), F.explode(F.split("text", " ")).alias("name")).select("owner", F.lower("name").alias("name"))
     return joins.unique_owners(names.distinct())
 
 
@@ -217,15 +217,6 @@ def example_lists(spark, sf_dir):
 # ---- facts in texts -------------------------------------------------------------------------------
 
 
-@query("""
-with m as (select doc_id, unnest(regexp_extract_all(text, '\\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ABIA|ACCA)[A-Z0-9]{16}\\b')) as v from documents)
-select doc_id, 'aws_access_key_id' as detector, concat(left(v, 4), '…****:', left(sha256(v), 12)) as fingerprint from m
-""")
-def redaction_named(spark, sf_dir):
-    hits = facts.redaction_hits(table(spark, sf_dir, "documents"), "doc_id")
-    return hits.where("detector = 'aws_access_key_id'").select("doc_id", "detector", "fingerprint")
-
-
 @query("""
 with t as (select distinct doc_id, unnest(regexp_extract_all(text, '\\b[0-9a-fA-F]{32,512}\\b')) as token from documents),
 c as (select doc_id, token, unnest(list_distinct(string_split(token, ''))) as ch from t),
@@ -254,21 +245,6 @@ def line_counts(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.trim("line") == "").alias("blank"), metrics.ratio(F.sum(F.length("line")), F.count("*")).alias("mean_length"))
 
 
-@query("with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line from conversations) select conv_id, turn, count(*) as markers, count_if(regexp_matches(line, '[A-Z][A-Z0-9]+-[0-9]+|#[0-9]+|https?://')) as ticketed from l where regexp_matches(line, '\\b(?:TODO|FIXME|HACK|XXX)\\b') group by all")
-def debt_markers(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    lines = turns.select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return facts.debt_markers(lines).groupBy("conv_id", "turn").agg(F.count("*").alias("markers"), F.count_if("ticket").alias("ticketed"))
-
-
-@query("""
-with r as (select page_id, unnest(regexp_extract_all(html, '(?:merge_requests/[0-9]\\w*|\\b[A-Z][A-Z][A-Z0-9]\\w*-[0-9]\\w*|\\bissues/[0-9]\\w*|\\bpull/[0-9]\\w*|\\bGH-[0-9]\\w*|#[0-9]\\w*)')) as ref from pages)
-select distinct page_id, ref from r where regexp_matches(ref, '[0-9]$') and not regexp_matches(ref, '^(?:UTF-|UCS-|SHA-|AES-|RSA-|ISO-)')
-""")
-def issue_references(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(facts.issue_references(F.col("html"))).alias("ref"))
-
-
 @query("select page_id, case when not regexp_matches(html, '(?is)<meta\\b[^>]*name\\s*=\\s*[\"'']?viewport') then 'missing' when regexp_matches(html, '(?i)user-scalable\\s*=\\s*(?:no|0)|maximum-scale\\s*=\\s*1(?:\\.0)?\\b') then 'zoom_disabled' else 'fine' end as state from pages")
 def viewport_missing(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", facts.viewport_state(F.col("html")).alias("state"))
@@ -281,27 +257,13 @@ def images_without_alt(spark, sf_dir):
 
 
 @query("""
-with s as (select doc_id, unnest(regexp_extract_all(text, '\\b([0-9]{3}-[0-9]{2}-[0-9]{4})\\b', 1)) as value from documents)
-select doc_id, 'ssn' as kind, value from s where not regexp_matches(value, '^(?:000|666|9[0-9]{2})-|-00-|-0000$')
-""")
-def phi_spans(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(facts.phi_spans(F.col("text"))).alias("s")).where("s.kind = 'ssn'").select("doc_id", "s.kind", "s.value")
-
-
-@query("with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line from conversations where role = 'assistant') select conv_id, turn, count(*) as items from l where regexp_matches(line, '^(?:[-*]|[0-9]+\\.) +\\S') group by all")
-def requirement_list_items(spark, sf_dir):
-    lines = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"^(?:[-*]|[0-9]+\.) +\S")).groupBy("conv_id", "turn").agg(F.count("*").alias("items"))
-
-
-@query("""
-with items as (select distinct item_id, lower(regexp_extract(text, '[A-Za-z]{9,}')) as key from benchmark where regexp_matches(text, '[A-Za-z]{9,}')),
+with items as (select distinct item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{9,}'))) as key from benchmark),
 words as (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{9,}'))) as key from documents)
-select item_id, count(*) as docs from items join words using (key) group by item_id
+select item_id, count(distinct doc_id) as docs from items join words using (key) group by item_id
 """)
 def requirement_traces(spark, sf_dir):
     pattern = "[A-Za-z]{9,}"
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", pattern, 0)).alias("key")).where("key <> ''").distinct()
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower)).alias("key")).distinct()
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower))).alias("key"))
     # the keys cut the words before they are dealt: semi-joined on the small side's keys
     return words.join(items, "key").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
@@ -435,13 +397,13 @@ def blended_ratings(spark, sf_dir):
     return rating.blended(doc_ratings(spark, sf_dir), ev).select("dimension", "final", "label")
 
 
-FINDINGS = "f as (select case when conv_id % 3 = 0 then 'en' when conv_id % 3 = 1 then 'fr' else 'es' end as dimension, case when length(text) % 4 = 0 then 'low' when length(text) % 4 = 1 then 'medium' when length(text) % 4 = 2 then 'high' end as severity, case when turn % 2 = 0 then 'low' else 'high' end as confidence from conversations where conv_id < 6)"
+FINDINGS = "f as (select case when conv_id % 3 = 0 then 'en' when conv_id % 3 = 1 then 'fr' else 'es' end as dimension, case when length(text) % 4 = 0 then 'low' when length(text) % 4 = 1 then 'medium' when length(text) % 4 = 2 then 'high' end as severity, case when turn % 2 = 0 then 'low' else 'high' end as confidence from conversations)"
 ASSESS = "s as (select dimension, greatest(0, 100 - cast(round_even(sum((case coalesce(severity, 'medium') when 'low' then 5 when 'medium' then 15 else 30 end) * (case confidence when 'low' then 25 when 'medium' then 60 else 100 end)) / 100.0::double, 0) as int)) as value, count(*) as n from f group by dimension)"
 
 
 def turn_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text") % 4
-    return table(spark, sf_dir, "conversations").where("conv_id < 6").select(
+    return table(spark, sf_dir, "conversations").select(
         F.when(F.col("conv_id") % 3 == 0, "en").when(F.col("conv_id") % 3 == 1, "fr").otherwise("es").alias("dimension"),
         F.when(n == 0, "low").when(n == 1, "medium").when(n == 2, "high").alias("severity"),
         F.when(F.col("turn") % 2 == 0, "low").otherwise("high").alias("confidence"),
@@ -579,11 +541,6 @@ def event_sessions(spark, sf_dir):
     return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-@query("select dimension, sum(weight) as weight, count(*) as rules from (values " + ", ".join(f"('{r[0]}', {r[2]})" for r in rating.RULES) + ") r(dimension, weight) group by dimension")
-def rule_weights(spark, sf_dir):
-    return rating.rule_table(spark).groupBy("dimension").agg(F.sum("weight").alias("weight"), F.count("*").alias("rules"))
-
-
 @query("select distinct a.l_partkey as source, b.l_partkey as test, min(a.l_orderkey) as commit_key from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_quantity = 1 and b.l_quantity = 2 group by all")
 def changed_together(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from assaykit.plans import catalog
+from assaykit.plans import catalog, generated  # noqa: F401  generated adds its queries
 
 SF = "/root/testdata/sf0.001"
 
