@@ -123,3 +123,21 @@ def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based offset."""
     before = F.substring(text, F.lit(1), offset)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def decimal_text(value: Column) -> Column:
+    """A number as text: without decimals if it is whole, with two if these are exact, else as it is."""
+    exact = value.cast("decimal(38,2)")
+    whole = exact.cast("decimal(38,0)")
+    return F.when(value == whole.cast("double"), whole.cast("string")).when(value == exact.cast("double"), exact.cast("string")).otherwise(value.cast("string"))
+
+
+def utc_name(at: Column) -> Column:
+    """A name for a moment: its UTC date, time and microseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd'T'HHmmss-SSSSSS'Z'")
+
+
+def whole_words(keys: Column) -> Column:
+    """A regex of keys as whole words, in which a hyphen is part of a word; the longest first."""
+    quoted = F.transform(F.array_sort(keys, lambda a, b: F.length(b) - F.length(a)), lambda k: F.concat(F.lit("\\Q"), k, F.lit("\\E")))
+    return F.concat(F.lit("(?<![A-Za-z0-9_-])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9_-])"))

@@ -113,3 +113,19 @@ def hidden_focusable(html: Column) -> Column:
     shown = F.concat(*(facts.tags(html, t) for t in ("a", "button", "input", "select", "textarea")))
     can = lambda t: ~t.rlike(r"(?i)^<a\b") | t.rlike(r"(?i)\bhref\s*=")
     return F.filter(shown, lambda t: t.rlike(r"""(?i)aria-hidden\s*=\s*["']?true""") & can(t) & ~t.rlike(r"""(?i)\btabindex\s*=\s*["']?-1|\bdisabled\b"""))
+
+
+def entity_key(name: Column) -> Column:
+    """What a name stands for: its words in singular, less endings such as model or table."""
+    return F.array_join(F.transform(F.filter(T.name_words(name), lambda w: ~w.isin(*P.NAME_ENDINGS)), T.singular), "_")
+
+
+def masked(line: Column) -> Column:
+    """A line with personal values replaced by their kind."""
+    put = lambda text, s: F.replace(text, s.value, F.concat(F.lit("[PHI "), s.kind, F.lit(" redacted]")))
+    return F.aggregate(facts.phi_spans(line), line, put)
+
+
+def static_prefix(route: Column) -> Column:
+    """The part of a route before its first parameter."""
+    return F.regexp_replace(F.regexp_extract(route, r"^/?((?:[^/:{<*]+(?:/|$))*)", 1), "/+$", "")

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaykit.operators import change, code, delivery, diff, domain, facts, gates, joins, lexer, rating, redaction
+from assaykit.functions import text as T
+from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, rating, redaction
 from assaykit.plans import measures
 from assaykit.plans.catalog import query, table
 from assaykit.sources import registry
@@ -592,6 +593,87 @@ def finding_errors(spark, sf_dir):
     return rating.validate_findings(rows, refs).select("conv_id", "turn", F.size("errors").alias("errors"))
 
 
+# ---- excerpts and layers --------------------------------------------------------------------------
+
+PLAIN = ("alpha", "beta", "hit", "gamma", "delta", "", "epsilon", "zeta")
+
+
+@query(f"""
+with {lines_sql(PLAIN, "q", ".txt")},
+h as (select distinct path, greatest(line_no - 1, 1) as a, line_no + 1 as b from lines where line = 'hit'),
+m as (select *, case when a <= max(b) over (partition by path order by a, b rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as fresh from h),
+i as (select path, min(a) as a, max(b) as b from (select *, sum(fresh) over (partition by path order by a, b rows unbounded preceding) as n from m) group by path, n)
+select i.path, i.a as start, max(l.line_no) as stop, string_agg(l.line, chr(10) order by l.line_no) as text from i join lines l on l.path = i.path and l.line_no between i.a and i.b group by i.path, i.a
+""")
+def quoted_lines(spark, sf_dir):
+    lines = pooled(spark, sf_dir, PLAIN, "q", ".txt")
+    return excerpts.quoted(lines.where("line = 'hit'"), lines, 1)
+
+
+@query(f"with {lines_sql(PLAIN, 'q', '.txt')}, {FILES_SQL} select path, len(string_split(text, chr(10))) > 4 as clipped, case when len(string_split(text, chr(10))) > 4 then array_to_string(string_split(text, chr(10))[1:4], chr(10)) else text end as head from files")
+def clipped_texts(spark, sf_dir):
+    cut = texts(pooled(spark, sf_dir, PLAIN, "q", ".txt")).select("path", excerpts.clip(F.col("text"), 4).alias("t"))
+    return cut.select("path", excerpts.is_clipped(F.col("t")).alias("clipped"), F.regexp_replace("t", "\n\u2026 \\[clipped\\]$", "").alias("head"))
+
+
+OWNED = ("app.get('/x', f)", "session.query(a)", "import f{}", "x = 1")
+GRAPH_SQL = "e as (select distinct 'n' || (o_custkey % 97) as src, 'n' || (o_orderkey % 89) as dst from orders where o_orderkey % 7 = 0 and o_custkey % 97 <> o_orderkey % 89), k as (select distinct 'n' || (o_orderkey % 89) as path, case when o_orderkey % 89 < 3 then 'api' else 'data' end as layer from orders where o_orderkey % 89 < 6)"
+
+
+def _graph(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    n = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    a, b = F.col("o_custkey") % 97, F.col("o_orderkey") % 89
+    edges = o.where((F.col("o_orderkey") % 7 == 0) & (a != b)).select(n(a).alias("src"), n(b).alias("dst")).distinct()
+    known = o.where(b < 6).select(n(b).alias("path"), F.when(b < 3, "api").otherwise("data").alias("layer")).distinct()
+    return edges, known
+
+
+@query(f"""
+with recursive {GRAPH_SQL},
+f(node) as (select path from k where layer = 'api' union select dst from f join e on node = src),
+b(node) as (select path from k where layer = 'data' union select src from b join e on node = dst)
+select path, layer from k union all select f.node, 'service' from f join b using (node) where f.node not in (select path from k)
+""")
+def behaviour_layers(spark, sf_dir):
+    return layers.by_behaviour(*_graph(spark, sf_dir))
+
+
+@query("select 'd' || (c_nationkey % 6) as unit, count(*) as files from customer where c_nationkey % 6 < 4 group by 1")
+def backend_units(spark, sf_dir):
+    path = F.concat(F.lit("d"), (F.col("c_nationkey") % 6).cast("string"), F.lit("/src/f"), F.col("c_custkey").cast("string"))
+    files = table(spark, sf_dir, "customer").select(path.alias("path"), F.lit("api").alias("layer"))
+    manifests = spark.createDataFrame([(f"d{i}/go.mod",) for i in range(4)], "path string")
+    return layers.units(files, manifests)
+
+
+@query("select distinct f as framework from (values ('gin', 'PROMO'), ('echo', 'STANDARD'), ('none', 'NOPE')) v(f, p) where exists (select 1 from part where split_part(p_type, ' ', 1) = p)")
+def stack_detection(spark, sf_dir):
+    manifests = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_type").alias("text"))
+    detection = spark.createDataFrame([("gin", "PROMO"), ("echo", "STANDARD"), ("none", "NOPE")], "framework string, package string")
+    return layers.stack(manifests, detection).select("framework")
+
+
+@query("select o_orderkey, case when o_totalprice = round(o_totalprice, 0) then cast(cast(o_totalprice as bigint) as varchar) when o_totalprice = cast(cast(o_totalprice as decimal(38,2)) as double) then cast(cast(o_totalprice as decimal(38,2)) as varchar) else 'more' end as said from orders")
+def decimal_texts(spark, sf_dir):
+    said = T.decimal_text(F.col("o_totalprice"))
+    exact = F.col("o_totalprice") == F.col("o_totalprice").cast("decimal(38,2)").cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(exact, said).otherwise("more").alias("said"))
+
+
+@query(f"with {lines_sql(PHI, 'h', '.txt')} select path, line_no, case when line like '%123-45-6789%' then replace(line, '123-45-6789', '[PHI ssn redacted]') when line like 'MRN%' then 'MRN: [PHI mrn redacted]' when line like 'dob%' then 'dob [PHI dob redacted]' when line like 'date%' then 'date of birth: [PHI dob redacted]' else line end as line from lines")
+def masked_lines(spark, sf_dir):
+    return pooled(spark, sf_dir, PHI, "h", ".txt").select("path", "line_no", domain.masked(F.col("line")).alias("line"))
+
+
+ENTITIES = {"LedgerEntries": "ledger_entry", "payment_model": "payment", "JournalRepository": "journal", "Transactions": "transaction", "users_table": "user"}
+
+
+@query(f"with {lines_sql(tuple(ENTITIES), 'n', '')}, v(line, key) as (values {', '.join(f'{k, v}' for k, v in ENTITIES.items())}) select path, line_no, key from lines join v using (line)")
+def entity_keys(spark, sf_dir):
+    return pooled(spark, sf_dir, tuple(ENTITIES), "n", "").select("path", "line_no", domain.entity_key(F.col("line")).alias("key"))
+
+
 # ---- the plan as a whole --------------------------------------------------------------------------
 
 TOLD = ("source_file_share", "test_to_source_ratio", "redaction_hits_observed", "lint_config_missing", "sink_hits_observed", "float_money_observed", "ci_actions_unpinned_share", "api_spec_missing", "iac_open_ingress_observed", "max_function_ccn", "swallowed_errors_observed", "network_calls_in_unit_tests_observed")
