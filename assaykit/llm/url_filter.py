@@ -140,20 +140,43 @@ def runs_of(host: Column, path: Column) -> Column:
 
 
 def _matches(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, known): by run the (start, length, p) of the words (w, p) in it. Only parts of a length that
-    some word has are looked up."""
+    """(k1, k2, known): by a run's hashes the (start, length, p) of the words (w, p) in it. Only parts of a
+    length that some word has are looked up, and no part carries its whole run along."""
     sizes = sorted(r[0] for r in words.select(F.length("w")).distinct().collect() if r[0])
-    fit = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("run"))
-    at = runs.select("run", F.explode(fit).alias("size"))
-    at = at.select("run", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("at"))
-    parts = at.withColumn("w", F.expr("substring(run, at, size)"))
-    known = F.collect_list(F.struct((F.col("at") - 1).alias("at"), "size", "p"))
-    return parts.join(words, "w").groupBy("run").agg(known.alias("known"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, kinds = ("k1", "k2", "at", "size", "w"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        held: tuple[list, ...] = ([], [], [], [], [])
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], names=names)
+            for c in held:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, k1, k2 in zip(*(c.to_pylist() for c in batch.columns)):
+                for n in sizes:
+                    for low in range(0, len(text) - n + 1, 10_000):
+                        at = range(low, min(low + 10_000, len(text) - n + 1))
+                        for c, values in zip(held, ([k1] * len(at), [k2] * len(at), at, [n] * len(at), [text[i : i + n] for i in at])):
+                            c.extend(values)
+                        if len(held[0]) >= 10_000:
+                            yield full()
+        if held[0]:
+            yield full()
+
+    parts = map_batches(runs.select("run", "k1", "k2"), run, "k1 bigint, k2 bigint, at int, size int, w string")
+    known = F.collect_list(F.struct("at", "size", "p"))
+    return parts.join(words, "w").groupBy("k1", "k2").agg(known.alias("known"))
 
 
 def _split_runs(runs: DataFrame, words: DataFrame, whole: bool = True) -> DataFrame:
     """(run, words): the best split of each run under the words (w, p)."""
-    rows = runs.join(_matches(runs, words), "run", "left").select("run", "known")
+    keyed = runs.select("run", F.xxhash64("run").alias("k1"), F.xxhash64(F.lit(1), "run").alias("k2"))
+    rows = keyed.join(_matches(keyed, words), ["k1", "k2"], "left").select("run", "known")
 
     def run(batches):
         import pyarrow as pa
