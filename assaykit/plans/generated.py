@@ -155,7 +155,6 @@ def route_handlers(spark, sf_dir):
 
 
 SPEC = ("name: a", "  id: b", "type User {", "rpc Get (A)", "string title = 3", "# none", "- key: 1", "{}", "age: c")
-SIGNS = "case when o_shippriority_key % 3 = 0 then '+' when o_shippriority_key % 3 = 1 then '-' else ' ' end"
 
 
 def parsed_rows(spark, sf_dir, pool, suffix):
@@ -480,7 +479,7 @@ PLACES = {
 
 
 @query(f"""
-with f as (select distinct concat('p', o_orderkey % 3, '/', [{_quoted(PLACES)}][o_custkey % {len(PLACES)} + 1]) as path, [{_quoted(PLACES)}][o_custkey % {len(PLACES)} + 1] as name from orders where o_orderkey < 0 union select name, name from (values {", ".join(f"('{p}')" for p in PLACES)}) v(name)),
+with f as (select name as path, name from (values {", ".join(f"('{p}')" for p in PLACES)}) v(name)),
 r(name, role) as (values {", ".join(f"('{p}', '{r}')" for p, r in PLACES.items() if r)})
 select role, path from f join r using (name)
 """)
@@ -616,7 +615,6 @@ def clipped_texts(spark, sf_dir):
     return cut.select("path", excerpts.is_clipped(F.col("t")).alias("clipped"), F.regexp_replace("t", "\n\u2026 \\[clipped\\]$", "").alias("head"))
 
 
-OWNED = ("app.get('/x', f)", "session.query(a)", "import f{}", "x = 1")
 GRAPH_SQL = "e as (select distinct 'n' || (o_custkey % 97) as src, 'n' || (o_orderkey % 89) as dst from orders where o_orderkey % 7 = 0 and o_custkey % 97 <> o_orderkey % 89), k as (select distinct 'n' || (o_orderkey % 89) as path, case when o_orderkey % 89 < 3 then 'api' else 'data' end as layer from orders where o_orderkey % 89 < 6)"
 
 

@@ -349,7 +349,7 @@ def strictness(spark, x: Inputs, files: DataFrame) -> Found:
         want = F.concat_ws("/", F.nullif(T.parent(F.col("path")), F.lit("")), F.when(F.col("base").endswith(".json"), F.col("base")).otherwise(F.concat("base", F.lit(".json"))))
         ts = ts.withColumn("want", F.when((F.col("strict") == "") & (F.col("base") != ""), want)).join(above, F.col("want") == F.col("above"), "left").select("path", F.when(F.col("strict") != "", F.col("strict")).otherwise(F.coalesce("s2", F.lit(""))).alias("strict"), F.when(F.col("strict") != "", F.lit("")).otherwise(F.coalesce("b2", F.lit(""))).alias("base"))
     py = files.where(T.base_name(F.col("path")).isin("pyproject.toml", "mypy.ini", "setup.cfg")).select("path", F.when(F.col("text").rlike(r"(?s)\[(?:tool\.)?mypy\][^\[]*strict\s*=\s*[Tt]rue"), "true").otherwise("false").alias("strict"))
-    state = lambda rows: {None: None}.get(None) if rows.isEmpty() else rows.agg(F.max(F.col("strict") == "true")).first()[0]
+    state = lambda rows: rows.agg(F.max(F.col("strict") == "true")).first()[0]  # noqa: E731  null without a configuration
     used = {r.language for r in files.where("kind = 'source' and language in ('python', 'js-ts')").select("language").distinct().collect()}
     states = [bool(state(rows)) for name, rows in (("js-ts", ts.where("strict <> ''")), ("python", py)) if name in used]
     return _told({"examined": len(states)}, "no_checked_language", strict_type_config_missing=int(not all(states)))
