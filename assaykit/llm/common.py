@@ -53,6 +53,12 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks the driver's JVM for a collection, after which Spark removes the shuffle files of jobs that are
+    over. It does so by itself every half hour, which is too late for a loop of many small jobs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores appended until none is that of a column, in either case of letters."""
     taken, out = {c.lower() for c in columns}, []

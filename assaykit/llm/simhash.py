@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import cut, discard, scratch
+from assaykit.llm.common import cut, discard, scratch, tidy
 
 BUDGET = 4
 SHINGLE = 4
@@ -248,6 +248,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e, old = scratch(e.select("x.u", "x.v").where("u <> v").distinct(), "edges"), held
         discard(old)
         held = e
+        tidy(e.sparkSession)
         after = mark(e)
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
