@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, url_filter
+from assaykit.llm import decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, transaction_log, url_filter
 from assaykit.llm.common import table
 
 
@@ -90,6 +90,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lid_held_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
 
 
+def op11_transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transaction_log.replay(spark, sf_dir)
+
+
+#: The CRC-32 of a text's bytes, from a table that the polynomial makes: DuckDB has no function for it.
+CRC_SQL = """
+crc_table as materialized (
+  select list(v order by b) as t from (select b, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, b::bigint) as v from range(256) r(b))
+)"""
+
+
+def crc_sql(text: str) -> str:
+    raw = f"hex(encode({text}))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr({raw}, 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+OP11_SQL = f"""
+with {CRC_SQL},
+h as (select doc_id, text, source is null as nosource, coalesce(source, '') as source, {crc_sql("doc_id::varchar")} as h from documents, crc_table where doc_id is not null),
+log as (
+  select *, h % 23 as code, (h // 100) % 300 as key, sum((h % 23 <= 2)::int) over (partition by nosource, source order by doc_id rows between unbounded preceding and 1 preceding) as txn,
+    case when h % 23 in (3, 4) then 1 when h % 23 in (5, 6) then -1 else 0 end as step from h
+),
+walked as (select *, coalesce(txn, 0) as tx, sum(step) over (partition by nosource, source, coalesce(txn, 0) order by doc_id rows unbounded preceding) as walk from log),
+levelled as (select *, walk - least(0, min(walk) over (partition by nosource, source, tx order by doc_id rows unbounded preceding)) as level from walked),
+stepped as (select *, case when code in (5, 6) then coalesce(lag(level) over (partition by nosource, source, tx order by doc_id), 0) else level end as lv from levelled),
+ended as (
+  select *, min(case when code in (5, 6) then doc_id end) over (partition by nosource, source, tx, lv order by doc_id rows between 1 following and unbounded following) as rolled_at,
+    max(case when code <= 2 then doc_id end) over (partition by nosource, source, tx) as ended_at, min(case when code <= 2 then code end) over (partition by nosource, source, tx) as ended_code from stepped
+),
+commits as (select doc_id, (row_number() over (order by doc_id) - 1) // 4 + 1 as epoch from log where code <= 1),
+applied as (
+  select c.epoch, e.key, e.ended_at, e.doc_id, text, exists (select 1 from labels l where l.doc_id = e.doc_id and toxic = 1) as toxic
+  from ended e join commits c on c.doc_id = e.ended_at where code > 6 and rolled_at is null and ended_code <= 1
+),
+versions as (
+  select epoch, key, ended_at, doc_id, case when text is not null and not toxic then {crc_sql("key::varchar || ':' || text")} end as mark from applied, crc_table
+),
+deltas as (
+  select epoch, (mark is not null)::int - (lag(mark) over w is not null)::int as dn, coalesce(mark, 0) - coalesce(lag(mark) over w, 0) as dv
+  from versions window w as (partition by key order by ended_at, doc_id)
+)
+select 'state' as kind, e.epoch as id, (sum(coalesce(sum(dn), 0)) over (order by e.epoch))::bigint as n, (sum(coalesce(sum(dv), 0)) over (order by e.epoch))::bigint as value
+from (select distinct epoch from commits) e left join deltas using (epoch) group by e.epoch
+union all
+select case when rolled_at is not null then 'rollback' else 'abort' end, doc_id, coalesce(rolled_at, ended_at), key
+from ended where code > 6 and (rolled_at is not null or ended_code is null or ended_code = 2)
+"""
+
+
 # What SQL can say of op3, op5 and op9: their patterns, rules and counts, by the operators' own functions.
 
 
@@ -138,9 +189,9 @@ select page_id, host, path, (select r.h || r.p from rules r where (host = r.h or
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, llm_secret_counts, llm_quality_counts, llm_url_rules)
+    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, op11_transaction_log, llm_secret_counts, llm_quality_counts, llm_url_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "llm_secret_counts": SECRET_SQL, "llm_quality_counts": QUALITY_SQL, "llm_url_rules": URL_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op11_transaction_log": OP11_SQL, "llm_secret_counts": SECRET_SQL, "llm_quality_counts": QUALITY_SQL, "llm_url_rules": URL_SQL}
