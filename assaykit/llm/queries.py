@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, transaction_log, url_filter
+from assaykit.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, transaction_log, url_filter
 from assaykit.llm.common import table
 
 
@@ -141,6 +141,67 @@ from ended where code > 6 and (rolled_at is not null or ended_code is null or en
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(spark, sf_dir)
+
+
+def _arc(w: str, label: str, cost: str) -> str:
+    return f"{{'c': {w}.c + {cost}, 's': {w}.s || '{label}'}}"
+
+
+def op12_sql() -> str:
+    """The four grammar states' weights, folded over each conversation's rows, with a step of inserts before
+    each row; then the edits, folded into the repaired text."""
+    insert = lambda w: _arc(w, "I", "2")
+    one2 = f"least({insert('a.w0')}, {insert('a.w1')}, {insert('a.w3')})"
+    w2 = f"least(a.w2, {one2}, {_arc(insert('a.w2'), 'I', '2')})"
+    w3 = f"least(a.w3, {insert('a.w2')}, {_arc(one2, 'I', '2')})"
+    goes = lambda w: _arc(w, "D", "3")
+    never = "{'c': 1000000000::bigint, 's': ''}"
+    keep = lambda w, i: f"case when not x.must and x.initial = '{i}' then {_arc(w, 'K', 'x.cut')} else {never} end"
+    name = lambda w: f"case when not x.must then {_arc(w, 'R', '2 + x.cut')} else {never} end"
+    r2 = ", ".join(f(w) for w in ("a.w0", "a.w1", "a.w3") for f in (lambda w: keep(w, "u"), name))
+    row = lambda *w: "{'step': x.step, 'initial': x.initial, 'must': x.must, 'cut': x.cut, " + ", ".join(f"'w{i}': {v}" for i, v in enumerate(w)) + "}"
+    fold = f"case when x.step = 'insert' then {row('a.w0', 'a.w1', w2, w3)} else {row(goes('a.w0'), f'least({goes("a.w1")}, {keep("a.w0", "s")})', f'least({goes("a.w2")}, {r2})', f'least({goes("a.w3")}, {keep("a.w2", "a")}, {name("a.w2")})')} end"
+    blank = "{'step': 'insert', 'initial': '', 'must': false, 'cut': 0::bigint, 'w0': %s, 'w1': %s, 'w2': %s, 'w3': %s}"
+    dummy = blank % ((never,) * 4)
+    start = blank % ("{'c': 0::bigint, 's': ''}", never, never, never)
+    item = f"{{'step': 'row', 'initial': role[1:1], 'must': fault in ('blank', 'duplicate'), 'cut': (fault = 'truncated')::bigint, 'w0': {never}, 'w1': {never}, 'w2': {never}, 'w3': {never}}}"
+    # the next role that a state takes is a after u, else u
+    to = "case when a.q = 2 then 'assistant' else 'user' end"
+    line = "case e.x when 'I' then {to} || ':' when 'R' then {to} || ':' || rows[a.i].text when 'K' then rows[a.i].role || ':' || rows[a.i].text end".replace("{to}", to)
+    apply = f"{{'x': e.x, 'i': a.i + (e.x <> 'I')::bigint, 'q': case when e.x = 'D' then a.q when e.x = 'K' and rows[a.i].role[1:1] = 's' then 1 when a.q = 2 then 3 else 2 end, 'out': a.out || case when e.x = 'D' then '' else case when a.out = '' then '' else chr(10) end || {line} end}}"
+    return f"""
+with {CRC_SQL},
+h as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role, case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, copy
+  from h, unnest(range(case h when 0 then 0 when 3 then 2 else 1 end)) u(copy)
+),
+ranked as (
+  select *, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as k, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last from damaged
+),
+faulty as (
+  select *, case when last = '' then 'blank' when k > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(role[1:1]) over (partition by conv_id order by i) || role[1:1] as pair from ranked
+),
+listed as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, list({{'role': role, 'text': text}} order by i) as rows,
+    flatten(list([{dummy}, {item}] order by i)) || [{dummy}] as steps from faulty group by conv_id
+),
+walked as (select *, list_reduce(steps, lambda a, x: {fold}, {start}) as z from listed),
+solved as (select *, least(z.w0, z.w3) as best from walked),
+rebuilt as (
+  select *, list_reduce(list_transform(string_split(best.s, ''), lambda c: {{'x': c, 'i': 1::bigint, 'q': 0, 'out': ''}}), lambda a, e: {apply}, {{'x': '', 'i': 1::bigint, 'q': 0, 'out': ''}}) as t from solved
+)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.s, '') as audit, sha256(coalesce(t.out, '')) as repaired_sha256
+from (select distinct conv_id as id from conversations) left join rebuilt on conv_id is not distinct from id
+"""
+
+
 # What SQL can say of op3, op5 and op9: their patterns, rules and counts, by the operators' own functions.
 
 
@@ -189,9 +250,9 @@ select page_id, host, path, (select r.h || r.p from rules r where (host = r.h or
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, op11_transaction_log, llm_secret_counts, llm_quality_counts, llm_url_rules)
+    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, op11_transaction_log, op12_conversation_repair, llm_secret_counts, llm_quality_counts, llm_url_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op11_transaction_log": OP11_SQL, "llm_secret_counts": SECRET_SQL, "llm_quality_counts": QUALITY_SQL, "llm_url_rules": URL_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op11_transaction_log": OP11_SQL, "op12_conversation_repair": op12_sql(), "llm_secret_counts": SECRET_SQL, "llm_quality_counts": QUALITY_SQL, "llm_url_rules": URL_SQL}
