@@ -142,7 +142,7 @@ def deltas(changes: DataFrame, commits: DataFrame, every: int = COMMITS) -> tupl
     prior_mark), and the number of epochs. An epoch is ``every`` commits, the last the rest."""
     total = commits.agg(F.sum("same")).first()[0] or 0
     kept = changes.where("rolled_at is null and ended_by = 'commit'")
-    kept = kept.join(commits.select("stream", F.col("pos").alias("ended_at"), "number"), ["stream", "ended_at"])
+    kept = kept.join(commits.select("stream", F.col("pos").alias("ended_at"), "number").hint("merge"), ["stream", "ended_at"])
     epoch = F.floor((F.col("number") - 1) / every) + 1
     # tie is only unlike 0 where one pos has several records
     versions = kept.groupBy("key", epoch.alias("epoch")).agg(F.max_by(F.struct("pos", "mark"), F.struct("number", "pos", "tie")).alias("v"))
