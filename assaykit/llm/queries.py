@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, transaction_log, url_filter
+from assaykit.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, mixing, passage_quality, quality, secrets, simhash, suffix_dedup, transaction_log, url_filter
 from assaykit.llm.common import table
 
 
@@ -202,6 +202,10 @@ from (select distinct conv_id as id from conversations) left join rebuilt on con
 """
 
 
+def op13_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.passage_quality(spark, sf_dir)
+
+
 # What SQL can say of op3, op5 and op9: their patterns, rules and counts, by the operators' own functions.
 
 
@@ -250,7 +254,7 @@ select page_id, host, path, (select r.h || r.p from rules r where (host = r.h or
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, op11_transaction_log, op12_conversation_repair, llm_secret_counts, llm_quality_counts, llm_url_rules)
+    found = (op1_suffix_dedup, op2_line_dedup, op3_secrets, op4_decontaminate, op5_url_filter, op6_licenses, op7_mixing, op8_simhash, op9_quality, op10_language_id, op11_transaction_log, op12_conversation_repair, op13_passage_quality, llm_secret_counts, llm_quality_counts, llm_url_rules)
     return {f.__name__: f for f in found}
 
 
