@@ -27,6 +27,8 @@ SHAPES, WORDS = 32, 64
 #: The labelled documents learned from, at most, in order of a hash of their id, and their passages; a
 #: document of over a tenth of these is not learned from.
 MAX_ROWS, MAX_PASSAGES = 6000, 60_000
+#: Hashes of ids are folded to so many places.
+PLACES = 1 << 31
 #: Sizes of the embedding and of the attention.
 EMBEDDING, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 60, 64, 4e-3, 2e-3
@@ -203,7 +205,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list]:
     are labels that are null; of rows with one doc_id each text counts."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
     known = known.where("label = most and doc_id is not null").select("doc_id", "label")
-    picked = docs.select("doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MAX_ROWS)
+    # ids and hashes first: texts are read again for the rows picked and never shuffled
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    rows = scratch(own.join(known.hint("merge"), "doc_id").distinct().withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))), "known")
+    bound = min(PLACES, int(PLACES * 1.5 * MAX_ROWS / max(1, rows.count())))
+    chosen = F.broadcast(rows.where(F.col("place") <= bound).orderBy("place", "doc_id", "h").limit(MAX_ROWS))  # at most MAX_ROWS small rows
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("label").alias("label"))
 
     def run(batches):
         import pyarrow as pa
@@ -216,8 +223,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list]:
                 bag = encode(raw.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([label], pa.int32()), pa.array([len(bag)], pa.int64()), pa.array([bag.tobytes()], pa.binary())], names=["doc", "label", "n", "bag"])
 
-    spread = scratch(picked, "labelled").repartition("doc_id")
-    coded = scratch(map_batches(spread.select(F.col("doc_id").cast("string").alias("doc"), F.col("label").cast("int"), "text"), run, "doc string, label int, n bigint, bag binary"), "bags")
+    coded = scratch(map_batches(texts.select(F.col("doc_id").cast("string").alias("doc"), F.col("label").cast("int"), "text"), run, "doc string, label int, n bigint, bag binary"), "bags")
     sizes = coded.where(F.col("n") <= MAX_PASSAGES // 10).groupBy("n").count().orderBy("n").collect()  # at most MAX_ROWS rows
     room, most = MAX_PASSAGES, 0
     for n, count in sizes:  # of the shortest documents on, while there is room
