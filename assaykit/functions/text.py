@@ -42,15 +42,17 @@ def glob_regex(pattern: str) -> str:
 def token_regex(token: str) -> str:
     """Java regex of a registry token.
 
-    ``*`` is a run of word characters, ``?`` one of them, ``<...>`` a character class, a blank is
-    white space that must be there between word characters. All else stands for itself, so that a
+    ``*`` is a run of word characters, ``?`` one of them, ``<...>`` a character class, ``<INTERP>`` the
+    mark that the lexer leaves where a string with an expression in it starts, a blank is white space that must be there between word characters. All else stands for itself, so that a
     token can't carry a regex, and ends that are word characters stop at word boundaries.
     """
     out, word = [], r"[A-Za-z0-9_]"
     pieces = re.findall(r"<[A-Za-z0-9-]+>|\*+|\?| +|.", token)
-    wordy = lambda p: p[0] in "*?<" or re.fullmatch(word, p[0]) is not None
+    wordy = lambda p: p != "<INTERP>" and (p[0] in "*?<" or re.fullmatch(word, p[0]) is not None)
     for i, p in enumerate(pieces):
-        if p[0] == "*":
+        if p == "<INTERP>":
+            out.append(r"\x00")
+        elif p[0] == "*":
             out.append(r"\w*")
         elif p == "?":
             out.append(r"\w")

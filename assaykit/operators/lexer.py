@@ -1,78 +1,154 @@
-"""Source text: comments and strings blanked, imports, branches. A scanner keeps state from character
-to character, so it runs as an Arrow function over whole batches; all else is columns."""
+"""Source text: comments and strings blanked, functions with their branches, imports.
+
+How a language is written is registry data: delimiters, what embeds an expression in a string, the tokens
+that start functions and imports, the words that branch. A scanner keeps state from character to
+character and a function is known by its lines, so these run as Arrow functions over whole files, row by
+row: no file's lines are dealt out or brought together again.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.ship import ship
-
-#: By language, line comments, block comments and string quotes.
-SYNTAX = {
-    "python": (("#",), (), ('"""', "'''", '"', "'")),
-    "js-ts": (("//",), (("/*", "*/"),), ("`", '"', "'")),
-    "java": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
-    "kotlin": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
-    "go": (("//",), (("/*", "*/"),), ("`", '"', "'")),
-    "rust": (("//",), (("/*", "*/"),), ('"',)),
-    "csharp": (("//",), (("/*", "*/"),), ('"""', '"', "'")),
-    "ruby": (("#",), (("=begin", "=end"),), ('"', "'")),
-    "php": (("//", "#"), (("/*", "*/"),), ('"', "'")),
-}
-#: Suffixes by language.
-SUFFIXES = {".py": "python", ".js": "js-ts", ".ts": "js-ts", ".jsx": "js-ts", ".tsx": "js-ts", ".java": "java", ".kt": "kotlin", ".go": "go", ".rs": "rust", ".cs": "csharp", ".rb": "ruby", ".php": "php"}
-BRANCHES = r"\b(?:if|elif|for|while|case|catch|except|and|or)\b|&&|\|\||\?(?=[^.:])"
-FUNCTION = r"^\s*(?:(?:export|public|private|protected|static|async|final|override|pub|inline)\s+)*(?:def|function|func|fn|fun)\b"
-IMPORT = r"^\s*(?:import|from|require|use|using|include)\b.*$"
+from assaykit.functions import text as T
+from assaykit.functions.ship import map_batches, ship
+from assaykit.sources import registry
+
+#: Suffixes by language.
+SUFFIXES = {suffix: name for name, suffixes in registry.tokens("source_extensions").items() for suffix in suffixes}
+#: Longer lines are made by a machine: no function, branch or import is read there.
 LONG_LINE = 500
+#: Lines of an import statement at most.
+IMPORT_LINES = 100
+#: What stands in place of the first character of a string that embeds an expression.
+MARK = "\x00"
+
+
+class Literal(NamedTuple):
+    """A kind of comment or string: what ends it, and what embeds an expression in it."""
+
+    ends: re.Pattern | None
+    string: bool
+    one_line: bool
+
+
+class Syntax:
+    """The literals of a language by their openers. ``X`` runs to the end of the line (a comment) or to the
+    next X on it (a string); ``X Y`` runs from X to Y over lines. Backslashes escape in strings."""
+
+    def __init__(self, comments=(), strings=(), embedding=(), whole=()):
+        embeds: dict[str, list[str]] = {}
+        for x in sorted(embedding, key=len, reverse=True):
+            opener, _, inner = x.partition(" ")
+            # a lone $ embeds before a name or a brace: "$5" is text
+            embeds.setdefault(opener, []).append(re.escape(inner) + (r"(?:\{|(?=[A-Za-z_]))" if inner == "$" else ""))
+        self.kinds: dict[str, Literal] = {}
+        for x in strings:
+            opener, _, closer = x.partition(" ")
+            ends = [r"\\.", f"(?P<close>{re.escape(closer or opener)})", *(f"(?P<embed{i}>{e})" for i, e in enumerate(embeds.get(opener, ())))]
+            self.kinds.setdefault(opener, Literal(re.compile("|".join(ends if closer else [*ends, r"(?P<line>\n)"]), re.S), True, not closer))
+        for x in comments:
+            opener, _, closer = x.partition(" ")
+            self.kinds.setdefault(opener, Literal(re.compile(f"(?P<close>{re.escape(closer)})" if closer else r"(?P<line>\n)"), False, not closer))
+        for x in whole:
+            self.kinds.setdefault(x, Literal(None, True, True))
+        by_length = sorted(map(re.escape, self.kinds), key=len, reverse=True)
+        self.opener = re.compile("|".join(by_length))
+        self.nested = re.compile("|".join([*by_length, r"(?P<open>\{)", r"(?P<shut>\})", r"(?P<line>\n)"]))
 
+    def literals(self, text: str) -> Iterator[tuple[int, int, bool, bool]]:
+        """(start, stop, whether a string, whether it embeds an expression), outermost literals only. An
+        open one ends with its line, or with the text if it may have lines."""
+        m = self.opener.search(text)
+        while m:
+            kind = self.kinds[m[0]]
+            stop, embeds = self._stop(text, m.end(), kind, kind.one_line)
+            yield m.start(), stop, kind.string, embeds
+            m = self.opener.search(text, stop)
 
-def blank(text: str, language: str, keep_strings: bool = False) -> str:
-    """The text with comments, and strings unless kept, as blanks of the same length; line ends stay."""
-    lines, blocks, quotes = SYNTAX[language]
-    marks = sorted([(m, "\n", True) for m in lines] + [(a, b, True) for a, b in blocks] + [(q, q, False) for q in quotes], key=lambda m: -len(m[0]))
-    opener = re.compile("|".join(re.escape(m[0]) for m in marks))
-    by_mark = {m[0]: m for m in marks}
+    def _stop(self, text: str, at: int, kind: Literal, one_line: bool) -> tuple[int, bool]:
+        """Where a literal ends whose opener ends at ``at``; embedded code may hold literals in turn. What is
+        open waits on a stack: a literal's kind, or the open braces of embedded code."""
+        if kind.ends is None:
+            return at, False
+        stack: list = [kind]
+        embeds = False
+        while stack:
+            inside = stack[-1]
+            m = (self.nested if isinstance(inside, int) else inside.ends).search(text, at)
+            if m is None:
+                return len(text), embeds
+            at, what = m.end(), m.lastgroup or ""
+            if what == "line":
+                if one_line:
+                    return m.start(), embeds
+                if not isinstance(inside, int):  # a literal of one line within one of many
+                    stack.pop()
+                    at = m.start()
+            elif what.startswith("embed"):
+                embeds = True
+                if "{" in m[0]:
+                    stack.append(1)
+            elif what == "close":
+                stack.pop()
+            elif what in ("open", "shut"):
+                stack[-1] += 1 if what == "open" else -1
+                if not stack[-1]:
+                    stack.pop()
+            elif isinstance(inside, int) and self.kinds[m[0]].ends:
+                stack.append(self.kinds[m[0]])
+        return at, embeds
+
+
+def syntax_data() -> dict[str, tuple]:
+    """What Syntax takes, by language: plain values for the workers."""
+    fields = ("comment_delimiters", "string_delimiters", "interpolating_strings", "whole_literals")
+    return {name: tuple(found.get(f, ()) for f in fields) for name, found in registry.fields().items() if found.get("source_extensions")}
+
+
+_BLANK = re.compile(r"[^\n]")
+
+
+def blank(text: str, language: str | Syntax, keep_strings: bool = False, mark: bool = False) -> str:
+    """The text with comments, and strings unless kept, as blanks of the same length; line ends stay. With
+    ``mark``, a string that embeds an expression starts with MARK in place of a blank."""
+    syntax = language if isinstance(language, Syntax) else Syntax(*syntax_data()[language])
     out, at = [], 0
-    while (m := opener.search(text, at)) is not None:
-        mark, end, comment = by_mark[m[0]]
-        stop = m.end()
-        if comment:
-            found = text.find(end, stop)
-            stop = len(text) if found < 0 else found + (0 if end == "\n" else len(end))
-        else:
-            single = len(mark) == 1 and mark != "`"
-            while stop < len(text):
-                if text[stop] == "\\":
-                    stop += 2
-                elif text.startswith(end, stop):
-                    stop += len(end)
-                    break
-                elif single and text[stop] == "\n":
-                    break
-                else:
-                    stop += 1
-            stop = min(stop, len(text))
-        out.append(text[at : m.start()])
-        piece = text[m.start() : stop]
-        out.append(piece if keep_strings and not comment else re.sub(r"[^\n]", " ", piece))
+    for start, stop, string, embeds in syntax.literals(text):
+        out.append(text[at:start])
+        piece = text[start:stop]
+        if not (string and keep_strings):
+            piece = _BLANK.sub(" ", piece)
+            if mark and embeds:
+                piece = MARK + piece[1:]
+        out.append(piece)
         at = stop
     return "".join(out) + text[at:]
 
 
-def with_code(files: DataFrame, path: str = "path", text: str = "text", name: str = "code") -> DataFrame:
-    """files with ``code``, the blanked text, null for files of no known language."""
+def with_code(files: DataFrame, path: str = "path", text: str = "text", name: str = "code", marked: str | None = None) -> DataFrame:
+    """files with language and ``name``, the blanked text, null for files of no known language; with
+    ``marked``, also that text with marks."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def strip(texts, languages):
-        return texts.combine(languages, lambda t, k: blank(t, k) if t is not None and k in SYNTAX else None)
+    data = syntax_data()
+
+    def stripper(mark: bool):
+        @pandas_udf("string")
+        def strip(texts, languages):
+            known = {k: Syntax(*v) for k, v in data.items()}
+            return texts.combine(languages, lambda t, k: blank(t, known[k], mark=mark) if t is not None and k in known else None)
+
+        return strip
 
     ship(files.sparkSession)
-    return files.withColumn("language", language(F.col(path))).withColumn(name, strip(text, "language"))
+    out = files.withColumn("language", language(F.col(path))).withColumn(name, stripper(False)(text, "language"))
+    return out.withColumn(marked, stripper(True)(text, "language")) if marked else out
 
 
 def language(path: Column) -> Column:
@@ -80,53 +156,105 @@ def language(path: Column) -> Column:
     return table[F.regexp_extract(path, r"(\.[^./]*)$", 1)]
 
 
-def _functions(rows):
-    """(start, stop, ccn) of one file's lines, in one pass with the open functions on a stack."""
-    import pandas as pd
+def patterns(field: str) -> dict[str, str]:
+    """One regex a language for a field's tokens."""
+    return {k: T.any_token(v) for k, v in registry.tokens(field).items()}
 
-    branch, head, closer = re.compile(BRANCHES), re.compile(FUNCTION), re.compile(r"\s*[)\]}]")
-    open_, out, last = [], [], 0
-    for n, line in rows:
-        if not line.strip(" "):
-            continue
-        last, indent = n, len(line) - len(line.lstrip(" "))
-        if not closer.match(line):
-            while open_ and indent <= open_[-1][1]:
-                start, _, found = open_.pop()
-                out.append((start, n - 1, found + 1))
-        if head.match(line) and not line.rstrip(" ").endswith(";"):
-            open_.append([n, indent, 0])
-        if open_ and len(line) <= LONG_LINE:
-            open_[-1][2] += len(branch.findall(line))
-    out += [(start, last, found + 1) for start, _, found in open_]
-    return pd.DataFrame(out, columns=["start", "stop", "ccn"])
-
-
-def complexity(lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, start, stop, ccn): functions of blanked lines (key, line_no, line).
-
-    A function runs from its line to before the next line that is not blank, not deeper indented and
-    no lone closer; a line belongs to the innermost function over it; ccn is one more than the
-    branches on its lines. Lines over 500 characters do not count. A file's lines go to one task.
+
+def function_lines(code: str, head: re.Pattern, branch: re.Pattern) -> list[tuple[int, int, int]]:
+    """(start, stop, ccn) of the functions in blanked code, lines from 1, in one pass.
+
+    A function starts on a line with a head that does not end in a semicolon, and stops with the last line
+    that is not blank before one that is indented no deeper and is no bracket's (``)]}{``). A line counts
+    for the function that started last of those over it; ccn is one more than its branches there.
     """
+    done: list[list[int]] = []
+    open_: list[list[int]] = []  # indent, start, stop, branches
+    for n, line in enumerate(code.split("\n"), 1):
+        bare = line.lstrip()
+        if not bare or len(line) > LONG_LINE:
+            continue
+        indent = len(line) - len(bare)
+        if bare[0] not in ")]}{":
+            done += [f for f in open_ if f[0] >= indent]
+            open_ = [f for f in open_ if f[0] < indent]
+        if head.search(line) and not bare.rstrip().endswith(";"):
+            open_.append([indent, n, n, 1])
+        if open_:
+            open_[-1][3] += len(branch.findall(line))
+            for f in open_:
+                f[2] = n
+    return sorted((start, stop, ccn) for _, start, stop, ccn in done + open_)
+
+
+def functions(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, start, stop, ccn) of the functions of files (path, language, code), by function_lines() with
+    the language's tokens; row by row, without a shuffle. Files without code have none."""
+    heads, branches = patterns("function_start"), patterns("branch_keywords")
+    kind = files.schema[path].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        found = {k: (re.compile(heads[k]), re.compile(branches[k])) for k in heads}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for p, name, code in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in function_lines(code, *found[name]) if code is not None and name in found else ():
+                    for column, v in zip(out, (p, *row)):
+                        column.append(v)
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=[path, "start", "stop", "ccn"])
+
+    return map_batches(files.select(path, "language", "code"), run, f"{path} {kind}, start int, stop int, ccn int")
+
+
+def import_lines(code: str, kept: str, head: re.Pattern) -> list[tuple[int, str]]:
+    """(line, statement) of the imports: found in blanked code, told with their strings, from the token to
+    the end of the line, or of the line, at most IMPORT_LINES further, on which all brackets are shut."""
+    lines, texts = code.split("\n"), kept.split("\n")
+    depth = lambda s: sum((c in "([{") - (c in ")]}") for c in s)
+    out, n = [], 0
+    while n < len(lines):
+        m = head.search(lines[n]) if len(lines[n]) <= LONG_LINE else None
+        if m:
+            first, told, level = n, [texts[n][m.start() :]], depth(lines[n][m.start() :])
+            while level > 0 and n + 1 < len(lines) and n - first < IMPORT_LINES:
+                n += 1
+                told.append(texts[n])
+                level += depth(lines[n])
+            out.append((first + 1, "\n".join(told)))
+        n += 1
+    return out
+
+
+def import_statements(files: DataFrame) -> DataFrame:
+    """(path, language, line_no, statement) of files (path, language, text, code), row by row."""
+    heads, data = patterns("import_syntax"), syntax_data()
+
+    def run(batches):
+        import pyarrow as pa
 
-    def of_file(names, frame):
-        frame = frame.sort_values("line_no")
-        out = _functions(zip(frame["line_no"].tolist(), frame["line"].tolist()))
-        out.insert(0, "key", names[0])
-        return out.astype({"start": "int32", "stop": "int32", "ccn": "int32"})
+        found = {k: (re.compile(v), Syntax(*data[k])) for k, v in heads.items()}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for p, name, text, code in zip(*(c.to_pylist() for c in batch.columns)):
+                if code is None or text is None or name not in found:
+                    continue
+                head, syntax = found[name]
+                for n, statement in import_lines(code, blank(text, syntax, keep_strings=True), head):
+                    for column, v in zip(out, (p, name, n, statement)):
+                        column.append(v)
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["path", "language", "line_no", "statement"])
 
-    ship(lines.sparkSession)
-    kind = lines.schema[key].dataType.simpleString()
-    found = lines.select(F.col(key).alias("key"), "line_no", "line").groupBy("key").applyInPandas(of_file, f"key {kind}, start int, stop int, ccn int")
-    return found.withColumnRenamed("key", key)
+    return map_batches(files.select("path", "language", "text", "code"), run, "path string, language string, line_no int, statement string")
 
 
-def imports(lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, line_no, statement, name): import lines and the last part of each name they give."""
-    found = lines.where(F.col("line").rlike(IMPORT))
-    quoted = F.regexp_extract_all("line", F.lit(r"""["']([^"']+)["']"""), F.lit(1))
-    dotted = F.regexp_extract_all("line", F.lit(r"\b(?:import|from|use|using)\s+([\w.:\\]+)"), F.lit(1))
+def imported_names(statements: DataFrame) -> DataFrame:
+    """(path, line_no, statement, name): the last part of each name that a statement gives."""
+    quoted = F.regexp_extract_all("statement", F.lit(r"""["']([^"']+)["']"""), F.lit(1))
+    dotted = F.regexp_extract_all("statement", F.lit(r"\b(?:import|from|use|using)\s+([\w.:\\]+)"), F.lit(1))
     names = F.when(F.size(quoted) > 0, quoted).otherwise(dotted)
     last = F.transform(names, lambda n: F.regexp_extract(F.regexp_replace(n, r"/+$|\.(?:js|ts|jsx|tsx|py|rb|php)$", ""), r"([^./:\\]+)$", 1))
-    return found.select(key, "line_no", F.trim("line").alias("statement"), F.explode(last).alias("name")).where("name <> ''")
+    return statements.select("path", "line_no", F.trim("statement").alias("statement"), F.explode(last).alias("name")).where("name <> ''")

@@ -326,20 +326,103 @@ def queries_in_loops(spark, sf_dir):
     return found.where("finding = 'query_in_loop'").select("path", "line_no")
 
 
-FUNCTIONS = ("def f(a):", "    if a:", "    return a and b", "x = 1", "    while a:", "", "def g(b):", "    y = 2")
+#: Templates of lines by language, "@" being a name of the row's own; each comes at several depths.
+SOURCE = {
+    "py": ("def @(a):", "async def @(a, b):", "if @ and b:", "elif @ or c:", "for @ in a:", "while @:", "except @:", "x = @ if a else b", "return @", ")", "", "def @();"),
+    "ts": ("function @(a) {", "const @ = (a) => {", "const @ = async (a) => {", "@(a) {", "if (@ && b) {", "} else if (a || @) {", "for (;;) {", "case @:", "} catch (@) {", "}", "", "declare function @(a): void;"),
+    "java": ("public int @(int a) {", "private static int @(int a)", "void @(int a) {", "int @ = 1;", "if (@ && b) {", "while (a || @)", "case @:", "} catch (@ e) {", "{", "}", "", "static int @(int a);"),
+    "cs": ("public int @(int a)", "private async Task @(int a)", "void @(int a) {", "public int @ => 1;", "if (@ && b)", "foreach (var @ in a)", "case @:", "catch (@ e)", "{", "}", "", "static int @(int a);"),
+    "go": ("func @(a int) {", "func (s *T) @(a int) {", "x := func(@ int) {", "if @ && b {", "for @ := range a {", "case @:", "while := @", "} else if @ || b {", "}", ")", "", "func @();"),
+    "rs": ("fn @(a: i32) {", "pub fn @(a: i32) -> i32 {", "if @ && b {", "for @ in a {", "while @ {", "Some(@) => 1,", "None => @,", "a || @", "}", "]", "", "fn @(a: i32);"),
+    "kt": ("fun @(a: Int) {", "private fun @(a: Int): Int {", "if (@ && b) {", "for (@ in a) {", "while (@) {", "} catch (@: E) {", "@ -> 1", "a || @", "}", ")", "", "val fun_@ = 1"),
+    "rb": ("def @(a)", "def self.@(a)", "if @ and b", "elsif @ or c", "unless @", "until @", "when @", "rescue @", "end", "]", "", "x = @ && a || b"),
+    "php": ("function @($a) {", "public function @($a)", "$@ = function ($a) {", "if ($@ && $b) {", "} elseif ($a || $@) {", "foreach ($a as $@)", "case @:", "} catch (@ $e) {", "{", "}", "", "function @($a);"),
+}
+#: What heads and branches look like in SQL's own regex, by suffix.
+HEADS_SQL = """
+heads(suffix, head, branch) as (values
+  ('py', '\\bdef\\b', '\\b(if|elif|for|while|except|and|or)\\b'),
+  ('ts', '\\bfunction\\b|\\bconst\\s+\\w*\\s*=\\s*(async\\s*)?\\(', '\\b(if|for|while|case|catch)\\b|&&|[|][|]'),
+  ('java', '\\b(public|private|protected|public static|private static|protected static|public final|private final|static)\\s+\\w*\\s*\\w*\\s*\\(|\\bvoid\\s+\\w*\\s*\\(', '\\b(if|for|while|case|catch)\\b|&&|[|][|]'),
+  ('cs', '\\b(public|private|protected|internal|public static|private static|internal static|public override|protected override|public async|private async|static)\\s+\\w*\\s*\\w*\\s*\\(|\\bvoid\\s+\\w*\\s*\\(', '\\b(if|case|for|foreach|while|catch)\\b|&&|[|][|]'),
+  ('go', '\\bfunc\\b', '\\b(if|for|case)\\b|&&|[|][|]'),
+  ('rs', '\\bfn\\b', '\\b(if|for|while)\\b|=>|&&|[|][|]'),
+  ('kt', '\\bfun\\b', '\\b(if|for|while|catch)\\b|&&|[|][|]'),
+  ('rb', '\\bdef\\b', '\\b(if|elsif|unless|while|until|for|when|rescue|and|or)\\b|&&|[|][|]'),
+  ('php', '\\bfunction\\b', '\\b(if|elseif|for|foreach|while|case|catch|and|or)\\b|&&|[|][|]')
+)"""
+SOURCE_FILE = 40
+
+
+def source_lines(spark: SparkSession, sf_dir: str, pools_of: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(path, line_no, line): files by language from line items, a line an item: orders say where it
+    stands, suppliers how deep, by blanks or tabs, and parts what it is and its name."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    file = F.floor(F.col("l_orderkey") / SOURCE_FILE)
+    suffix = F.element_at(F.array(*map(F.lit, pools_of)), (file % len(pools_of) + 1).cast("int"))
+    pools = F.create_map(*(x for k, v in pools_of.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    picked = F.element_at(pools[suffix], (F.col("l_partkey") % 12 + 1).cast("int"))
+    pad = F.repeat(F.when(F.col("l_suppkey") % 5 == 0, "\t").otherwise("  "), (F.col("l_suppkey") % 4).cast("int"))
+    name = F.concat(F.lit("n"), F.col("l_partkey").cast("string"))
+    line = F.concat(pad, F.replace(picked, F.lit("@"), name))
+    order = F.row_number().over(Window.partitionBy(file).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return items.select(F.concat(F.lit("c"), file.cast("string"), F.lit("."), suffix).alias("path"), order.alias("line_no"), line.alias("line"))
+
+
+def source_sql(pools_of: dict[str, tuple[str, ...]]) -> str:
+    return f"""
+lines as (
+  select concat('c', l_orderkey // {SOURCE_FILE}, '.', s) as path, s as suffix, row_number() over (partition by l_orderkey // {SOURCE_FILE} order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as line_no,
+    concat(repeat(case when l_suppkey % 5 = 0 then chr(9) else '  ' end, (l_suppkey % 4)::int), replace(pools[s][l_partkey % 12 + 1], '@', concat('n', l_partkey))) as line
+  from (select *, [{_quoted(pools_of)}][(l_orderkey // {SOURCE_FILE}) % {len(pools_of)} + 1] as s, map {{{", ".join(f"'{k}': [{_quoted(v)}]" for k, v in pools_of.items())}}} as pools from lineitem)
+)"""
 
 
 @query(f"""
-with {lines_sql(FUNCTIONS, "c", ".py")},
-n as (select *, sum(case when line in ('def f(a):', 'def g(b):', 'x = 1') then 1 else 0 end) over (partition by path order by line_no rows unbounded preceding) as part from lines),
-p as (select path, part, min(line_no) filter (where line like 'def%') as start, max(line_no) filter (where line <> '') as last, count_if(line in ('    if a:', '    while a:', '    return a and b')) as branches from n where part > 0 group by path, part),
-e as (select path, part, min(line_no) as first from n where part > 0 group by path, part),
-z as (select path, max(line_no) filter (where line <> '') as last from lines group by path)
-select p.path, p.start, coalesce(nx.first - 1, z.last) as stop, cast(p.branches + 1 as int) as ccn
-from p join z using (path) left join e nx on nx.path = p.path and nx.part = p.part + 1 where p.start is not null
+with {source_sql(SOURCE)}, {HEADS_SQL},
+solid as (select *, length(line) - length(ltrim(line, ' ' || chr(9))) as indent, ltrim(line, ' ' || chr(9)) as bare from lines join heads using (suffix) where ltrim(line, ' ' || chr(9)) <> ''),
+f as (select path, line_no as start, indent from solid where regexp_matches(line, head) and not ends_with(rtrim(line), ';')),
+limits as (
+  select path, start, min(s.line_no) as next from f left join solid s using (path)
+  where s.line_no > f.start and s.indent <= f.indent and s.bare[1:1] not in (')', ']', '}}', '{{') group by path, start
+),
+spans as (select f.path, f.start, max(s.line_no) as stop from f left join limits using (path, start) join solid s on s.path = f.path and s.line_no >= f.start and (next is null or s.line_no < next) group by f.path, f.start),
+owned as (
+  select s.path, max(start) as start, s.line_no, any_value(len(regexp_extract_all(line, branch))) as n from solid s join spans p on p.path = s.path and s.line_no between p.start and p.stop group by s.path, s.line_no
+)
+select path, start::int as start, stop::int as stop, (1 + sum(coalesce(n, 0)))::int as ccn from spans left join owned using (path, start) group by path, start, stop
 """)
 def function_complexity(spark, sf_dir):
-    return lexer.complexity(pooled(spark, sf_dir, FUNCTIONS, "c", ".py"))
+    files = texts(source_lines(spark, sf_dir, SOURCE))
+    return lexer.functions(files.select("path", lexer.language(F.col("path")).alias("language"), F.col("text").alias("code")))
+
+
+#: Calls with strings that embed an expression, that only look so, and that do not.
+STRINGS = {
+    "ts": ("db.query(`select ${@}`)", "db.query(`select @`)", 'db.query("${@}")', "db.query(`\\${@}`)", "db.execute( `a ${ f(`b ${@}`) } c` )", "x = `${@}`", "// db.query(`${@}`)", "db.query(`$@ $5`)", "`${@}`.query(1)", "log(`db.query(${@})`)", "", "db.execute(`@ ${1}`); eval(@)"),
+    "kt": ('db.rawQuery("select $@")', 'db.rawQuery("select 5$ @")', 'db.execSQL("a ${@.b}")', 'db.execSQL("a \\$@")', 's.executeQuery( """$@""")', 'val @ = "$x"', '// db.rawQuery("$@")', "db.rawQuery('$')", 'db.rawQuery("$5 @")', "", 'f("db.rawQuery($@)")', 'db.rawQuery(@)'),
+    "rb": ('U.where("a = #{@}")', "U.where('a = #{@}')", 'U.where("a = #@")', 'c.execute("x #{f("@")}")', '# U.where("#{@}")', 'U.find_by_sql( "#{@}" )', 'puts "#{@}"', 'U.where("a \\#{@}")', "", "end", 'U.where(@)', '"#{@}".where(1)'),
+    "php": ('$d->query("a $@")', "$d->query('a $@')", '$d->query("a 5$ @")', '$d->query("a {$@}")', '# $d->query("$@")', 'mysqli_query($c, "x $@")', 'mysqli_query($c, "x @")', '$d->query("\\$@")', "", "}", '$d->query($@)', 'echo "$@";'),
+}
+#: The same in SQL's own regex, a line at a time: the call, and a string up to its first expression.
+CALLS_SQL = r"""
+calls(suffix, call, comment) as (values
+  ('ts', '[.](query|execute)\s*\(\s*`([^`\\$]|\\.|\$[^{])*\$\{', '//'),
+  ('kt', '[.](rawQuery|execSQL|executeQuery)\s*\(\s*("{3}|")([^"\\$]|\\.|\$[^A-Za-z_{"])*\$[A-Za-z_{]', '//'),
+  ('rb', '[.](where|execute|find_by_sql)\s*\(\s*"([^"\\#]|\\.|#[^{"])*#\{', '#'),
+  ('php', '(->query\s*\(|\bmysqli_query\s*\(\s*\$\w*\s*,)\s*"([^"\\$]|\\.|\$[^A-Za-z_{"])*\$[A-Za-z_{]', '#')
+)"""
+
+
+@query(f"""
+with {source_sql(STRINGS)}, {CALLS_SQL}
+select path, line_no::int as line_no, 'CWE-89' as cwe from lines join calls using (suffix) where regexp_matches(line, call) and not starts_with(ltrim(line, ' ' || chr(9)), comment) and line not like 'log(%'
+union all select path, line_no::int, 'CWE-95' from lines where suffix = 'ts' and line like '%eval(%'
+""")
+def interpolated_sinks(spark, sf_dir):
+    files = lexer.with_code(texts(source_lines(spark, sf_dir, STRINGS)), marked="marked")
+    lines = facts.lines_of(files, "path", "marked").withColumn("language", lexer.language(F.col("path")))
+    return code.sink_hits(lines).distinct()
 
 
 # ---- texts ----------------------------------------------------------------------------------------

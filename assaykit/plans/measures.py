@@ -66,7 +66,7 @@ def _told(row: dict, reason: str, **metrics) -> Found:
 def prepared(spark: SparkSession, files: DataFrame) -> DataFrame:
     """files with language, kind and code (blanked text), checkpointed once for all families."""
     checkpoints(spark)
-    known = lexer.with_code(files.where("text is not null").select("path", "text"))
+    known = lexer.with_code(files.where("text is not null").select("path", "text"), marked="marked")
     return known.withColumn("kind", code.code_kind(F.col("path"))).checkpoint()
 
 
@@ -115,7 +115,7 @@ def shape(spark, x: Inputs, files: DataFrame) -> Found:
     out = _told(row, "no_file", source_file_share=row["sources"] / n)
     out |= _told({**row, "examined": row["sources"]}, "no_source_file", test_to_source_ratio=row["tests"] / (row["sources"] or 1))
     sources = files.where("kind = 'source'")
-    functions = lexer.complexity(_lines(sources))
+    functions = lexer.functions(sources)
     f = _row(functions, over=F.count_if(F.col("ccn") > 10), most=F.max("ccn"))
     out |= _told(f, "no_function", functions_over_ccn_10_share=(f["over"] or 0) / (f["examined"] or 1), max_function_ccn=f["most"])
     debt = _row(facts.debt_markers(_lines(files, "text")), bare=F.count_if(~F.col("ticket")))
@@ -157,9 +157,10 @@ def security(spark, x: Inputs, files: DataFrame) -> Found:
     hits = facts.redaction_hits(files).groupBy("path").agg(F.count("*").alias("n"))
     r = _row(files.join(hits, "path", "left"), hits=F.sum("n"), flagged=F.count("n"))
     out = _told(r, "no_file", redaction_hits_observed=r["hits"] or 0, redacted_file_share=r["flagged"] / (r["examined"] or 1))
-    sources = _lines(files.where("kind = 'source'"))
+    kept = files.where("kind = 'source'")
+    sources = _lines(kept)
     s = _row(sources.where(code.knows(F.col("language"), "sinks")).select("path").distinct())
-    out |= _told(s, "no_language_with_tokens", sink_hits_observed=code.sink_hits(sources).distinct().count())
+    out |= _told(s, "no_language_with_tokens", sink_hits_observed=code.sink_hits(_lines(kept, "marked")).distinct().count())
     c = _row(code.cookie_statements(sources).where("missing is not null"), bad=F.count_if(F.size("missing") > 0))
     return out | _told(c, "no_cookie", cookie_flags_missing_observed=c["bad"])
 
@@ -254,7 +255,7 @@ def file_edges(files: DataFrame) -> DataFrame:
     """(src, dst): files and the ones that they import, by the last part of the imported name where one
     file only has it."""
     sources = files.where("kind = 'source'")
-    named = lexer.imports(_lines(sources, "text")).select(F.col("path").alias("src"), "name")
+    named = lexer.imported_names(lexer.import_statements(sources)).select(F.col("path").alias("src"), "name")
     owners = joins.unique_owners(sources.select(T.stem(F.col("path")).alias("name"), F.col("path").alias("owner")).distinct()).withColumnRenamed("owner", "dst")
     return named.join(owners, "name").where("src <> dst").select("src", "dst").distinct()
 

@@ -105,10 +105,9 @@ def test_lexer(spark):
     assert "note" not in lexer.blank(code, "python") and "a # b" in lexer.blank(code, "python", True)
     assert lexer.blank("a /* b\n c */ d // e", "java").split() == ["a", "d"]
     df = lexer.with_code(spark.createDataFrame([("a/b.py", code), ("c.txt", "x"), ("d.go", None)], "path string, text string"))
-    ccn = lexer.complexity(facts.lines_of(df.where("code is not null").select("path", "code"), "path", "code")).collect()
-    assert [(r.path, r.start, r.stop, r.ccn) for r in ccn] == [("a/b.py", 2, 7, 4)]
-    lines = spark.createDataFrame([("p", 1, "import a.b.c"), ("p", 2, "from './x/util.js' import y"), ("p", 3, "z = 1")], "path string, line_no int, line string")
-    assert {r.name for r in lexer.imports(lines).collect()} == {"c", "util"}
+    assert [(r.path, r.start, r.stop, r.ccn) for r in lexer.functions(df).collect()] == [("a/b.py", 2, 6, 4)]
+    files = lexer.with_code(spark.createDataFrame([("p.ts", "import a.b.c\nimport y from './x/util.js'\nz = 1")], "path string, text string"))
+    assert {r.name for r in lexer.imported_names(lexer.import_statements(files)).collect()} == {"c", "util"}
 
 
 def test_redaction(spark):
