@@ -31,6 +31,14 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def braces(pattern: str) -> list[str]:
+    """The globs that a pattern with alternatives stands for, the leftmost braces varying slowest."""
+    m = re.search(r"\{([^{}]*)\}", pattern)
+    if not m:
+        return [pattern]
+    return [g for word in m[1].split(",") for g in braces(pattern[: m.start()] + word + pattern[m.end() :])]
+
+
 def glob_regex(pattern: str) -> str:
     """A whole-path regex of a glob: ``**/`` any directories or none, ``**`` anything, ``*`` and ``?``
     within one segment. Everything else stands for itself."""
