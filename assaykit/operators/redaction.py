@@ -171,3 +171,17 @@ def redact(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
 
     return map_batches(files.select(F.col(path).alias("path"), F.col(text).alias("text")), run, "path string, text string")
+
+
+def redact_rows(rows: DataFrame, columns: list[str], path: str = "path") -> DataFrame:
+    """rows with the named text columns redacted, the others as they are; ``path`` by segments. A null stays
+    null."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            done = {c: pa.array([v if v is None else redacted_path(v) if c == path else redacted(v) for v in batch.column(batch.schema.get_field_index(c)).to_pylist()], pa.string()) for c in columns}
+            yield pa.RecordBatch.from_arrays([done.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
+
+    return map_batches(rows, run, rows.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, rating, redaction
+from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, packs, rating, redaction
 from assaykit.plans import measures
 from assaykit.plans.catalog import query, table
 from assaykit.sources import registry
@@ -425,6 +425,62 @@ def interpolated_sinks(spark, sf_dir):
     return code.sink_hits(lines).distinct()
 
 
+# ---- evidence -------------------------------------------------------------------------------------
+
+UNITS = ("security", "api", "data")
+LIMIT = 9000
+TURNS_SQL = f"""
+x as (
+  select [{_quoted(UNITS)}][u] as unit, concat('c', conv_id, '.md') as path, turn + 1 as start, turn + 1 + u as stop, coalesce(text, '') as text, conv_id * 1000 + turn as arrival,
+    case when conv_id % 7 = 0 then 1 when conv_id % 5 = 0 then 2 else 3 end as tier
+  from conversations, unnest(range(1, {len(UNITS) + 1})) u(u) where u <> 3 or conv_id % 3 = 0
+),
+r as (select *, concat(path, ':', start, '-', stop) as ref, sum(strlen(text)) over (partition by unit order by tier, arrival rows unbounded preceding) as used, row_number() over (partition by unit order by tier, arrival) as position from x)"""
+
+
+def turn_packs(spark: SparkSession, sf_dir: str) -> packs.Packs:
+    turns = table(spark, sf_dir, "conversations").withColumn("u", F.explode(F.sequence(F.lit(1), F.lit(len(UNITS))))).where("u <> 3 or conv_id % 3 = 0")
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md"))
+    rows = turns.select(F.element_at(F.array(*map(F.lit, UNITS)), F.col("u")).alias("unit"), path.alias("path"), (F.col("turn") + 1).alias("start"), (F.col("turn") + 1 + F.col("u")).alias("stop"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("arrival"), "conv_id")
+    near = lambda n: rows.where(F.col("conv_id") % n == 0).select("path")
+    return packs.pack(rows.drop("conv_id"), LIMIT, near(7), near(5))
+
+
+@query(f"with {TURNS_SQL} select unit, position, ref, strlen(text)::bigint as bytes, sha256(text) as text_sha256 from r where used <= {LIMIT}")
+def evidence_packs(spark, sf_dir):
+    found = turn_packs(spark, sf_dir).excerpts
+    return found.select("unit", "position", "ref", "bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""
+with {TURNS_SQL}
+select unit, count_if(used <= {LIMIT})::bigint as admitted, coalesce(max(used) filter (used <= {LIMIT}), 0)::bigint as bytes, max(used) > {LIMIT} as truncated, (max(used) > {LIMIT})::bigint as omitted, 0::bigint as secrets from r group by unit
+""")
+def evidence_units(spark, sf_dir):
+    return turn_packs(spark, sf_dir).units
+
+
+CITED_SQL = """
+e as (select coalesce(lang, '') as unit, concat(source, '/', doc_id % 50, '.md') as path, doc_id % 300 + 1 as start, doc_id % 300 + 1 + n_chars % 150 as stop, concat(source, '/', doc_id % 50, '.md', ':', doc_id % 300 + 1, '-', doc_id % 300 + 1 + n_chars % 150) as ref from documents),
+c as (select ['en', 'fr', 'de'][l_linenumber % 3 + 1] as unit, concat('src', l_suppkey % 20, '/', l_partkey % 60, '.md') as path, l_orderkey % 400 + 1 as line, l_orderkey, l_linenumber from lineitem)"""
+
+
+@query(f"""
+with {CITED_SQL},
+b as (select unit, path, line, max_by(ref, (start, stop, ref)) as ref from (select distinct unit, path, line from c) join e using (unit, path) where line between start and stop group by unit, path, line)
+select unit, path, line, count(*) as citations, any_value(ref) as ref from c left join b using (unit, path, line) group by unit, path, line
+""")
+def cited_lines(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lineitem")
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    start = F.col("doc_id") % 300 + 1
+    spans = docs.select(F.coalesce("lang", F.lit("")).alias("unit"), F.concat("source", F.lit("/"), text(F.col("doc_id") % 50), F.lit(".md")).alias("path"), start.alias("start"), (start + F.col("n_chars") % 150).alias("stop"))
+    spans = spans.withColumn("ref", packs.reference(F.col("path"), F.col("start"), F.col("stop")))
+    path = F.concat(F.lit("src"), text(F.col("l_suppkey") % 20), F.lit("/"), text(F.col("l_partkey") % 60), F.lit(".md"))
+    asked = items.select(F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("unit"), path.alias("path"), (F.col("l_orderkey") % 400 + 1).alias("line"))
+    return packs.cited_lines(asked, spans).groupBy("unit", "path", "line").agg(F.count("*").alias("citations"), F.first("ref").alias("ref"))
+
+
 # ---- texts ----------------------------------------------------------------------------------------
 
 KEY = "xQzRtWvB9k2LmN4pYs7Tf3Gh6Jd8Cw1Ae5Ub0Xo"
