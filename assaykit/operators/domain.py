@@ -96,25 +96,6 @@ def criteria(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", F.get("cells", F.col("column") - 1).alias("criterion")).where("criterion <> ''")
 
 
-def controls(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, state, n): form controls that have a name (fine), have none (hit) or can't be told (unknown,
-    where attributes are spread from code). A name is an attribute or a label for their id."""
-    found = F.concat(*(facts.tags(F.col(html), t) for t in ("input", "select", "textarea")))
-    labels = F.regexp_extract_all(html, F.lit(r"""(?i)<label\b[^>]*\b(?:for|htmlFor)\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    rows = pages.select(key, labels.alias("labels"), F.explode(found).alias("t"))
-    rows = rows.where(~F.col("t").rlike(r"""(?i)\btype\s*=\s*["']?(?:hidden|submit|button|reset|image)\b"""))
-    named = F.col("t").rlike(r"(?i)\b(?:aria-label|aria-labelledby|title)\s*=") | F.array_contains("labels", F.regexp_extract("t", r"""(?i)\bid\s*=\s*["']([^"']+)["']""", 1))
-    state = F.when(named, "fine").when(F.col("t").rlike(r"\{\s*\.\.\."), "unknown").otherwise("hit")
-    return rows.groupBy(key, state.alias("state")).agg(F.count("*").alias("n"))
-
-
-def hidden_focusable(html: Column) -> Column:
-    """Start tags that are hidden from assistive tools and can still be focused."""
-    shown = F.concat(*(facts.tags(html, t) for t in ("a", "button", "input", "select", "textarea")))
-    can = lambda t: ~t.rlike(r"(?i)^<a\b") | t.rlike(r"(?i)\bhref\s*=")
-    return F.filter(shown, lambda t: t.rlike(r"""(?i)aria-hidden\s*=\s*["']?true""") & can(t) & ~t.rlike(r"""(?i)\btabindex\s*=\s*["']?-1|\bdisabled\b"""))
-
-
 def entity_key(name: Column) -> Column:
     """What a name stands for: its words in singular, less endings such as model or table."""
     return F.array_join(F.transform(F.filter(T.name_words(name), lambda w: ~w.isin(*P.NAME_ENDINGS)), T.singular), "_")

@@ -121,11 +121,5 @@ def viewport_state(html: Column) -> Column:
     return F.when(F.size(found) == 0, "missing").when(locked, "zoom_disabled").otherwise("fine")
 
 
-def images_without_alt(html: Column) -> Column:
-    """Null where there is no image: a check without an element abstains."""
-    images = tags(html, "img")
-    return F.when(F.size(images) > 0, F.size(F.filter(images, lambda t: ~t.rlike(r"(?i)\balt\s*="))))
-
-
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import code, domain, facts, graph, joins, metrics, ranking, rating, sets
+from assaykit.operators import code, domain, facts, graph, joins, markup, metrics, ranking, rating, sets
 from assaykit.sources.corpus import documents_as_files
 from assaykit.streaming import windows
 
@@ -252,8 +252,21 @@ def viewport_missing(spark, sf_dir):
 
 @query("select page_id, case when len(t) > 0 then len(list_filter(t, lambda x: not regexp_matches(x, '(?i)\\balt\\s*='))) end as without_alt, case when len(t) = 0 then 'no_element' end as abstain_reason from (select page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<img\\b[^>]*>') as t from pages)")
 def images_without_alt(spark, sf_dir):
-    n = facts.images_without_alt(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", n.cast("bigint").alias("without_alt"), F.when(n.isNull(), "no_element").alias("abstain_reason"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    images = markup.checks(pages, "page_id", "html").where("check = 'image'").groupBy("page_id").agg(F.count_if(F.col("state") == "hit").alias("without_alt"))
+    return pages.select("page_id").join(images, "page_id", "left").select("page_id", "without_alt", F.when(F.col("without_alt").isNull(), "no_element").alias("abstain_reason"))
+
+
+@query(r"""
+with p as (select page_id, regexp_replace(html, '<!--[\s\S]*?-->', '', 'g') as t from pages),
+x as (select page_id, unnest(regexp_extract_all(t, '</?[A-Za-z][A-Za-z0-9_.:-]*(?:\s[^<>]*)?>')) as tag from p)
+select page_id, regexp_extract(tag, '^</?([A-Za-z0-9_.:-]+)', 1) as name, starts_with(tag, '</') as closing, count(*) as n, count_if(regexp_matches(tag, '\shref='))::bigint as with_href,
+  coalesce(max(regexp_extract(tag, 'href="([^"]*)"', 1)) filter (tag like '% href=%'), '') as last_href from x group by all
+""")
+def page_tags(spark, sf_dir):
+    rows = markup.with_tags(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.explode("tags").alias("t"))
+    href = F.col("t.attributes")["href"]
+    return rows.groupBy("page_id", F.col("t.name").alias("name"), F.col("t.closing").alias("closing")).agg(F.count("*").alias("n"), F.count(href).alias("with_href"), F.coalesce(F.max(href.value), F.lit("")).alias("last_href"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, packs, rating, redaction
+from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, markup, packs, rating, redaction
 from assaykit.plans import measures
 from assaykit.plans.catalog import query, table
 from assaykit.sources import registry
@@ -372,7 +372,7 @@ def source_lines(spark: SparkSession, sf_dir: str, pools_of: dict[str, tuple[str
 def source_sql(pools_of: dict[str, tuple[str, ...]]) -> str:
     return f"""
 lines as (
-  select concat('c', l_orderkey // {SOURCE_FILE}, '.', s) as path, s as suffix, row_number() over (partition by l_orderkey // {SOURCE_FILE} order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as line_no,
+  select concat('c', l_orderkey // {SOURCE_FILE}, '.', s) as path, s as suffix, (l_partkey % 12 + 1)::int as k, row_number() over (partition by l_orderkey // {SOURCE_FILE} order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as line_no,
     concat(repeat(case when l_suppkey % 5 = 0 then chr(9) else '  ' end, (l_suppkey % 4)::int), replace(pools[s][l_partkey % 12 + 1], '@', concat('n', l_partkey))) as line
   from (select *, [{_quoted(pools_of)}][(l_orderkey // {SOURCE_FILE}) % {len(pools_of)} + 1] as s, map {{{", ".join(f"'{k}': [{_quoted(v)}]" for k, v in pools_of.items())}}} as pools from lineitem)
 )"""
@@ -592,22 +592,51 @@ def float_money(spark, sf_dir):
     return domain.float_money(pooled(spark, sf_dir, MONEY, "f", ".py"))
 
 
-HTML = ('<input id="a">', '<label for="a">x</label>', '<input aria-label="y">', '<button aria-hidden="true">', '<a aria-hidden="true">', '<select>', '<input type="hidden">', '<textarea {...x}>')
+#: Elements with what tells of them, "@" being a name of the row's own: what stands in quotes, braces,
+#: comments and templates, spread and bound.
+MARKUP = {
+    "html": ('<input id="@">', '<input id="x1"/>', '<input type="hidden" id="@">', "<textarea aria-label='@ > 1'></textarea>", "<label><select id=@></select></label>", '<label for="x1">@</label>', '<img src="@" alt="">', '<img src="@ alt=1">', '<a href="@" aria-hidden="true">', '<a aria-hidden="true">@</a>', '<!-- <img src="@"> -->', '<button aria-hidden="true" disabled>@</button>'),
+    "jsx": ("<input {...@} />", "<input id={@} />", "<input onChange={(e) => { f({a: '>'}, @) }} />", "<select value={@ > 1} title={`${@}`}></select>", "<img src={@} {...rest} />", "<img src={@} alt={a ? '}' : @} />", "x = @<input", "<Image src={@} />", "<button aria-hidden={true} tabIndex={-1}>@</button>", "<button aria-hidden tabIndex={@}></button>", "/* <img src='@'> */", "<div aria-hidden={@} tabIndex={0}></div>"),
+    "vue": ('<input v-bind="@">', '<input :aria-label="@">', "<input [attr.title]='@'>", '<img :alt="@">', "<img src='{{ @ }}'>", "<img {{ @ }}>", '<button :aria-hidden="@">', '<input aria-hidden="false">', '<summary aria-hidden="true">@', '<iframe aria-hidden="true" tabindex="@">', '<area href="@" aria-hidden="true">', '<textarea class="@">'),
+}
+#: The same lines in SQL: what each says, by its place in the pool.
+SAYS_SQL = """
+says(suffix, k, name, "check", state) as (values
+  ('html', 1, 'input', 'control', 'hit'), ('html', 2, 'input', 'control', 'for'), ('html', 4, 'textarea', 'control', 'fine'), ('html', 5, 'select', 'control', 'fine'), ('html', 7, 'img', 'image', 'fine'), ('html', 8, 'img', 'image', 'hit'),
+  ('html', 9, 'a', 'hidden', 'hit'), ('html', 10, 'a', 'hidden', 'fine'), ('html', 12, 'button', 'hidden', 'fine'),
+  ('jsx', 1, 'input', 'control', 'unknown'), ('jsx', 2, 'input', 'control', 'unknown'), ('jsx', 3, 'input', 'control', 'hit'), ('jsx', 4, 'select', 'control', 'fine'), ('jsx', 5, 'img', 'image', 'unknown'), ('jsx', 6, 'img', 'image', 'fine'),
+  ('jsx', 9, 'button', 'hidden', 'fine'), ('jsx', 10, 'button', 'hidden', 'unknown'), ('jsx', 12, 'div', 'hidden', 'unknown'),
+  ('vue', 1, 'input', 'control', 'unknown'), ('vue', 2, 'input', 'control', 'fine'), ('vue', 3, 'input', 'control', 'fine'), ('vue', 4, 'img', 'image', 'fine'), ('vue', 5, 'img', 'image', 'hit'), ('vue', 6, 'img', 'image', 'unknown'),
+  ('vue', 7, 'button', 'hidden', 'fine'), ('vue', 8, 'input', 'control', 'hit'), ('vue', 8, 'input', 'hidden', 'fine'), ('vue', 9, 'summary', 'hidden', 'hit'), ('vue', 10, 'iframe', 'hidden', 'unknown'), ('vue', 11, 'area', 'image', 'hit'), ('vue', 11, 'area', 'hidden', 'hit'), ('vue', 12, 'textarea', 'control', 'hit')
+)"""
+
+
+@query(f"""
+with {source_sql(MARKUP)}, {SAYS_SQL},
+f as (select path, bool_or(k = 6 and suffix = 'html') as labelled from lines group by path)
+select path, line_no::int as line, name, "check", case when state = 'for' then case when labelled then 'fine' else 'hit' end else state end as state
+from lines join says using (suffix, k) join f using (path)
+""")
+def markup_checks(spark, sf_dir):
+    lines = source_lines(spark, sf_dir, MARKUP)
+    # a tag that is not shut would take in the next line's: lines are kept apart by a sign
+    return markup.checks(texts(lines.withColumn("line", F.concat("line", F.lit(" ;")))))
 
 
 @query(f"""
-with {lines_sql(HTML, "h", ".html")},
-f as (select path, bool_or(line like '<label%') as labelled from lines group by path)
-select l.path, case when line like '%aria-label%' or (line like '%id="a"%' and labelled) then 'fine' when line like '<textarea%' then 'unknown' else 'hit' end as state, count(*) as n
-from lines l join f using (path) where line like '<input%' and line not like '%hidden%' or line like '<select%' or line like '<textarea%' group by all
+with {source_sql(MARKUP)}, {SAYS_SQL},
+f as (select path, bool_or(k = 6 and suffix = 'html') as labelled from lines group by path)
+select path, case when state = 'for' then case when labelled then 'fine' else 'hit' end else state end as state, count(*) as n from lines join says using (suffix, k) join f using (path) where "check" = 'control' group by all
 """)
 def form_controls(spark, sf_dir):
-    return domain.controls(texts(pooled(spark, sf_dir, HTML, "h", ".html")), "path", "text")
+    return markup_checks(spark, sf_dir).where("check = 'control'").groupBy("path", "state").agg(F.count("*").alias("n"))
 
 
-@query(f"with {lines_sql(HTML, 'h', '.html')} select path, count_if(line like '<button aria%') as n from lines group by path")
+@query(f"with {source_sql(MARKUP)}, {SAYS_SQL} select path, count_if(\"check\" = 'hidden' and state = 'hit')::bigint as n from lines left join says using (suffix, k) group by path")
 def hidden_controls(spark, sf_dir):
-    return texts(pooled(spark, sf_dir, HTML, "h", ".html")).select("path", F.size(domain.hidden_focusable(F.col("text"))).cast("bigint").alias("n"))
+    hits = markup_checks(spark, sf_dir).where("check = 'hidden' and state = 'hit'").groupBy("path").agg(F.count("*").alias("m"))
+    paths = source_lines(spark, sf_dir, MARKUP).select("path").distinct()
+    return paths.join(hits, "path", "left").select("path", F.coalesce("m", F.lit(0)).alias("n"))
 
 
 # ---- roles, registry, gates, changes --------------------------------------------------------------

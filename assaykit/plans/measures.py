@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
 from assaykit.functions.storage import checkpoints
-from assaykit.operators import change, code, delivery, diff, domain, facts, graph, joins, lexer, rating
+from assaykit.operators import change, code, delivery, diff, domain, facts, graph, joins, lexer, markup, rating
 from assaykit.operators.metrics import LOCAL, WHOLE_SET
 from assaykit.sources import patterns as P
 from assaykit.sources import registry
@@ -386,19 +386,17 @@ def ledger_tables(files: DataFrame) -> DataFrame:
 
 
 def accessibility(spark, x: Inputs, files: DataFrame) -> Found:
-    pages = files.where(T.suffix(F.col("path")).isin(".html", ".htm", ".jsx", ".tsx", ".vue"))
-    images = _row(pages.select("path", facts.images_without_alt(F.col("text")).alias("n")).where("n is not null"), bare=F.sum("n"))
-    out = _told(images, "no_element", images_without_alt_observed=images["bare"])
-    states = {r.state: r.n for r in domain.controls(pages, "path", "text").groupBy("state").agg(F.sum("n").alias("n")).collect()}
-    known = {"examined": states.get("fine", 0) + states.get("hit", 0)}
-    out |= _told(known, "no_element", form_controls_without_label_observed=states.get("hit", 0))
-    p = _row(pages, hidden=F.sum(F.size(domain.hidden_focusable(F.col("text")))))
-    out |= _told(p, "no_page", aria_hidden_focusable_observed=p["hidden"])
-    entry = pages.where(F.col("text").rlike(r"(?i)<html\b"))
-    e = _row(entry, bad=F.count_if(facts.viewport_state(F.col("text")) != "fine"))
-    out |= _told(e, "no_page", viewport_missing_or_zoom_disabled_observed=e["bad"])
-    declared = files.where(T.base_name(F.col("path")).rlike(r"^\.?browserslist(?:rc)?$") | ((T.base_name(F.col("path")) == "package.json") & F.col("text").rlike(r'"browserslist"\s*:')))
-    return out | _told(p, "no_page", browser_support_declaration_missing=int(declared.isEmpty()))
+    """Counts of hits; what can't be told is neither a hit nor examined."""
+    pages = markup.markup_files(files)
+    told = markup.checks(pages).groupBy("check").agg(F.count_if(F.col("state") == "hit").alias("hits"), F.count_if(F.col("state") != "unknown").alias("examined"), F.min("path").alias("low"), F.max("path").alias("high"))
+    by = {r["check"]: r.asDict() for r in told.collect()}
+    out: Found = {}
+    for check, name in (("image", "images_without_alt_observed"), ("control", "form_controls_without_label_observed"), ("hidden", "aria_hidden_focusable_observed")):
+        row = by.get(check, {"examined": 0, "hits": None})
+        out |= _told(row, "no_element", **{name: row["hits"]})
+    e = _row(markup.viewports(files), bad=F.count_if(F.col("state").isin("missing", "zoom_disabled")))
+    out |= _told(e, "no_entry_document", viewport_missing_or_zoom_disabled_observed=e["bad"])
+    return out | _told(_row(pages), "no_page", browser_support_declaration_missing=int(markup.browser_support(files).isEmpty()))
 
 
 def evidence(spark, x: Inputs, files: DataFrame) -> Found:

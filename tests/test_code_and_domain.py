@@ -81,10 +81,6 @@ def test_documents(spark):
     assert {r.path: r.by for r in domain.decisions(dec).collect()} == {"a": "fields", "b": "entry"}
 
 
-def test_markup(spark):
-    html = '<label for="a">A</label><input id="a"><input type="hidden"><select></select><textarea {...props}></textarea><button aria-hidden="true">x</button><a aria-hidden=true>y</a><!-- <input> -->'
-    df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    assert {r.state: r.n for r in domain.controls(df).collect()} == {"fine": 1, "hit": 1, "unknown": 1}
-    assert df.select(F.size(domain.hidden_focusable(F.col("html"))).alias("n")).first().n == 1
+def test_money(spark):
     money = spark.createDataFrame([("a.ts", 1, "price: number"), ("a.ts", 2, "count: number"), ("a.py", 3, "amount: Optional[float]")], "path string, line_no int, line string")
     assert sorted(r.name for r in domain.float_money(money).collect()) == ["amount", "price"]
