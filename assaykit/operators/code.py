@@ -107,20 +107,51 @@ def sink_hits(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line_no", F.explode(F.array_distinct(F.array_compact(F.array(*marks)))).alias("cwe"))
 
 
+def _declares(lines: DataFrame) -> Column:
+    """Whether a line declares a test. Names of tests are strings, so the line is read as it is written where
+    ``raw`` has it."""
+    return F.coalesce(by_language(F.col("language"), "test_declarations", F.col("raw" if "raw" in lines.columns else "line")), F.lit(False))
+
+
 def test_segments(lines: DataFrame) -> DataFrame:
-    """(path, start, assertions): each declared test and the assertions before the next one."""
+    """(path, start, assertions): each declared test and the assertions before the next one, in blanked lines
+    (path, language, line_no, line; raw)."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lang = F.col("language")
-    marked = lines.withColumn("start", F.last(F.when(by_language(lang, "test_declarations", F.col("line")), F.col("line_no")), ignorenulls=True).over(w))
-    return marked.where("start is not null").groupBy("path", "start").agg(F.sum(count_by_language(lang, "assertions", F.col("line"))).alias("assertions"))
+    marked = lines.withColumn("start", F.last(F.when(_declares(lines), F.col("line_no")), ignorenulls=True).over(w))
+    return marked.where("start is not null").groupBy("path", "start").agg(F.sum(count_by_language(F.col("language"), "assertions", F.col("line"))).alias("assertions"))
+
+
+def skip_markers(lines: DataFrame) -> DataFrame:
+    """(path, line_no, markers, own): lines with markers that skip a test. own: the line stands for a test of
+    its own, as nothing binds it to a declared one. It is bound on a declaration's line; above the next one,
+    if it starts with a sign and all lines between start with the same; and in a test's body, deeper indented
+    than the last declaration above."""
+    rows = lines if "raw" in lines.columns else lines.withColumn("raw", F.col("line"))
+    order = Window.partitionBy("path").orderBy("line_no")
+    above, below = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    here = _declares(rows)
+    bare = F.regexp_replace("raw", r"^\s+", "")
+    sign, indent = F.substring(bare, 1, 1), F.length("raw") - F.length(bare)
+    rows = rows.withColumns({"__here": here, "__sign": sign, "__indent": indent})
+    # lines that follow each other with the same sign are one run
+    rows = rows.withColumn("__run", F.sum((F.col("__sign") != F.lag("__sign", 1, "").over(order)).cast("int")).over(order))
+    before = F.struct(F.coalesce(F.lag("__run").over(order), F.lit(-1)).alias("run"), F.col("line_no").alias("at"))
+    rows = rows.withColumn("__before", F.when(F.col("__here"), before))
+    rows = rows.withColumns({"__next": F.first("__before", ignorenulls=True).over(below), "__above": F.last(F.when(F.col("__here"), F.col("__indent")), ignorenulls=True).over(above)})
+    markers = count_by_language(F.col("language"), "skips", F.col("line"))
+    annotates = F.coalesce(F.col("__sign").rlike(r"^\W$") & (F.col("__sign") != "_") & ((F.col("__next.at") == F.col("line_no") + 1) | (F.col("__next.run") == F.col("__run"))), F.lit(False))
+    inside = F.coalesce(F.col("__indent") > F.col("__above"), F.lit(False))
+    found = rows.select("path", "line_no", markers.alias("markers"), (~F.col("__here") & ~annotates & ~inside).alias("own"))
+    return found.where("markers > 0")
 
 
 def test_strength(lines: DataFrame) -> DataFrame:
-    """assertion_density_per_test, tests_without_assertions_share and skipped_test_share of test lines."""
+    """assertion_density_per_test, tests_without_assertions_share and skipped_test_share of test lines: skipped
+    are markers over tests, those included that a marker stands for."""
     tests = test_segments(lines).agg(F.count("*").alias("n"), F.sum("assertions").alias("a"), F.count_if(F.col("assertions") == 0).alias("bare"))
-    skips = lines.agg(F.count_if(F.coalesce(by_language(F.col("language"), "skips", F.col("line")), F.lit(False))).alias("skips"))
+    skips = skip_markers(lines).agg(F.coalesce(F.sum("markers"), F.lit(0)).alias("skips"), F.coalesce(F.sum(F.when(F.col("own"), F.col("markers"))), F.lit(0)).alias("own"))
     both = tests.crossJoin(skips)  # one row each
-    return both.select(ratio(F.col("a"), F.col("n")).alias("assertion_density_per_test"), ratio(F.col("bare"), F.col("n")).alias("tests_without_assertions_share"), ratio(F.col("skips"), F.col("n")).alias("skipped_test_share"))
+    return both.select(ratio(F.col("a"), F.col("n")).alias("assertion_density_per_test"), ratio(F.col("bare"), F.col("n")).alias("tests_without_assertions_share"), ratio(F.col("skips"), F.col("n") + F.col("own")).alias("skipped_test_share"), "n", "a", "bare", "skips", "own")
 
 
 def cookie_statements(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, markup, packs, rating, redaction
+from assaykit.operators import change, code, delivery, diff, domain, excerpts, facts, gates, joins, layers, lexer, markup, packs, rating, redaction, settings
 from assaykit.plans import measures
 from assaykit.plans.catalog import query, table
 from assaykit.sources import registry
@@ -481,6 +481,61 @@ def cited_lines(spark, sf_dir):
     return packs.cited_lines(asked, spans).groupBy("unit", "path", "line").agg(F.count("*").alias("citations"), F.first("ref").alias("ref"))
 
 
+# ---- tests that are skipped -----------------------------------------------------------------------
+
+#: Lines of tests, of what skips them, and of what stands between.
+TESTS = {
+    "py": ("def test_@(a):", "async def test_@(a):", "@pytest.mark.skip(reason='@')", "pytest.skip('@')", "self.skipTest('@')", "@fixture(@)", "x = @", "assert @", "", "@unittest.skip", "class Test@:", "# @pytest.mark.skip"),
+    "java": ("@Test", "@Test void @() {}", "@Disabled", '@Ignore("@")', "@Tag(@)", "void n@() {", "int x = @;", "}", "", "@Disabled @Test void @() {}", "// @Ignore", "assertTrue(@);"),
+    "ts": ("it('@', () => {", 'test("@", f)', "it.skip('@', f)", "xit('@')", "describe.skip('@')", "x = @", "})", "", "[1].each(f)", "  test.skip(`@`)", "expect(@)", "// xit('@')"),
+}
+TESTS_SQL = r"""
+tests(suffix, decl, skip, comment) as (values
+  ('py', '\bdef\s+test\w*\s*\(', '@pytest\.mark\.skip\b|\bpytest\.skip\s*\(|@unittest\.skip\b|\bself\.skipTest\s*\(', '#'),
+  ('java', '@Test\b', '@Disabled\b|@Ignore\b', '//'),
+  ('ts', '\b(it|test)\s*\(\s*["''`]', '\b(it|test|describe)\.skip\s*\(|\b(xit|xtest|xdescribe)\s*\(', '//')
+)"""
+
+
+@query(f"""
+with {source_sql(TESTS)}, {TESTS_SQL},
+l as (select *, ltrim(line, ' ' || chr(9)) as bare, length(line) - length(ltrim(line, ' ' || chr(9))) as indent, regexp_matches(line, decl) as declared, case when starts_with(ltrim(line, ' ' || chr(9)), comment) then 0 else len(regexp_extract_all(line, skip)) end as markers from lines join tests using (suffix)),
+m as (select path, line_no, indent, bare, declared, markers from l where markers > 0),
+near as (select m.path, m.line_no, min(l.line_no) filter (l.line_no > m.line_no) as next, max(l.line_no) filter (l.line_no < m.line_no) as above from m left join l on l.path = m.path and l.declared group by m.path, m.line_no),
+other as (select m.path, m.line_no, count(*) as n from m join near using (path, line_no) join l on l.path = m.path and l.line_no > m.line_no and l.line_no < near.next where l.bare[1:1] <> m.bare[1:1] group by m.path, m.line_no)
+select m.path, m.line_no::int as line_no, m.markers::int as markers,
+  not (m.declared or (near.next is not null and not regexp_matches(m.bare[1:1], '[A-Za-z0-9_]') and coalesce(other.n, 0) = 0) or coalesce(m.indent > a.indent, false)) as own
+from m join near using (path, line_no) left join other using (path, line_no) left join l a on a.path = m.path and a.line_no = near.above
+""")
+def skip_markers(spark, sf_dir):
+    files = lexer.with_code(texts(source_lines(spark, sf_dir, TESTS)))
+    return code.skip_markers(measures.both_lines(files.withColumn("kind", F.lit("test"))))
+
+
+# ---- settings -------------------------------------------------------------------------------------
+
+
+@query("""
+with recursive n as (select c_custkey as k, case when c_custkey % 11 = 0 then 'strict' when c_custkey % 13 = 0 then 'off' else 'unset' end as own from customer),
+e as (select k, 0 as place, k // 3 as parent from n where k > 2 union all select k, 1, k // 5 - 1 from n where k % 2 = 0),
+w(k, here, own, way) as (
+  select k, k, own, '' from n
+  union all
+  select w.k, e.parent, coalesce(n.own, 'unseen'), w.way || e.place from w join e on e.k = w.here left join n on n.k = e.parent where w.own = 'unset'
+)
+select k::varchar as key, coalesce(min_by(own, way) filter (own <> 'unset'), 'unset') as state from w group by k
+""")
+def inherited_settings(spark, sf_dir):
+    """Customers as nodes; the first parent is a third of a key, the second, of even keys, one less than a
+    fifth: some are no customer."""
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("k"), F.when(k % 11 == 0, "strict").when(k % 13 == 0, "off").otherwise("unset").alias("state"))
+    first = nodes.where("k > 2").select("k", F.lit(0).alias("place"), F.floor(F.col("k") / 3).alias("parent"))
+    second = nodes.where("k % 2 = 0").select("k", F.lit(1).alias("place"), (F.floor(F.col("k") / 5) - 1).alias("parent"))
+    text = lambda c: F.col(c).cast("string")
+    return settings.inherited(nodes.select(text("k").alias("key"), "state"), first.unionAll(second).select(text("k").alias("key"), "place", text("parent").alias("parent")))
+
+
 # ---- texts ----------------------------------------------------------------------------------------
 
 KEY = "xQzRtWvB9k2LmN4pYs7Tf3Gh6Jd8Cw1Ae5Ub0Xo"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
 from assaykit.functions.storage import checkpoints
-from assaykit.operators import change, code, delivery, diff, domain, facts, graph, joins, lexer, markup, rating
+from assaykit.operators import change, code, delivery, diff, domain, facts, graph, joins, lexer, markup, rating, settings
 from assaykit.operators.metrics import LOCAL, WHOLE_SET
 from assaykit.sources import patterns as P
 from assaykit.sources import registry
@@ -125,13 +125,21 @@ def shape(spark, x: Inputs, files: DataFrame) -> Found:
     return out | _told(e, "no_language_with_tokens", type_escapes_per_kloc=(e["hits"] or 0) * 1000 / (e["examined"] or 1))
 
 
+def both_lines(files: DataFrame) -> DataFrame:
+    """Lines blanked (line) and as written (raw)."""
+    pairs = F.arrays_zip(F.split("code", "\n", -1).alias("line"), F.split("text", "\n", -1).alias("raw"))
+    rows = files.where("code is not null").select("path", "language", "kind", F.posexplode(pairs).alias("line_no", "both"))
+    return rows.select("path", "language", "kind", (F.col("line_no") + 1).alias("line_no"), "both.line", "both.raw")
+
+
 def tests(spark, x: Inputs, files: DataFrame) -> Found:
-    lines = _lines(files.where("kind = 'test'"))
+    lines = both_lines(files.where("kind = 'test'"))
     known = lines.where(code.knows(F.col("language"), "test_declarations"))
-    a = _row(known, hits=F.sum(code.count_by_language(F.col("language"), "assertions", F.col("line"))), skips=F.count_if(F.coalesce(code.by_language(F.col("language"), "skips", F.col("line")), F.lit(False))))
-    s = code.test_segments(known).agg(F.count("*").alias("n"), F.sum("assertions").alias("a"), F.count_if(F.col("assertions") == 0).alias("bare")).first()
+    a = _row(known, hits=F.sum(code.count_by_language(F.col("language"), "assertions", F.col("line"))))
+    s = code.test_strength(known).first()
     out = _told(a, "no_test_file", assertions_observed=a["hits"])
-    out |= _told({**a, "examined": s["n"]}, "no_test", assertion_density_per_test=(s["a"] or 0) / (s["n"] or 1), tests_without_assertions_share=s["bare"] / (s["n"] or 1), skipped_test_share=(a["skips"] or 0) / (s["n"] or 1))
+    out |= _told({**a, "examined": s["n"]}, "no_test", assertion_density_per_test=(s["a"] or 0) / (s["n"] or 1), tests_without_assertions_share=s["bare"] / (s["n"] or 1))
+    out |= _told({**a, "examined": s["n"] + s["own"]}, "no_test", skipped_test_share=s["skips"] / ((s["n"] + s["own"]) or 1))
     calls = lines.where(code.knows(F.col("language"), "network_calls") & ~F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*map(F.lit, P.NOT_UNIT_DIRS))))
     n = _row(calls)
     out |= _told(n, "no_unit_test", network_calls_in_unit_tests_observed=code.test_network_calls(lines).count())
@@ -341,19 +349,12 @@ def requirements(spark, x: Inputs, files: DataFrame) -> Found:
 
 
 def strictness(spark, x: Inputs, files: DataFrame) -> Found:
-    """Whether every language with a type checker is checked strictly. A configuration that says nothing
-    asks the one that it extends, over at most five."""
-    setting = lambda p: F.regexp_extract("text", p, 1)
-    ts = files.where(T.base_name(F.col("path")).rlike(r"^tsconfig.*\.json$")).select("path", setting(r'"strict"\s*:\s*(true|false)').alias("strict"), setting(r'"extends"\s*:\s*"\.?/?([^"]+)"').alias("base"))
-    for _ in range(5):
-        above = ts.select(F.col("path").alias("above"), F.col("strict").alias("s2"), F.col("base").alias("b2"))
-        want = F.concat_ws("/", F.nullif(T.parent(F.col("path")), F.lit("")), F.when(F.col("base").endswith(".json"), F.col("base")).otherwise(F.concat("base", F.lit(".json"))))
-        ts = ts.withColumn("want", F.when((F.col("strict") == "") & (F.col("base") != ""), want)).join(above, F.col("want") == F.col("above"), "left").select("path", F.when(F.col("strict") != "", F.col("strict")).otherwise(F.coalesce("s2", F.lit(""))).alias("strict"), F.when(F.col("strict") != "", F.lit("")).otherwise(F.coalesce("b2", F.lit(""))).alias("base"))
-    py = files.where(T.base_name(F.col("path")).isin("pyproject.toml", "mypy.ini", "setup.cfg")).select("path", F.when(F.col("text").rlike(r"(?s)\[(?:tool\.)?mypy\][^\[]*strict\s*=\s*[Tt]rue"), "true").otherwise("false").alias("strict"))
-    state = lambda rows: rows.agg(F.max(F.col("strict") == "true")).first()[0]  # noqa: E731  null without a configuration
-    used = {r.language for r in files.where("kind = 'source' and language in ('python', 'js-ts')").select("language").distinct().collect()}
-    states = [bool(state(rows)) for name, rows in (("js-ts", ts.where("strict <> ''")), ("python", py)) if name in used]
-    return _told({"examined": len(states)}, "no_checked_language", strict_type_config_missing=int(not all(states)))
+    """Whether every language with a type checker's configuration is checked strictly; one whose state can't
+    be known is not judged."""
+    states = {r.language: r.state for r in settings.strict_languages(settings.strict_states(files)).collect()}
+    judged = [v for v in states.values() if v != settings.UNSEEN]
+    reason = "no_configuration_seen" if states else "no_configuration"
+    return _told({"examined": len(judged)}, reason, strict_type_config_missing=int(any(v != settings.STRICT for v in judged)))
 
 
 def healthcare(spark, x: Inputs, files: DataFrame) -> Found:

@@ -3,6 +3,7 @@
 import pytest
 
 from assaykit.operators import code, facts, lexer
+from assaykit.plans import measures
 
 FILES = {
     "a.java": "class A {\n    public int f(int a)\n    {\n        if (a > 0 && a < 9) {\n            return 1;\n        }\n        return 0;\n    }\n\n    abstract int g(int a);\n    void h() { for (;;) {} }\n}\n",
@@ -81,3 +82,15 @@ def test_imports_over_lines(spark):
     found = lexer.import_statements(files)
     assert {(r.path, r.line_no) for r in found.collect()} == {("a.ts", 1), ("a.ts", 5), ("b.go", 1)}
     assert {r.name for r in lexer.imported_names(found).collect()} == {"util", "d", "b"}
+
+
+def test_skip_markers(spark):
+    text = "\n".join(
+        ["@pytest.mark.skip", "@other", "def test_a():", "    pytest.skip('x')", "@pytest.mark.skip", "x = 1", "def test_b(): pytest.skip('y')", "@pytest.mark.skip", "", "def test_c():", "    pass", "pytest.skip('z')"]
+    )
+    files = lexer.with_code(spark.createDataFrame([("t/test_a.py", text), ("t/a.test.ts", "it('a', f)\nit.skip('b', f)\n  xit('c', f)\n")], "path string, text string"))
+    lines = measures.both_lines(files.withColumn("kind", facts.F.lit("test")))
+    got = {(r.path, r.line_no): r.own for r in code.skip_markers(lines).collect()}
+    assert got == {("t/test_a.py", 1): False, ("t/test_a.py", 4): False, ("t/test_a.py", 5): True, ("t/test_a.py", 7): False, ("t/test_a.py", 8): True, ("t/test_a.py", 12): True, ("t/a.test.ts", 2): True, ("t/a.test.ts", 3): False}
+    s = code.test_strength(lines).first()
+    assert (s.n, s.skips, s.own) == (4, 8, 4) and s.skipped_test_share == 1.0
