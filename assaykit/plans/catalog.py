@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import code, domain, facts, graph, joins, markup, metrics, ranking, rating, sets
+from assaykit.operators import code, contained, domain, facts, graph, joins, markup, metrics, ranking, rating, sets
 from assaykit.sources.corpus import documents_as_files
 from assaykit.streaming import windows
 
@@ -269,6 +269,21 @@ def page_tags(spark, sf_dir):
     return rows.groupBy("page_id", F.col("t.name").alias("name"), F.col("t.closing").alias("closing")).agg(F.count("*").alias("n"), F.count(href).alias("with_href"), F.coalesce(F.max(href.value), F.lit("")).alias("last_href"))
 
 
+@query("""
+with n as (select doc_id, text, unnest(string_split(text, chr(10))) as line from documents where doc_id % 20 = 0),
+f as (select distinct doc_id, lower(regexp_replace(trim(line, ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as item from n where length(trim(line, ' ')) >= 30),
+t as (select doc_id, lower(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from documents where text is not null)
+select f.doc_id, sha256(item) as item, min(t.doc_id) as first_doc from f left join t on contains(t.text, item) group by f.doc_id, item
+""")
+def lines_found_again(spark, sf_dir):
+    """Lines of 30 characters or more of every twentieth document, looked for in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.where("doc_id % 20 = 0").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    asked = lines.where(F.length(F.trim("line")) >= 30).select("doc_id", contained.flat(F.trim("line")).alias("item")).distinct()
+    found = contained.first_holders(docs.select(F.col("doc_id").alias("key"), contained.flat(F.col("text")).alias("text")), asked.select(F.col("item").alias("name"), F.lit(False).alias("whole")))
+    return asked.join(found.select(F.col("name").alias("item"), F.col("key").alias("first_doc")), "item", "left").select("doc_id", F.sha2("item", 256).alias("item"), "first_doc")
+
+
 @query("""
 with items as (select distinct item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{9,}'))) as key from benchmark),
 words as (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{9,}'))) as key from documents)

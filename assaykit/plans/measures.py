@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
 from assaykit.functions.storage import checkpoints
-from assaykit.operators import change, code, delivery, diff, domain, facts, graph, joins, lexer, markup, rating, settings
+from assaykit.operators import change, code, contained, delivery, diff, domain, facts, graph, joins, lexer, markup, rating, settings
 from assaykit.operators.metrics import LOCAL, WHOLE_SET
 from assaykit.sources import patterns as P
 from assaykit.sources import registry
@@ -335,11 +335,11 @@ def changes(spark, x: Inputs, files: DataFrame) -> Found:
 
 def requirements(spark, x: Inputs, files: DataFrame) -> Found:
     docs = files.where(F.lower("path").rlike(r"\.(?:md|rst|adoc|feature)$"))
-    ids = r"\b(?:FR|NFR|US|AC)-[0-9]\w*|\bREQ-\w+"
-    items = facts.lines_of(docs).select("path", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ids), F.lit(0)))).alias("key")).groupBy("key").agg(F.min("path").alias("path"))
+    written = files.where(F.col("kind").isNotNull()).select("path", "text")
+    traced = contained.traced_items(contained.requirement_items(docs), written)
+    i = _row(traced, hit=F.count("found"))
     tokens = lambda kind: _lines(files.where(F.col("kind") == kind), "text").select(F.explode(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*"), F.lit(0))).alias("key")).distinct()
     source, test = tokens("source").withColumn("s", F.lit(1)), tokens("test").withColumn("t", F.lit(1))
-    i = _row(items.join(source, "key", "left"), hit=F.count("s"))
     out = _told(i, "no_requirement", requirement_items_traced_share=i["hit"] / (i["examined"] or 1))
     rows = domain.criteria(facts.lines_of(docs)).select("path", "line_no", F.explode_outer(F.regexp_extract_all("criterion", F.lit(r"[A-Z]{2,5}-[0-9]+|`([^`]+)`"), F.lit(0))).alias("key")).withColumn("key", F.regexp_replace("key", "`", ""))
     traced = rows.join(source, "key", "left").join(test, "key", "left").groupBy("path", "line_no").agg(F.max("s").alias("s"), F.max("t").alias("t"))
