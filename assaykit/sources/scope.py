@@ -4,6 +4,7 @@ answers are names and one diff, and become rows."""
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from assaykit.operators.facts import lines_of
 
 #: The tree without a file, which a first commit is compared with.
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
-#: Characters of a diff that are kept; beyond, the change is marked as clipped.
+#: Characters of a file's part of a diff from which on it is marked as clipped where it is quoted.
 DIFF_LIMIT = 200_000
 #: Most documents, and the limits of the code index.
 DOCUMENTS, INDEX_FILES, INDEX_BYTES, FILE_BYTES = 200, 5_000, 50 << 20, 1 << 20
@@ -48,7 +49,8 @@ def normal_range(repo: str, ref: str) -> str | None:
 
 
 def changes(spark: SparkSession, repo: str, ref: str) -> tuple[DataFrame, DataFrame]:
-    """(paths, diffs) of a range: (path) and (diff_id, diff, clipped). An unknown range is an error."""
+    """(paths, diffs) of a range: (path) and (diff_id, diff, clipped), a row a file of the diff, whole. An
+    unknown range is an error."""
     span = normal_range(repo, ref)
     if span is None:
         raise ValueError(f"no such range: {ref}")
@@ -56,7 +58,18 @@ def changes(spark: SparkSession, repo: str, ref: str) -> tuple[DataFrame, DataFr
     names = (git(repo, "diff", "--name-only", "-z", "--no-renames", a, b) or "").split("\0")
     diff = git(repo, "diff", "--no-ext-diff", "--no-textconv", "-M", a, b) or ""
     paths = spark.createDataFrame([(n,) for n in names if n], "path string")
-    return paths, spark.createDataFrame([(span, diff[:DIFF_LIMIT], len(diff) > DIFF_LIMIT)], "diff_id string, diff string, clipped boolean")
+    return paths, diff_rows(spark, span, diff)
+
+
+def diff_rows(spark: SparkSession, name: str, diff: str) -> DataFrame:
+    parts = re.split(r"(?m)^(?=diff --git )", diff)
+    return spark.createDataFrame([(name, p, len(p) > DIFF_LIMIT) for p in parts if p], "diff_id string, diff string, clipped boolean")
+
+
+def worktree_changes(spark: SparkSession, repo: str) -> tuple[DataFrame, DataFrame]:
+    """(paths, diffs) of what is not committed: staged and changed files as a diff, untracked ones by path."""
+    paths = worktree(spark, repo).select("path")
+    return paths, diff_rows(spark, "worktree", git(repo, "diff", "--no-ext-diff", "--no-textconv", "-M", "HEAD") or "")
 
 
 def worktree(spark: SparkSession, repo: str) -> DataFrame:
