@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.text import any_token, fingerprint, shannon_bits
+from assaykit.functions.text import any_token, shannon_bits
 
 #: Named detectors in order, with the group that holds the secret.
 DETECTORS = (
@@ -24,51 +24,11 @@ DEBT = r"\b(?:TODO|FIXME|HACK|XXX)\b"
 TICKET = r"[A-Z][A-Z0-9]+-[0-9]+|#[0-9]+|https?://"
 
 
-def secrets_of(text: Column) -> Column:
-    """Array of (detector, value) of the named detectors, in order of the detectors. A value that an
-    earlier detector found is that one's."""
-
-    def named(name: str):
-        return lambda v: F.struct(F.lit(name).alias("detector"), v.alias("value"))
-
-    out = F.array().cast("array<struct<detector:string,value:string>>")
-    for name, p, g in DETECTORS:
-        found = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), named(name))
-        out = F.concat(out, found)
-    order = F.array(*(F.lit(d[0]) for d in DETECTORS))
-    rank = lambda s: F.array_position(order, s.detector)
-    return F.filter(out, lambda s: ~F.exists(out, lambda e: (rank(e) < rank(s)) & (e.value == s.value)))
-
-
 def entropy_tokens(text: Column, pattern: str = HEX_TOKEN, bits: float = HEX_BITS) -> Column:
     """Tokens of a shape whose entropy a character is at least ``bits``."""
     return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: shannon_bits(t) >= bits)
 
 
-def redact(text: Column) -> Column:
-    """The text with every named secret and every random hex token fingerprinted.
-
-    Named detectors win: a token that is part of a named secret is gone before entropy is looked at,
-    as a fingerprint is no hex token. Values are replaced wherever they stand.
-    """
-    put = lambda acc, v: F.replace(acc, v, fingerprint(v))
-    named = F.aggregate(F.array_distinct(F.transform(secrets_of(text), lambda s: s.value)), text, put)
-    return F.aggregate(F.array_distinct(entropy_tokens(named)), named, put)
-
-
-def redaction_hits(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, detector, fingerprint, line): one row per named hit. The value itself never leaves. A value
-    that stands several times has the lines of its places, in order."""
-    hits = files.select(key, text, F.explode(F.array_distinct(secrets_of(F.col(text)))).alias("s"), F.size(secrets_of(F.col(text))).alias("n"))
-    gaps = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("s.value"), F.lit("\\E")), -1)
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    inside = newlines(F.col("s.value"))
-    places = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, g: a + newlines(g)) + (i - 1) * inside + 1)
-    times = F.size(F.filter(secrets_of(F.col(text)), lambda s: s == F.col("s")))
-    rows = hits.withColumn("lines", F.slice(F.when(F.size(gaps) > 1, places).otherwise(F.array(F.lit(1))), F.lit(1), F.greatest(times, F.lit(1))))
-    return rows.select(key, F.col("s.detector").alias("detector"), fingerprint(F.col("s.value")).alias("fingerprint"), F.explode("lines").alias("line"))
-
-
 def issue_references(text: Column) -> Column:
     """Distinct references, sorted; names that only look like one are dropped."""
     found = F.regexp_extract_all(text, F.lit(any_token(ISSUE_TOKENS).replace("\\b\\#", "#")), F.lit(0))

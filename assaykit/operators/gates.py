@@ -63,6 +63,9 @@ def decided_pairs(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def documentation(rules: DataFrame, files: DataFrame) -> DataFrame:
     """(dimension, rule, state): present or missing, never a number. rules: dimension, rule, glob regex
-    as ``pattern``; a rule has few patterns, which are broadcast."""
-    hits = files.select("path").join(F.broadcast(rules), F.expr("path rlike pattern")).select("dimension", "rule").distinct().withColumn("there", F.lit(True))
+    as ``pattern``. Every pattern is a column of one projection over the files, which is reduced before it is
+    dealt, so neither the rules are broadcast nor files and rules multiplied; rules are read to the driver."""
+    said = rules.select("dimension", "rule", "pattern").distinct().collect()
+    hits = files.select(F.explode(F.array_compact(F.array(*(F.when(F.col("path").rlike(r.pattern), F.struct(F.lit(r.dimension).alias("dimension"), F.lit(r.rule).alias("rule"))) for r in said)))).alias("x")).select("x.*").distinct() if said else rules.select("dimension", "rule").limit(0)
+    hits = hits.withColumn("there", F.lit(True))
     return rules.select("dimension", "rule").distinct().join(hits, ["dimension", "rule"], "left").select("dimension", "rule", F.when(F.col("there"), "present").otherwise("missing").alias("state"))

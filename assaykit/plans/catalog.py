@@ -258,12 +258,13 @@ def images_without_alt(spark, sf_dir):
 
 
 @query(r"""
-with p as (select page_id, regexp_replace(html, '<!--[\s\S]*?-->', '', 'g') as t from pages),
+with p as (select page_id, regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '([\p{L}\p{N}_$)\]])<([A-Za-z])', '\1 \2', 'g') as t from pages),
 x as (select page_id, unnest(regexp_extract_all(t, '</?[A-Za-z][A-Za-z0-9_.:-]*(?:\s[^<>]*)?>')) as tag from p)
 select page_id, regexp_extract(tag, '^</?([A-Za-z0-9_.:-]+)', 1) as name, starts_with(tag, '</') as closing, count(*) as n, count_if(regexp_matches(tag, '\shref='))::bigint as with_href,
   coalesce(max(regexp_extract(tag, 'href="([^"]*)"', 1)) filter (tag like '% href=%'), '') as last_href from x group by all
 """)
 def page_tags(spark, sf_dir):
+    """Tags of all pages; an opening one right after a letter, digit or closing bracket is a comparison."""
     rows = markup.with_tags(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.explode("tags").alias("t"))
     href = F.col("t.attributes")["href"]
     return rows.groupBy("page_id", F.col("t.name").alias("name"), F.col("t.closing").alias("closing")).agg(F.count("*").alias("n"), F.count(href).alias("with_href"), F.coalesce(F.max(href.value), F.lit("")).alias("last_href"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
 from assaykit.functions.storage import checkpoints
-from assaykit.operators import change, code, contained, delivery, diff, domain, facts, graph, joins, lexer, markup, rating, settings
+from assaykit.operators import change, code, contained, delivery, diff, domain, facts, graph, joins, lexer, markup, rating, redaction, settings
 from assaykit.operators.metrics import LOCAL, WHOLE_SET
 from assaykit.sources import patterns as P
 from assaykit.sources import registry
@@ -162,7 +162,7 @@ def test_pairs(files: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def security(spark, x: Inputs, files: DataFrame) -> Found:
-    hits = facts.redaction_hits(files).groupBy("path").agg(F.count("*").alias("n"))
+    hits = redaction.scan(files).groupBy("path").agg(F.count("*").alias("n"))
     r = _row(files.join(hits, "path", "left"), hits=F.sum("n"), flagged=F.count("n"))
     out = _told(r, "no_file", redaction_hits_observed=r["hits"] or 0, redacted_file_share=r["flagged"] / (r["examined"] or 1))
     kept = files.where("kind = 'source'")
@@ -243,7 +243,7 @@ def operations(spark, x: Inputs, files: DataFrame) -> Found:
     agents = _of_role(files, "agent-config")
     guarded = F.col("path").rlike(delivery.GUARDRAIL_PATH) | F.col("text").rlike(delivery.GUARDRAILS)
     a = _row(agents, guarded=F.count_if(guarded))
-    return out | _told(a, "no_agent_config", agent_guardrails_missing=int(not a["guarded"]), agent_config_secrets_observed=facts.redaction_hits(agents).count())
+    return out | _told(a, "no_agent_config", agent_guardrails_missing=int(not a["guarded"]), agent_config_secrets_observed=redaction.scan(agents).count())
 
 
 def infrastructure(spark, x: Inputs, files: DataFrame) -> Found:

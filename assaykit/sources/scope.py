@@ -154,13 +154,18 @@ def code_index(files: DataFrame, order: list) -> DataFrame:
 
 
 class IndexCache:
-    """One checkpointed index for each distinct set of files, told by a digest of their paths and sizes."""
+    """The checkpointed index of the last sets of files, told apart by paths, sizes and, where there are any,
+    texts; the oldest goes first."""
 
-    def __init__(self):
+    def __init__(self, most: int = 4):
         self.held: dict[tuple, DataFrame] = {}
+        self.most = most
 
     def of(self, files: DataFrame, order: list) -> DataFrame:
-        row = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "size")), F.sum("size")).first()
-        if tuple(row) not in self.held:
-            self.held[tuple(row)] = code_index(files, order).checkpoint()
-        return self.held[tuple(row)]
+        digest = F.xxhash64(*(c for c in ("path", "size", "text") if c in files.columns))
+        row = tuple(files.agg(F.count("*"), F.bit_xor(digest), F.sum(digest.cast("decimal(38,0)"))).first())
+        if row not in self.held:
+            self.held[row] = code_index(files, order).checkpoint()
+            while len(self.held) > self.most:
+                del self.held[next(iter(self.held))]
+        return self.held[row]

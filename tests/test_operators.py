@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import diff, facts, graph, joins, lexer, metrics, ranking, rating, sets
+from assaykit.operators import diff, graph, joins, lexer, metrics, ranking, rating, redaction, sets
 from assaykit.plans import score as plan
 from assaykit.sources import corpus
 from assaykit.streaming import windows
@@ -114,10 +114,10 @@ def test_redaction(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     text = f"id {key}\npassword = hunter22\nprose about the secret: masked words\n" + "0123456789abcdef" * 3
     df = spark.createDataFrame([("p", text)], "path string, text string")
-    out = df.select(facts.redact(F.col("text")).alias("t")).first().t
+    out = redaction.redact(df).first().text
     assert key not in out and "hunter22" not in out and "0123456789abcdef0" not in out and "masked words" in out
-    hits = {(r.detector, r.line) for r in facts.redaction_hits(df).collect()}
-    assert hits == {("aws_access_key_id", 1), ("credential_assignment", 2)}
+    hits = {(r.detector, r.line) for r in redaction.scan(df).collect()}
+    assert hits == {("aws_access_key_id", 1), ("credential_assignment", 2), ("high_entropy_hex", 4)}
 
 
 def test_correspondence_within_projects(spark):
