@@ -43,6 +43,11 @@ def kind_rules(changed: DataFrame, in_change: DataFrame, in_corpus: DataFrame) -
     )
 
 
+def enough_history(commit_files: DataFrame, least: int = LEAST_COMMITS) -> bool:
+    """Whether there are commits enough to rank files by."""
+    return commit_files.select("sha").distinct().limit(least).count() >= least
+
+
 def hotspots(commit_files: DataFrame) -> DataFrame:
     """(path, commits): the first tenth of files by commits, then path. commit_files: sha, path."""
     churn = commit_files.distinct().groupBy("path").agg(F.count("*").alias("commits"))

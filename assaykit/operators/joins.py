@@ -89,3 +89,8 @@ def resolve_roles(files: DataFrame, roles: dict[str, list[str]], cap: int = 50,
     slashes = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
     w = Window.partitionBy("role").orderBy(slashes, "path")
     return found.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= cap).select("role", "path")
+
+
+def roles_of(path: Column, roles: dict[str, tuple[str, ...]]) -> Column:
+    """The roles whose globs fit a path, in the order of ``roles``."""
+    return F.array_compact(F.array(*(F.when(path.rlike("|".join(map(T.glob_regex, globs))), F.lit(role)) for role, globs in roles.items())))

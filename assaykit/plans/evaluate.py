@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as T
-from assaykit.operators import code, delivery, excerpts, facts, lexer, markup, packs
+from assaykit.operators import code, delivery, excerpts, facts, joins, lexer, markup, packs
 from assaykit.plans import dimensions, measures
 from assaykit.plans import score as plan
 from assaykit.sources import corpus, scope, tree
@@ -80,8 +80,7 @@ def collected(prepared: DataFrame, names: list[str], roles: dict[str, tuple[str,
     sought = [(u, r, i) for u in names for i, r in enumerate(SOUGHT.get(u, ()))]
     wanted = prepared.sparkSession.createDataFrame(sought, "unit string, role string, place int")
     text = prepared.where("text is not null").select("path", "text")
-    marks = F.array(*(F.when(F.col("path").rlike("|".join(map(T.glob_regex, g))), F.lit(r)) for r, g in roles.items()))
-    filled = text.select("path", F.explode(F.array_compact(marks)).alias("role"))
+    filled = text.select("path", F.explode(joins.roles_of(F.col("path"), roles)).alias("role"))
     filled = excerpts.in_scope(filled, narrow, CONTEXT)
     quoted = filled.join(wanted, "role").join(text, "path").withColumn("text", excerpts.clip(F.col("text")))
     n = lambda c: F.size(F.split(c, "\n", -1))

@@ -3,6 +3,8 @@ file, the same way in Spark and in SQL."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -700,14 +702,22 @@ PLACES = {
 }
 
 
+#: Places that fill their role in any directory; the others do at the root only.
+ANYWHERE = tuple(p for p, r in PLACES.items() if any(re.match(T.glob_regex(g), f"any/{p}") for g in ROLES.get(r, ())))
+
+
 @query(f"""
-with f as (select name as path, name from (values {", ".join(f"('{p}')" for p in PLACES)}) v(name)),
-r(name, role) as (values {", ".join(f"('{p}', '{r}')" for p, r in PLACES.items() if r)})
-select role, path from f join r using (name)
+with p(k, name, role, anywhere) as (values {", ".join(f"({k}, '{p}', '{r or ''}', {p in ANYWHERE})" for k, (p, r) in enumerate(PLACES.items()))})
+select case when anywhere then 'c' || c_custkey || '/' else '' end || name as path, case when role <> '' then role end as role, count(*) as n
+from customer join p on k = c_custkey % {len(PLACES)} group by all
 """)
 def every_role(spark, sf_dir):
-    files = spark.createDataFrame([(p,) for p in PLACES], "path string")
-    return joins.resolve_roles(files, {k: list(v) for k, v in ROLES.items()})
+    """A file for each customer, at one of the places that roles have."""
+    k = F.col("c_custkey") % len(PLACES)
+    name = F.element_at(F.array(*map(F.lit, PLACES)), (k + 1).cast("int"))
+    path = F.when(name.isin(*ANYWHERE), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("/"), name)).otherwise(name)
+    files = table(spark, sf_dir, "customer").select(path.alias("path"), name.alias("name"))
+    return files.select("path", F.explode_outer(joins.roles_of(F.col("path"), ROLES)).alias("role")).groupBy("path", "role").agg(F.count("*").alias("n"))
 
 
 @query("select p_brand as language, p_type as field, case when p_size < 10 then 'empty' when p_size > 45 then 'unknown' else 'fine' end as state from part")

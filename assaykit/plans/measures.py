@@ -289,6 +289,8 @@ def structure(spark, x: Inputs, files: DataFrame) -> Found:
     out |= _told(h, "no_high_reach_file", high_reach_files_without_test_share=h["bare"] / (h["examined"] or 1))
     if x.commit_files is None:
         return out | _told({"examined": 0}, "no_history", high_reach_churn_hotspot_share=None)
+    if not change.enough_history(x.commit_files):
+        return out | _told({"examined": 0}, "too_few_commits", high_reach_churn_hotspot_share=None)
     hot = change.hotspot_share(high, change.hotspots(x.commit_files)).first()
     return out | _told({**h, "examined": hot["n"]}, "no_high_reach_file", high_reach_churn_hotspot_share=hot["share"])
 
@@ -327,7 +329,9 @@ def changes(spark, x: Inputs, files: DataFrame) -> Found:
     out |= _told(moved, "no_changed_migration", destructive_migration_ops=code.destructive_ops(added).count())
     fan = _row(joins.fan_in(file_edges(files)).withColumnRenamed("dst", "path").join(changed.select("path"), "path", "left_semi"), most=F.max("fan_in"))
     out |= _told(n, "no_change", max_fan_in_changed=fan["most"] or 0)
-    if x.commit_files is not None:
+    if x.commit_files is not None and not change.enough_history(x.commit_files):
+        out |= _told({"examined": 0}, "too_few_commits", changed_files_in_churn_hotspots_share=None)
+    elif x.commit_files is not None:
         hot = change.hotspot_share(changed, change.hotspots(x.commit_files)).first()
         out |= _told({**n, "examined": hot["n"]}, "no_change", changed_files_in_churn_hotspots_share=hot["share"])
     return out

@@ -69,6 +69,8 @@ def test_change(spark, repo):
     found = evaluate.evaluate(spark, repo, "changes", "HEAD", names=["security", "code-quality", "blast-radius", "change-risk", "requirement-fidelity"])
     got = {r.metric: r.value for r in found.score.metrics.collect()}
     assert got["public_symbols_removed"] == 1 and got["sink_hits_observed"] == 1
+    why = {r.metric: r.abstain_reason for r in found.score.metrics.collect()}
+    assert why["changed_files_in_churn_hotspots_share"] == why["high_reach_churn_hotspot_share"] == "too_few_commits"
     assert got["excerpts_observed"] >= 2 and got["evidence_lines_observed"] >= 6
     assert {r.path for r in found.narrow.collect()} == {"src/app/main.py"}
     quoted = {(r.unit, r.path, r.start, r.stop) for r in found.packs.excerpts.collect()}
