@@ -1,12 +1,15 @@
 """Near copies by word shingles: one row of each group of texts that share most of their shingles.
 
 A text is the set of its shingles of ``SHINGLE`` words. Two texts are linked if the Jaccard
-similarity of their sets is at least ``SIMILARITY``; a group is what links connect. Candidates come
-from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which two linked texts share none with a
-probability of under 1e-6. The texts of one key are a bucket.
+similarity of their sets is at least ``SIMILARITY``; a group is what links connect. The first candidates
+are op8's: SimHash fingerprints of the sets within its budget, found by its tries' self-join. Linked
+texts may differ in more bits than any trie can search, so further ones come from MinHash: ``BANDS`` keys
+of ``ROWS`` minima each, of which two linked texts share none with a probability of under 1e-6. The texts
+of one key are a bucket.
 
 No pairs within a bucket are emitted and no bucket goes into one task. First each text is compared with
-the likeliest of the first texts of its buckets. Then, in rounds, the texts of a bucket that have the most
+those that stand for its fingerprint and for its tries' components, and with the likeliest of the first
+texts of its buckets. Then, in rounds, the texts of a bucket that have the most
 links and led no round yet, ``LEADERS`` of them, are compared with those of its texts that are in other
 groups than they, in buckets of more than ``SMALL`` texts only in groups no larger than their own. A bucket
 of at most ``SMALL`` texts is done when all its texts that led no round are in one group, so that any two
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
 from assaykit.llm.common import discard, scratch, spare, tidy
-from assaykit.llm.simhash import components
+from assaykit.llm.simhash import components, folded, link_stars
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,8 +73,8 @@ def similar(a, b, similarity: float = SIMILARITY) -> bool:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(row, s1, s2, keys, marks): 128 bits of each text's set of shingles, the keys of its bands, and a
-    byte of each minimum."""
+    """(row, s1, s2, fp, keys, marks): 128 bits of each text's set of shingles, its SimHash, the keys of its
+    bands, and a byte of each minimum."""
 
     def run(batches):
         import numpy as np
@@ -84,10 +87,10 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
         a, b = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
         a |= np.uint64(1)
         for batch in batches:
-            names, keys, marks = np.zeros((batch.num_rows, 2), np.uint64), [], []
+            names, keys, marks = np.zeros((batch.num_rows, 3), np.uint64), [], []
             for i, raw in enumerate(binary_column(batch, "text")):
                 held = shingles(raw.as_py(), shingle)
-                names[i] = [xxh64_intdigest(held.tobytes(), seed) for seed in (1, 2)]
+                names[i] = [*(xxh64_intdigest(held.tobytes(), seed) for seed in (1, 2)), folded(held) if len(held) else 0]
                 if not len(held):
                     keys.append([])
                     marks.append(b"")
@@ -97,9 +100,9 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                     low = np.minimum(low, (held[at : at + 1024, None] * a + b).min(0))
                 marks.append((low >> np.uint64(17)).astype(np.uint8).tobytes())
                 keys.append(np.fromiter((xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in names.T.copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["row", "s1", "s2", "keys", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in names.T.copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["row", "s1", "s2", "fp", "keys", "marks"])
 
-    return map_batches(rows, run, "row bigint, s1 bigint, s2 bigint, keys array<bigint>, marks binary")
+    return map_batches(rows, run, "row bigint, s1 bigint, s2 bigint, fp bigint, keys array<bigint>, marks binary")
 
 
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -151,8 +154,18 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return map_batches(dealt, run, "a bigint, b bigint")
 
 
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """(a, b): each row of ``sets`` (row, fp) with the one that stands for its fingerprint, and those with the
+    ones that stand for the components of op8's tries that they are in."""
+    fps = scratch(sets.groupBy("fp").agg(F.min("row").alias("row")), "fps")
+    same = sets.select("row", "fp").join(fps.select("fp", F.col("row").alias("b")), "fp").select(F.col("row").alias("a"), "b")
+    stars = scratch(link_stars(fps.select("fp"), fps.count()).distinct(), "stars")
+    near = stars.join(fps.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
+    return same.unionAll(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).where("a <> b").distinct()
+
+
 def groups(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the rows of ``sets`` (row, keys, marks) in groups of two or more, with the group's
+    """(node, root): the rows of ``sets`` (row, fp, keys, marks) in groups of two or more, with the group's
     least."""
     keys = sets.select("row", F.posexplode("keys").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
     keys = scratch(keys, "bands")
@@ -162,9 +175,10 @@ def groups(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity
     members = scratch(keys.join(firsts, "bucket").select("bucket", "row", "first"), "buckets")
     discard(keys, firsts)
     tidy(members.sparkSession)
-    marks = scratch(sets.select("row", "marks").join(members.select("row").distinct(), "row", "left_semi"), "marks")
+    marks = scratch(sets.select("row", "marks").where(F.length("marks") > 0), "marks")
     pairs = members.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
     pairs = _likely(pairs, marks).groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
+    pairs = pairs.unionAll(_likely(_by_fingerprint(sets), marks).select("a", "b")).distinct()
     links = scratch(_checked(scratch(pairs, "pairs"), texts, shingle, similarity), "links")
     held, led, before, old = members, None, None, []
     while True:

@@ -27,6 +27,16 @@ LEAF = 64
 CHUNK = 1 << 17
 
 
+def folded(h) -> int:
+    """The SimHash of shingles' hashes, uint64: a bit is set if it is in over half of them."""
+    import numpy as np
+
+    by_byte = h.view(np.uint8).reshape(-1, 8)
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+    count = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ bits for k in range(8)])
+    return np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp BIGINT): the 64-bit SimHash of each whole text.
 
@@ -42,7 +52,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
         from assaykit.llm.common import binary_column
 
-        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
             for i, raw in enumerate(binary_column(batch, "text")):
@@ -58,9 +67,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 starts = np.concatenate(([0], ends[:-1])).tolist()
                 stops = (ends - 1).tolist()[shingle - 1 :]
                 h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(stops))
-                by_byte = h.view(np.uint8).reshape(-1, 8)
-                count = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ bits for k in range(8)])
-                out[i] = np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0]
+                out[i] = folded(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp bigint")

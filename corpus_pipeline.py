@@ -37,8 +37,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id, then hash of the text. Near
-    copies share 0.8 of their 5-word shingles (Jaccard), by exact check; op8's fingerprints bind op8
-    alone. Rows are told apart by themselves, not by doc_id: a row without an id stays if it is no copy
+    copies share 0.8 of their 5-word shingles (Jaccard), by exact check of what SimHash links by op8's tries and of
+    MinHash's candidates beyond its budget. Rows are told apart by themselves, not by doc_id: a row without an id stays if it is no copy
     (null comes last), of equal rows one stays, and different texts of one id both stay. Texts without a
     word are copies of each other."""
     return near_copies.keep_one(docs)
