@@ -31,6 +31,8 @@ LEAST_SPREAD = 4.0
 SCORE_SYMBOLS = 12
 UNKNOWN = "und"
 EDGE = 1
+#: Bytes of texts whose symbols are held at a time; a longer text is held alone. Each symbol takes some 150 bytes.
+PIECE_BYTES = 256 << 10
 
 
 def fold(doc_id: str):
@@ -65,6 +67,15 @@ def _symbols(raws: list[bytes]):
     return out[keep], doc[keep], np.bincount(doc[is_letter], minlength=len(texts))
 
 
+def _piece(raws: list[bytes], start: int) -> int:
+    """Where a piece of PIECE_BYTES that begins at ``start`` ends."""
+    stop, size = start, 0
+    while stop < len(raws) and (stop == start or size + len(raws[stop]) < PIECE_BYTES):
+        size += len(raws[stop])
+        stop += 1
+    return stop
+
+
 def _ngrams(symbols):
     """n-gram that ends at each symbol, 16 bits a symbol; 0 at edges."""
     import numpy as np
@@ -189,11 +200,8 @@ class Model:
         n, n_langs = len(raws), len(self.langs)
         bits, count, letters = np.zeros((n, n_langs)), np.zeros(n, np.int64), np.zeros(n, np.int64)
         start = 0
-        while start < n:  # about a million bytes at once
-            stop, size = start, 0
-            while stop < n and (stop == start or size + len(raws[stop]) < 1 << 20):
-                size += len(raws[stop])
-                stop += 1
+        while start < n:
+            stop = _piece(raws, start)
             symbols, doc, letters[start:stop] = _symbols(raws[start:stop])
             grams = _ngrams(symbols)
             real = grams != 0
@@ -244,10 +252,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", part=N
                 own = [t for t, x in zip(texts, names) if x == name]
                 start = 0
                 while start < len(own):
-                    stop, size = start, 0
-                    while stop < len(own) and (stop == start or size + len(own[stop]) < 4 << 20):
-                        size += len(own[stop])
-                        stop += 1
+                    stop = _piece(own, start)
                     grams = _ngrams(_symbols(own[start:stop])[0])
                     held.setdefault(name, []).append(np.unique(grams[grams != 0], return_counts=True))
                     start = stop

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -75,3 +76,18 @@ def test_odd_cases(spark):
     kept = lid.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == 63
     assert lid.identify(df.limit(0)).count() == 0
+
+
+def test_memory_of_a_batch_is_bounded():
+    """Eight megabytes of texts in one call: the bits of each text alone, held in small pieces."""
+    texts = [f"some words of the {i}th text and ".encode() * 1000 for i in range(250)]
+    keys, counts = np.unique(lid._ngrams(lid._symbols(texts[:2])[0]), return_counts=True)
+    model = lid.Model(["a"], keys[keys != 0], np.zeros(len(keys[keys != 0]), np.int64), counts[keys != 0])
+    tracemalloc.start()
+    bits, count, letters = model.sums(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    for i in (0, 124, 249):
+        alone = model.sums([texts[i]])
+        assert (alone[0][0], alone[1][0], alone[2][0]) == (bits[i], count[i], letters[i])
