@@ -7,25 +7,18 @@ texts may differ in more bits than any trie can search, so further ones come fro
 of ``ROWS`` minima each, of which two linked texts share none with a probability of under 1e-6. The texts
 of one key are a bucket.
 
-No pairs within a bucket are emitted and no bucket goes into one task. First each text is compared with
-those that stand for its fingerprint and for its tries' components, and with the likeliest of the first
-texts of its buckets. Then, in rounds, the texts of a bucket that have the most
-links and led no round yet, ``LEADERS`` of them, are compared with those of its texts that are in other
-groups than they, in buckets of more than ``SMALL`` texts only in groups no larger than their own. A bucket
-of at most ``SMALL`` texts is done when all its texts that led no round are in one group, so that any two
-were compared or are in one group; a larger one also when a round joins no two of its groups: near copies
-have a common original, or many copies in common, and those have the most links. What is missed then is a
-link of two texts that are near copies of no leader of any of the some twelve buckets that they share, all
-of them large.
-
-A comparison begins with the minima of both texts, a byte of each: two linked texts have fewer than
-``LEAST_EQUAL`` equal ones with a probability of under 1e-9. Where they have so many, the whole sets are
-compared.
+Each text is compared with those that stand for its fingerprint and for its tries' components. Every bucket
+is seen through whole: a task gets the sets of its texts, compares those that are not in one group yet, and
+returns only the links that join two groups. So no link within a bucket is missed, no pairs are listed, and
+there are no rounds. A bucket of more than ``BLOCK`` texts, or of longer ones, is cut into blocks, which are
+seen through first by themselves, then, when what was found has been put together, two by two; blocks of
+nothing but the bucket's largest group are not compared with each other. What is left is quadratic in the
+texts of such a bucket that are not in its largest group, in bounded memory and over all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
@@ -35,10 +28,8 @@ from assaykit.llm.simhash import components, folded, link_stars
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 5
-#: Of BANDS * ROWS minima so many are equal in candidates: six deviations under the mean of linked texts.
-LEAST_EQUAL = int(BANDS * ROWS * SIMILARITY - 6 * (BANDS * ROWS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Texts of a bucket compared with its others in a round, and texts of a bucket that is seen through whole.
-LEADERS, SMALL = 2, 16
+#: Texts that a block of a bucket has on average at most, and bytes of their sets.
+BLOCK, BYTES = 1024, 4 << 20
 #: Pairs of one text that a task checks; beyond, its pairs are dealt over several.
 PAIRS = 4000
 
@@ -73,8 +64,8 @@ def similar(a, b, similarity: float = SIMILARITY) -> bool:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(row, s1, s2, fp, keys, marks): 128 bits of each text's set of shingles, its SimHash, the keys of its
-    bands, and a byte of each minimum."""
+    """(row, s1, s2, n, fp, keys): 128 bits of each text's set of shingles, its size, its SimHash and the keys of its
+    bands."""
 
     def run(batches):
         import numpy as np
@@ -87,40 +78,20 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
         a, b = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
         a |= np.uint64(1)
         for batch in batches:
-            names, keys, marks = np.zeros((batch.num_rows, 3), np.uint64), [], []
+            names, keys = np.zeros((batch.num_rows, 4), np.uint64), []
             for i, raw in enumerate(binary_column(batch, "text")):
                 held = shingles(raw.as_py(), shingle)
-                names[i] = [*(xxh64_intdigest(held.tobytes(), seed) for seed in (1, 2)), folded(held) if len(held) else 0]
+                names[i] = [*(xxh64_intdigest(held.tobytes(), seed) for seed in (1, 2)), len(held), folded(held) if len(held) else 0]
                 if not len(held):
                     keys.append([])
-                    marks.append(b"")
                     continue
                 low = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
                 for at in range(0, len(held), 1024):
                     low = np.minimum(low, (held[at : at + 1024, None] * a + b).min(0))
-                marks.append((low >> np.uint64(17)).astype(np.uint8).tobytes())
                 keys.append(np.fromiter((xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in names.T.copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["row", "s1", "s2", "fp", "keys", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in names.T.copy()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "s1", "s2", "n", "fp", "keys"])
 
-    return map_batches(rows, run, "row bigint, s1 bigint, s2 bigint, fp bigint, keys array<bigint>, marks binary")
-
-
-def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(a, b, equal): the pairs of rows whose minima agree often enough."""
-    both = pairs.join(marks.select(F.col("row").alias("a"), F.col("marks").alias("x")), "a")
-    both = both.join(marks.select(F.col("row").alias("b"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            equal = (x == y).sum(1) if batch.num_rows else np.zeros(0, np.int64)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(equal, pa.int32())], names=["a", "b", "equal"])
-            yield out.filter(pa.array(equal >= LEAST_EQUAL))
-
-    return map_batches(both, run, "a bigint, b bigint, equal int")
+    return map_batches(rows, run, "row bigint, s1 bigint, s2 bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -164,55 +135,125 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.unionAll(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).where("a <> b").distinct()
 
 
-def groups(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the rows of ``sets`` (row, fp, keys, marks) in groups of two or more, with the group's
-    least."""
-    keys = sets.select("row", F.posexplode("keys").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
+def joining(sets: list, root, side, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places (i, j) of linked ones of ``sets`` (sorted, not empty), each joining two groups, until all that are
+    linked are in one. root: the groups so far; side: where there are two, only sets of different ones are
+    compared."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    stops = np.cumsum(sizes)
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.split(place.astype(np.int32), stops[:-1])
+    of = np.unique(root, return_inverse=True)[1]
+    two, held, out = (side != side[0]).any(), np.zeros(len(words), np.int32), []
+    for i in range(len(sets) - 1):
+        other = of[i + 1 :] != of[i]
+        if two:
+            other &= side[i + 1 :] != side[i]
+        rows = i + 1 + np.flatnonzero(other & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9))
+        if not len(rows):
+            if (of == of[0]).all():
+                break
+            continue
+        held[place[i]] = 1
+        ends = np.cumsum(sizes[rows])
+        both = np.add.reduceat(held[np.concatenate([place[j] for j in rows])], np.concatenate(([0], ends[:-1])))
+        held[place[i]] = 0
+        for j in rows[both >= similarity * (sizes[i] + sizes[rows] - both) - 1e-9]:
+            if of[i] != of[j]:
+                of[of == of[j]] = of[i]
+                out.append((i, int(j)))
+    return out
+
+
+def _parts(rows, n, block: int):
+    """Blocks of so many rows whose sets have n hashes."""
+    return F.ceil(F.greatest(rows / block, n * 8 / BYTES)).cast("bigint")
+
+
+def _at(parts: str):
+    return F.pmod(F.xxhash64("row"), F.col(parts))
+
+
+def _cells(named: DataFrame, block: int) -> DataFrame:
+    """(bucket, lo, hi, side, row, root): the rows of ``named`` (bucket, row, root, n) in each cell, two blocks of a
+    bucket or one, in which they are compared: any two but for two of the largest group."""
+    sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    of = sizes.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "root", "n")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    of = of.select("bucket", F.col("main.root").alias("main"), _parts(F.col("main.rows"), F.col("main.n"), block).alias("first"), _parts(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n"), block).alias("more"))
+    rows = named.join(of, "bucket").withColumn("side", F.when(F.col("root") == F.col("main"), _at("first")).otherwise(F.col("first") + _at("more")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("side") < F.col("first"), F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("more") - 1)))
+    return rows.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "row", "root")
+
+
+def _joined(cells: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between rows of a cell that join its groups."""
+
+    def hashes(batches):
+        import pyarrow as pa
+
+        from assaykit.llm.common import binary_column
+
+        for batch in batches:
+            held = pa.array([shingles(raw.as_py(), shingle).tobytes() for raw in binary_column(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["row", "held"])
+
+    held = map_batches(texts.join(cells.select("row").distinct(), "row", "left_semi"), hashes, "row bigint, held binary")
+    cell = ["bucket", "lo", "hi"]
+    dealt = cells.join(held, "row").select(*cell, "side", "row", "root", "held").repartition(*cell).sortWithinPartitions(*cell)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(rows):
+            side, row, root = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            found = np.array(joining([np.frombuffer(r[3], np.uint64) for r in rows], root, side, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(f(row[found[:, 0]], row[found[:, 1]])) for f in (np.maximum, np.minimum)], names=["a", "b"])
+
+        last, rows = None, []
+        for batch in batches:
+            for bucket, lo, hi, *x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, lo, hi) != last:
+                    if rows:
+                        yield links(rows)
+                    last, rows = (bucket, lo, hi), []
+                rows.append(x)
+        if rows:
+            yield links(rows)
+
+    return map_batches(dealt, run, "a bigint, b bigint")
+
+
+def _grouped(links: DataFrame) -> DataFrame:
+    """(node, root): what links (a, b) connect, roots included."""
+    found = components(links)
+    return scratch(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct(), "grouped")
+
+
+def groups(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root): the rows of ``sets`` (row, n, fp, keys) in groups of two or more, with the group's least."""
+    keys = sets.select("row", "n", F.posexplode("keys").alias("band", "key")).select("row", "n", F.xxhash64("band", "key").alias("bucket"))
     keys = scratch(keys, "bands")
     # buckets of the same texts are one
-    firsts = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("s"), F.min("row").alias("first")).where("n > 1")
-    firsts = scratch(firsts.groupBy("n", "s", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "first"), "firsts")
-    members = scratch(keys.join(firsts, "bucket").select("bucket", "row", "first"), "buckets")
-    discard(keys, firsts)
-    tidy(members.sparkSession)
-    marks = scratch(sets.select("row", "marks").where(F.length("marks") > 0), "marks")
-    pairs = members.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
-    pairs = _likely(pairs, marks).groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    pairs = pairs.unionAll(_likely(_by_fingerprint(sets), marks).select("a", "b")).distinct()
-    links = scratch(_checked(scratch(pairs, "pairs"), texts, shingle, similarity), "links")
-    held, led, before, old = members, None, None, []
-    while True:
-        found = components(links)
-        found = scratch(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct(), "grouped")
-        named = held.select("bucket", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("bucket", "row", F.coalesce("root", "row").alias("root"))
-        groups_ = named.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        sizes = groups_.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("groups")).where("groups > 1")
-        if before is not None:
-            was = before.select("bucket", F.col("groups").alias("was"))
-            sizes = sizes.join(was, "bucket").where((F.col("n") <= SMALL) | (F.col("groups") < F.col("was"))).drop("was")
-        # a bucket that is done stays done
-        sizes = scratch(sizes, "sizes")
-        named = scratch(named.join(sizes.select("bucket", "n"), "bucket").join(groups_, ["bucket", "root"]), "open")
-        discard(held, *old, *([before] if before is not None else []))
-        held, before, old = named, sizes, [found]
-        rest = named if led is None else named.join(led, ["bucket", "row"], "left_anti")
-        apart = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
-        rest = rest.join(apart, "bucket", "left_semi").join(degree, "row", "left")
-        order = Window.partitionBy("bucket").orderBy(F.col("degree").desc_nulls_last(), "row")
-        rest = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
-        lead = scratch(rest.select("bucket", F.col("row").alias("b"), F.col("root").alias("of"), F.col("size").alias("most")), "leads")
-        if lead.isEmpty():
-            discard(named, sizes, lead, links, marks, *([led] if led is not None else []))
-            return found
-        pairs = named.join(lead, "bucket").where((F.col("row") != F.col("b")) & (F.col("root") != F.col("of")) & ((F.col("size") <= F.col("most")) | (F.col("n") <= SMALL))).select(F.greatest("row", "b").alias("a"), F.least("row", "b").alias("b")).distinct()
-        pairs = scratch(_likely(pairs, marks).drop("equal"), "pairs")
-        more = scratch(links.unionAll(_checked(pairs, texts, shingle, similarity)).distinct(), "links")
-        own = lead.select("bucket", F.col("b").alias("row"))
-        used = scratch(own if led is None else led.unionAll(own), "led")
-        discard(pairs, links, lead, *([led] if led is not None else []))
-        links, led = more, used
-        tidy(links.sparkSession)
+    buckets = keys.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("s"), F.min("row").alias("first")).where("rows > 1")
+    buckets = scratch(buckets.groupBy("rows", "all", "s", "first").agg(F.min("bucket").alias("bucket")).select("bucket", _parts(F.col("rows"), F.col("all"), block).alias("parts")), "buckets")
+    members = scratch(keys.join(buckets, "bucket").select("bucket", "row", "n", "parts"), "members")
+    discard(keys, buckets)
+    cells = members.withColumn("side", _at("parts")).select("bucket", F.col("side").alias("lo"), F.col("side").alias("hi"), "side", "row", F.col("row").alias("root"))
+    links = scratch(_checked(scratch(_by_fingerprint(sets), "pairs"), texts, shingle, similarity).unionAll(_joined(cells, texts, shingle, similarity)), "links")
+    tidy(links.sparkSession)
+    found = _grouped(links)
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        named = large.join(found.withColumnRenamed("node", "row"), "row", "left").select("bucket", "row", F.coalesce("root", "row").alias("root"), "n")
+        cells = scratch(_cells(named, block), "cells")
+        links, old = scratch(links.unionAll(_joined(cells, texts, shingle, similarity)), "links"), links
+        discard(old, found, cells)
+        found = _grouped(links)
+    discard(members, links)
+    return found
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
