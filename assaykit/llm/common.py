@@ -70,6 +70,28 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Bitmaps of 32,768 rows, 4 KB each, that are broadcast at most.
+MAPS = 8192
+
+
+def among(df: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose ``row`` (bigint) is among ``ids``, one column of such, repeats allowed. A bit stands for
+    each id, in bitmaps where there are ids, and those are broadcast, so df, which may hold texts, is not shuffled.
+    Of more than MAPS bitmaps none is broadcast, and the ids are joined as they are."""
+    (key,) = ids.columns
+    ids = ids.distinct()
+    at, bits = spare(df.columns, "__at", "__bits")
+    # dealt first: a partial bitmap in each task would be 4 KB for a few ids
+    maps = ids.select(F.shiftright(key, 15).alias(at), F.col(key).bitwiseAND(F.lit(32767)).alias("bit")).repartition(at)
+    maps = scratch(maps.groupBy(at).agg(F.bitmap_construct_agg("bit").alias(bits)), "bits")
+    if maps.count() > MAPS:
+        return df.join(ids.withColumnRenamed(key, at), F.col(row) == F.col(at), "left_semi")
+    bit = F.col(row).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    # a semi join, as Spark may put an inner one behind joins that shuffle df
+    return df.join(F.broadcast(maps), (F.shiftright(row, 15) == F.col(at)) & (F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1), "left_semi")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)

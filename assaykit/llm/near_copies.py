@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.ship import map_batches
-from assaykit.llm.common import discard, scratch, spare, tidy
+from assaykit.llm.common import MAPS, among, discard, scratch, spare, tidy
 from assaykit.llm.simhash import components, folded, link_stars
 
 SHINGLE = 5
@@ -235,14 +235,23 @@ def _grouped(links: DataFrame) -> DataFrame:
 def groups(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, root): the rows of ``sets`` (row, n, fp, keys) in groups of two or more, with the group's least."""
     keys = sets.select("row", "n", F.posexplode("keys").alias("band", "key")).select("row", "n", F.xxhash64("band", "key").alias("bucket"))
-    keys = scratch(keys, "bands")
+    shared = scratch(keys.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket"), "shared")
+    # nearly all buckets hold one row: a bit of 16 for each shared one leaves few others' keys to the join
+    slots = F.lit(min(16 * shared.count() + 1, MAPS << 15)).cast("bigint")
+    held = among(keys.withColumn("slot", F.pmod("bucket", slots)), "slot", shared.select(F.pmod("bucket", slots).alias("slot"))).drop("slot")
+    held = scratch(held.join(shared, "bucket"), "held")
+    tidy(held.sparkSession)
     # buckets of the same texts are one
-    buckets = keys.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("s"), F.min("row").alias("first")).where("rows > 1")
+    buckets = held.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("s"), F.min("row").alias("first"))
     buckets = scratch(buckets.groupBy("rows", "all", "s", "first").agg(F.min("bucket").alias("bucket")).select("bucket", _parts(F.col("rows"), F.col("all"), block).alias("parts")), "buckets")
-    members = scratch(keys.join(buckets, "bucket").select("bucket", "row", "n", "parts"), "members")
-    discard(keys, buckets)
+    members = scratch(held.join(buckets, "bucket").select("bucket", "row", "n", "parts"), "members")
+    discard(shared, held, buckets)
     cells = members.withColumn("side", _at("parts")).select("bucket", F.col("side").alias("lo"), F.col("side").alias("hi"), "side", "row", F.col("row").alias("root"))
-    links = scratch(_checked(scratch(_by_fingerprint(sets), "pairs"), texts, shingle, similarity).unionAll(_joined(cells, texts, shingle, similarity)), "links")
+    pairs = scratch(_by_fingerprint(sets), "pairs")
+    # only texts that are compared are dealt out
+    texts = among(texts, "row", members.select("row").unionAll(pairs.select("a")).unionAll(pairs.select("b")))
+    tidy(pairs.sparkSession)
+    links = scratch(_checked(pairs, texts, shingle, similarity).unionAll(_joined(cells, texts, shingle, similarity)), "links")
     tidy(links.sparkSession)
     found = _grouped(links)
     large = members.where("parts > 1")
@@ -270,7 +279,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     named = sets.select("row", "s1", "s2").join(ranks, "row")
     # equal sets need no check: one row stands for them
     lead = scratch(named.groupBy("s1", "s2").agg(F.min("row").alias("row"), F.min("rank").alias("rank")), "leads")
-    found = groups(sets.join(lead.select("row"), "row", "left_semi"), texts, shingle, similarity)
+    found = groups(among(sets, "row", lead.select("row")), texts, shingle, similarity)
     discard(sets)
     kept = lead.join(found, lead.row == found.node, "left").groupBy(F.coalesce("root", "row")).agg(F.min("rank").getField("row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return among(rows, row, kept.select(row)).select(*docs.columns)
