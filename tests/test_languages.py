@@ -94,3 +94,36 @@ def test_skip_markers(spark):
     assert got == {("t/test_a.py", 1): False, ("t/test_a.py", 4): False, ("t/test_a.py", 5): True, ("t/test_a.py", 7): False, ("t/test_a.py", 8): True, ("t/test_a.py", 12): True, ("t/a.test.ts", 2): True, ("t/a.test.ts", 3): False}
     s = code.test_strength(lines).first()
     assert (s.n, s.skips, s.own) == (4, 8, 4) and s.skipped_test_share == 1.0
+
+
+LONG = "x" * 600
+LONG_FILES = {
+    # a head, branches and a last line, each on a line of over 500 characters
+    "a.py": f"def f({LONG}):\n    return 1 if {LONG} and b else 2\n\ny = 1\n",
+    "b.py": f"def f(a):\n    if a:\n        return 1\n    {LONG} = 2 or 3\n",
+    "c.py": f"def f(a):\n    return 1\n{LONG} = 2\n    if b:\n        pass\n",
+    "d.ts": "function f(a) {" + "if (a && b) {}" * 1000 + "}\nconst g = (a) => {}\n",
+    # white space of any length before a head's next word, and where none comes
+    "e.java": "class A {\n    public" + " " * 30_000 + "int" + "\t" * 30_000 + "f (int a) {\n        if (a) {}\n    }\n    public" + " " * 30_000 + "int = 1;\n}\n",
+    "f.ts": "const" + " " * 30_000 + "f = (a) => a || 1\nconst" + " " * 30_000 + "g",
+}
+
+
+def test_functions_on_long_lines(spark):
+    files = spark.createDataFrame([*LONG_FILES.items()], "path string, code string").withColumn("language", lexer.language(facts.F.col("path")))
+    got = sorted(tuple(r) for r in lexer.functions(files).collect())
+    assert got == [("a.py", 1, 2, 3), ("b.py", 1, 4, 3), ("c.py", 1, 2, 1), ("d.ts", 1, 1, 2001), ("d.ts", 2, 2, 1), ("e.java", 2, 4, 2), ("f.ts", 1, 1, 2)]
+
+
+@pytest.mark.parametrize("language", sorted(lexer.patterns("function_start")))
+def test_heads_after_runs_of_white_space(language):
+    """Heads are found as in the line as it is, whatever the white space in it."""
+    import random
+    import re
+
+    head, branch = (re.compile(lexer.patterns(f)[language]) for f in ("function_start", "branch_keywords"))
+    rng = random.Random(language)
+    words = [w for t in lexer.registry.tokens("function_start")[language] for w in t.split()] + ["name", "(", ""]
+    for _ in range(3000):
+        line = "x" + "".join(rng.choice(words) + rng.choice([" ", "\t", "\xa0", ""]) * rng.choice([0, 1, 2, 3, 4, 5, 9]) for _ in range(rng.randint(1, 8)))
+        assert bool(lexer.function_lines(line, head, branch)) == bool(head.search(line)), line
